@@ -120,11 +120,12 @@ def resolved_url(body: Column, from_name: Column) -> Column:
 def infer_vendor(path: Column) -> Column:
     """First marker equal to a lower-case path part, or its prefix before ``_`` or ``-``."""
     parts = F.split(F.lower(path), "/")
+
+    def carries(marker: str) -> Column:
+        return F.exists(parts, lambda p: (p == marker) | p.startswith(marker + "_") | p.startswith(marker + "-"))
+
     chain = None
     for marker, vendor in VENDOR_MARKERS:
-        hit = F.exists(
-            parts,
-            lambda p, m=marker: (p == m) | p.startswith(m + "_") | p.startswith(m + "-"),
-        )
+        hit = carries(marker)
         chain = F.when(hit, vendor) if chain is None else chain.when(hit, vendor)
     return chain.otherwise("")

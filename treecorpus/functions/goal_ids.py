@@ -49,14 +49,14 @@ REDACTED = "<redacted-string>"
 
 def snake(value: Column) -> Column:
     split = F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1_$2")
-    plain = F.regexp_replace(split, "[^A-Za-z0-9]+", "_")
-    plain = F.lower(F.regexp_replace(plain, "^_+|_+$", ""))
-    return F.when(F.coalesce(plain, F.lit("")) == "", "resource").otherwise(plain)
+    plain = F.regexp_replace(F.regexp_replace(split, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    # A pattern for the empty string instead of a test, so that the chain is evaluated once.
+    return F.lower(F.regexp_replace(plain, "^$", "resource"))
 
 
 def id_part(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_.-]+", "_"), "^_+|_+$", "")
-    return F.when(plain == "", "empty").otherwise(plain)
+    return F.regexp_replace(plain, "^$", "empty")
 
 
 def goal_value_id(text: Column, kind: Column) -> Column:
@@ -97,19 +97,24 @@ def family_for_action(action: Column) -> Column:
     )
 
 
+# The same two lists as one pattern over a snake-cased path that still has its dots.
+SENSITIVE = (
+    "|".join(s.replace("_", "[_.]") for s in SENSITIVE_SUBSTRINGS)
+    + r"|(?:^|\.)(?:" + "|".join(SENSITIVE_NAMES) + r")(?:\.|$)"
+)
+
+
 def is_sensitive(path: Column) -> Column:
-    whole = snake(F.replace(path, F.lit("[]"), F.lit(" ")))
-    parts = F.transform(F.split(F.replace(path, F.lit("[]"), F.lit("")), r"\."), snake)
-    return any_of([whole.contains(s) for s in SENSITIVE_SUBSTRINGS]) | F.arrays_overlap(
-        parts, F.array(*[F.lit(n) for n in SENSITIVE_NAMES])
-    )
+    split = F.regexp_replace(F.replace(path, F.lit("[]"), F.lit("")), "([a-z0-9])([A-Z])", "$1_$2")
+    plain = F.regexp_replace(split, "[^A-Za-z0-9.]+", "_")
+    return F.lower(F.regexp_replace(plain, r"_*\._*|^_+|_+$", ".")).rlike(SENSITIVE)
 
 
 def words(text: Column) -> Column:
     """Ids and dotted paths as lower-case words."""
     split = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
     plain = F.trim(F.lower(F.regexp_replace(split, "[^A-Za-z0-9]+", " ")))
-    return F.when(plain == "", "resource").otherwise(plain)
+    return F.regexp_replace(plain, "^$", "resource")
 
 
 def squash_space(text: Column) -> Column:

@@ -12,7 +12,6 @@ from treecorpus.functions.urls import odata_type
 from treecorpus.operators.json_walk import ALLOWABLE, is_scalar, json_walk
 
 RECORD = ["url", "seq", "vendor", "source", "odata_type"]
-TRUE_FALSE = "array<struct<value:string,kind:string>>"
 
 
 def with_type(records: DataFrame) -> DataFrame:
@@ -64,7 +63,9 @@ def _surface(rows: DataFrame, rank: int, family, path, target, kind, current, al
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     type_id = F.col("type_id")
     family, path, target, kind = lit(family), lit(path), lit(target).cast("string"), lit(kind)
-    action, argument = lit(action or ""), lit(argument or "")
+    action = lit("" if action is None else action)
+    has_argument = argument is not None
+    argument = lit(argument if has_argument else "")
     dot = F.lit(".")
     if invoke:
         goal = F.concat(family, dot, type_id, dot, action, F.lit(".invoke"))
@@ -73,8 +74,9 @@ def _surface(rows: DataFrame, rank: int, family, path, target, kind, current, al
                         g.goal_value_id(target, kind))
     else:
         goal = F.concat(family, dot, type_id, dot, path, F.lit(".eq."), g.goal_value_id(target, kind))
-    fact = F.concat(F.lit("Actions."), F.col("action_key"), F.when(argument != "", F.concat(dot, argument))
-                    .otherwise("")) if mode == "transition" else path
+    fact = path
+    if mode == "transition":
+        fact = F.concat(F.lit("Actions."), F.col("action_key"), *([dot, argument] if has_argument else []))
     return rows.select(
         goal.alias("goal_id"), family.alias("family"), type_id.alias("resource_type"),
         (F.lit("") if mode == "transition" else path).alias("property_path"),
@@ -249,7 +251,6 @@ def verify_goals(surfaces: DataFrame, observed: DataFrame) -> DataFrame:
     never satisfied by an observation.
     """
     kind_class = lambda c: F.when(c.isin("integer", "number"), "number").otherwise(c)
-    number = lambda c: F.try_to_number(c, F.lit("S999999999999999999")).cast("double")  # noqa: E731,F841
     lookup = F.when(F.col("verifier_kind") == "contains", F.concat("fact_path", F.lit("[]"))).otherwise(
         F.when(~F.col("fact_path").contains("[]"), F.col("fact_path")))
     checks = surfaces.withColumns({"check_path": lookup, "target_class": kind_class(F.col("target_type"))})

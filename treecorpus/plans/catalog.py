@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from treecorpus.plans import tree_queries  # noqa: F401
+from treecorpus.plans import corpus_queries, goal_queries, tree_queries  # noqa: F401
 from treecorpus.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -137,7 +137,9 @@ def build_tree(spark: SparkSession, sf: str) -> DataFrame:
     )
     nation_rows = _record(_nations(spark, sf), col("n_url"), "fabric", col("n_nationkey"), "nation",
                           "#Nation.v1.Nation", "", ("Name", col("n_name")))
-    first_order = orders(spark, sf).groupBy("c_custkey").agg(F.min("o_url").alias("first"))
+    # The least child URL under one prefix is the least child key as text: no join needed.
+    first_order = table(spark, sf, "orders").groupBy(col("o_custkey").alias("c_custkey")).agg(
+        F.min(col("o_orderkey").cast("string")).alias("first"))
     cus = customers(spark, sf).join(first_order, "c_custkey", "left")
     customer_rows = _record(
         cus, col("c_url"), text_of("c", col("c_custkey")), col("c_custkey"), "customer",
@@ -154,9 +156,10 @@ def build_tree(spark: SparkSession, sf: str) -> DataFrame:
                 ("ResetType@Redfish.AllowableValues", _strings(RESETS)))),
             ("#ComputerSystem.Ping", obj(
                 ("target", text_of(col("c_url"), "/Actions/ComputerSystem.Ping"))))))),
-        ("FirstOrder", F.when(col("first").isNotNull(), ref(col("first")))),
+        ("FirstOrder", F.when(col("first").isNotNull(), ref(text_of(col("c_url"), "/orders/", col("first"))))),
     )
-    first_line = lines(spark, sf).groupBy("o_orderkey").agg(F.min("l_url").alias("first"))
+    first_line = table(spark, sf, "lineitem").groupBy(col("l_orderkey").alias("o_orderkey")).agg(
+        F.min(col("l_linenumber").cast("string")).alias("first"))
     order_rows = _record(
         orders(spark, sf).join(first_line, "o_orderkey", "left"),
         col("o_url"), text_of("c", col("c_custkey")), col("o_orderkey"), "order", "#Task.v1.Task", "",
@@ -165,7 +168,7 @@ def build_tree(spark: SparkSession, sf: str) -> DataFrame:
         ("Priority", col("o_orderpriority")),
         ("Total", cents("o_totalprice")),
         ("Created", F.date_format("o_orderdate", "yyyy-MM-dd")),
-        ("FirstLine", F.when(col("first").isNotNull(), ref(col("first")))),
+        ("FirstLine", F.when(col("first").isNotNull(), ref(text_of(col("o_url"), "/lines/", col("first"))))),
     )
     line_rows = _record(
         lines(spark, sf), col("l_url"), text_of("c", col("c_custkey")), col("l_seq"), "line",

@@ -29,6 +29,7 @@ def local_session(cores: int | str = 8, app: str = "treecorpus") -> SparkSession
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("TREECORPUS_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_CONF.items():
