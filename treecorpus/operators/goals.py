@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treecorpus.functions import goal_ids as g
@@ -58,60 +56,62 @@ def allowable_values(records: DataFrame) -> DataFrame:
     )
 
 
-def _surface(rows: DataFrame, rank: int, family, path, target, kind, current, allowed, order,
-             mode="state", verifier="state_eq", action=None, argument=None, invoke=False) -> DataFrame:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    type_id = F.col("type_id")
-    family, path, target, kind = lit(family), lit(path), lit(target).cast("string"), lit(kind)
-    action = lit("" if action is None else action)
-    has_argument = argument is not None
-    argument = lit(argument if has_argument else "")
-    dot = F.lit(".")
-    if invoke:
-        goal = F.concat(family, dot, type_id, dot, action, F.lit(".invoke"))
-    elif mode == "transition":
-        goal = F.concat(family, dot, type_id, dot, action, dot, argument, F.lit(".eq."),
-                        g.goal_value_id(target, kind))
-    else:
-        goal = F.concat(family, dot, type_id, dot, path, F.lit(".eq."), g.goal_value_id(target, kind))
-    fact = path
-    if mode == "transition":
-        fact = F.concat(F.lit("Actions."), F.col("action_key"), *([dot, argument] if has_argument else []))
+RAW = (
+    "rank int, ord long, mode string, verifier_kind string, family string, fact_path string, action_name string, "
+    "argument_name string, target_value string, target_type string, current_value string, "
+    "allowed_values array<string>"
+)
+
+
+def _raw(rows: DataFrame, **given) -> DataFrame:
+    """Unlabelled surface rows; columns not given are null. Labels are computed once, after the union."""
+    columns = []
+    for field in RAW.split(", "):
+        name, kind = field.split(" ")
+        value = given.get(name)
+        columns.append((value if isinstance(value, Column) else F.lit(value)).cast(kind).alias(name))
+    return rows.select(*RECORD, *columns)
+
+
+def _label(rows: DataFrame) -> DataFrame:
+    """Goal ids and families of raw surface rows."""
+    state = F.col("mode") == "state"
+    rows = rows.withColumn("resource_type", g.resource_type_id(F.col("odata_type")))
+    rows = rows.withColumns({
+        "family": F.coalesce(
+            "family",
+            F.when(state, g.family_for_path(F.col("resource_type"), F.col("fact_path")))
+            .otherwise(g.family_for_action(F.col("action_name")))),
+        "value_id": g.goal_value_id(F.col("target_value"), F.col("target_type")),
+        "argument_name": F.coalesce("argument_name", F.lit("")),
+    })
+    tail = (
+        F.when(state, F.concat_ws(".", "fact_path", F.lit("eq"), "value_id"))
+        .when(F.col("argument_name") == "", F.concat_ws(".", "action_name", F.lit("invoke")))
+        .otherwise(F.concat_ws(".", "action_name", "argument_name", F.lit("eq"), "value_id")))
     return rows.select(
-        goal.alias("goal_id"), family.alias("family"), type_id.alias("resource_type"),
-        (F.lit("") if mode == "transition" else path).alias("property_path"),
-        F.lit(mode).alias("mode"), action.alias("action_name"), argument.alias("argument_name"),
-        target.alias("target_value"), kind.alias("target_type"),
-        F.col("vendor"), F.col("source"), F.col("url").alias("resource_uri"), F.col("odata_type"),
-        fact.alias("fact_path"), lit(current).cast("string").alias("current_value"),
-        lit(allowed).cast("array<string>").alias("allowed_values"),
-        F.lit(verifier).alias("verifier_kind"),
-        F.struct(F.col("seq").alias("seq"), F.lit(rank).alias("rank"), lit(order).cast("long").alias("ord")).alias("at"),
-    )
-
-
-def _typed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("type_id", g.resource_type_id(F.col("odata_type")))
-
-
-def state_surfaces(records: DataFrame) -> DataFrame:
-    """State goals from allowable values outside actions, then from scalar leaves."""
-    records = with_type(records)
-    allowed = _typed(allowable_values(records)).filter(
-        ~F.col("under_actions") & F.col("text").isNotNull() & (F.col("text") != ""))
-    family = g.family_for_path(F.col("type_id"), F.col("path"))
-    current = F.when(~F.col("path").contains("[]"), F.col("sibling_value"))
-    from_lists = _surface(allowed, 0, family, F.col("path"), F.col("text"), F.col("kind"), current,
-                          F.col("allowed"), F.col("ord") * 10000 + F.col("pos"))
-    facts = _typed(scalar_facts(json_walk(records, carry=RECORD))).filter(F.col("value") != "")
-    from_leaves = _surface(facts, 1, family, F.col("path"), F.col("value"), F.col("json_type"), F.col("value"),
-                           F.lit(None), F.col("ord"))
+        F.concat_ws(".", "family", "resource_type", tail).alias("goal_id"), "family", "resource_type",
+        F.when(state, F.col("fact_path")).otherwise("").alias("property_path"), "mode",
+        F.coalesce("action_name", F.lit("")).alias("action_name"), "argument_name", "target_value", "target_type",
+        "vendor", "source", F.col("url").alias("resource_uri"), "odata_type", "fact_path", "current_value",
+        "allowed_values", "verifier_kind", F.struct("seq", "rank", "ord").alias("at"))
+
+
+def _state_rows(records: DataFrame) -> DataFrame:
+    allowed = allowable_values(records).filter(~F.col("under_actions") & (F.col("text") != ""))
+    from_lists = _raw(
+        allowed, rank=0, ord=F.col("ord") * 10000 + F.col("pos"), mode="state", verifier_kind="state_eq",
+        fact_path=F.col("path"), target_value=F.col("text"), target_type=F.col("kind"),
+        current_value=F.when(~F.col("path").contains("[]"), F.col("sibling_value")), allowed_values=F.col("allowed"))
+    facts = scalar_facts(json_walk(records, carry=RECORD)).filter("value <> ''")
+    from_leaves = _raw(
+        facts, rank=1, ord=F.col("ord"), mode="state", verifier_kind="state_eq", fact_path=F.col("path"),
+        target_value=F.col("value"), target_type=F.col("json_type"), current_value=F.col("value"))
     return from_lists.unionByName(from_leaves)
 
 
-def action_surfaces(records: DataFrame) -> DataFrame:
-    """Transition goals: one per allowed argument value, or one ``invoke`` per bare action."""
-    records = with_type(records).filter(F.col("body").contains("Actions"))
+def _action_rows(records: DataFrame) -> DataFrame:
+    records = records.filter(F.col("body").contains("Actions"))
     actions = F.from_json(F.get_json_object("body", "$.Actions"), "map<string,string>")
     named = (
         records.select(*RECORD, F.explode(actions).alias("action_key", "action_body"))
@@ -126,71 +126,88 @@ def action_surfaces(records: DataFrame) -> DataFrame:
         "url", "seq", F.element_at("seg", 2).alias("action_key"),
         F.substring_index("path", ".", -1).alias("argument"), "ord", "pos", "text", "kind", "allowed",
     )
-    rows = _typed(named.join(slots, ["url", "seq", "action_key"], "left"))
-    family = g.family_for_action(F.col("action_name"))
-    bare = F.col("argument").isNull()
-    with_values = _surface(
-        rows.filter(~bare), 2, family, "", F.col("text"), F.col("kind"), F.lit(None), F.col("allowed"),
-        F.col("ord") * 10000 + F.col("pos"), mode="transition", verifier="transition",
-        action=F.col("action_name"), argument=F.col("argument"))
-    invoked = _surface(
-        rows.filter(bare), 2, family, "", F.lit(None), "null", F.lit(None), F.lit(None), 0,
-        mode="transition", verifier="transition", action=F.col("action_name"), invoke=True)
-    return with_values.unionByName(invoked)
+    rows = named.join(slots, ["url", "seq", "action_key"], "left")
+    return _raw(
+        rows, rank=2, ord=F.coalesce(F.col("ord") * 10000 + F.col("pos"), F.lit(0)), mode="transition",
+        verifier_kind="transition", fact_path=F.concat_ws(".", F.lit("Actions"), "action_key", "argument"),
+        action_name=F.col("action_name"), argument_name=F.col("argument"), target_value=F.col("text"),
+        target_type=F.coalesce("kind", F.lit("null")), allowed_values=F.col("allowed"))
+
+
+def state_surfaces(records: DataFrame) -> DataFrame:
+    """State goals from allowable values outside actions, then from scalar leaves."""
+    return _label(_state_rows(with_type(records)))
+
+
+def action_surfaces(records: DataFrame) -> DataFrame:
+    """Transition goals: one per allowed argument value, or one ``invoke`` per bare action."""
+    return _label(_action_rows(with_type(records)))
 
 
 def _pairs(*values: tuple[str, str]) -> Column:
     return F.array(*[F.struct(F.lit(v).alias("text"), F.lit(k).alias("kind")) for v, k in values])
 
 
-def typed_surfaces(records: DataFrame) -> DataFrame:
-    """Goals of three known types: systems (power, boot), network protocol (NTP), BIOS attributes."""
-    records = _typed(with_type(records))
-    base = [*RECORD, "type_id"]
+def _typed_rows(records: DataFrame) -> DataFrame:
     odata = F.col("odata_type")
+    given = {"mode": "state", "verifier_kind": "state_eq", "ord": F.col("pos")}
 
     system_schema = (
         f"PowerState string, `PowerState{ALLOWABLE}` array<string>, Boot struct<"
         f"BootSourceOverrideTarget:string,`BootSourceOverrideTarget{ALLOWABLE}`:array<string>,"
         f"BootSourceOverrideEnabled:string,`BootSourceOverrideEnabled{ALLOWABLE}`:array<string>>"
     )
-    system = records.filter(odata.contains("ComputerSystem")).select(
-        *base, F.from_json("body", system_schema).alias("b"))
     own = F.col("b").getField(f"PowerState{ALLOWABLE}")
-    power_list = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("On"), F.lit("Off")))
-    power = system.select(*base, F.col("b.PowerState").alias("current"), power_list.alias("allowed"),
-                          F.posexplode(power_list).alias("pos", "text"))
-    out = [_surface(power, 3, "power", "PowerState", F.col("text"), "string", F.col("current"),
-                    F.col("allowed"), F.col("pos"))]
+    boot = F.col("b").getField("Boot")
+    lists = [(3, "power", "PowerState", F.col("b.PowerState"),
+              F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("On"), F.lit("Off"))))]
     for index, prop in enumerate(("BootSourceOverrideTarget", "BootSourceOverrideEnabled")):
-        boot = F.col("b").getField("Boot")
-        allowed = boot.getField(f"{prop}{ALLOWABLE}")
-        rows = system.select(*base, boot.getField(prop).alias("current"), allowed.alias("allowed"),
-                             F.posexplode(allowed).alias("pos", "text")).filter("text <> ''")
-        out.append(_surface(rows, 4 + index, "boot", f"Boot.{prop}", F.col("text"), "string",
-                            F.col("current"), F.col("allowed"), F.col("pos")))
+        lists.append((4 + index, "boot", f"Boot.{prop}", boot.getField(prop), boot.getField(f"{prop}{ALLOWABLE}")))
+    entries = F.array(*[
+        F.struct(F.lit(rank).alias("rank"), F.lit(family).alias("family"), F.lit(path).alias("path"),
+                 current.alias("current"), allowed.alias("allowed"))
+        for rank, family, path, current, allowed in lists
+    ])
+    system = (
+        records.filter(odata.contains("ComputerSystem"))
+        .select(*RECORD, F.from_json("body", system_schema).alias("b"))
+        .select(*RECORD, F.explode(entries).alias("e"))
+        .select(*RECORD, "e.*", F.posexplode("e.allowed").alias("pos", "text"))
+        .filter("text <> '' or family = 'power'")
+    )
+    rows = _raw(system, **{**given, "rank": F.col("rank"), "family": F.col("family"), "fact_path": F.col("path"),
+                           "target_value": F.col("text"), "target_type": "string",
+                           "current_value": F.col("current"), "allowed_values": F.col("allowed")})
 
     protocol = records.filter(~odata.contains("ComputerSystem") & odata.contains("ManagerNetworkProtocol")).select(
-        *base, F.from_json("body", "NTP struct<ProtocolEnabled:boolean,NTPServers:array<string>>").alias("b")
+        *RECORD, F.from_json("body", "NTP struct<ProtocolEnabled:boolean,NTPServers:array<string>>").alias("b")
     ).filter(F.col("b.NTP").isNotNull())
-    flags = protocol.select(*base, F.initcap(F.col("b.NTP.ProtocolEnabled").cast("string")).alias("current"),
-                            F.posexplode(_pairs(("True", "boolean"), ("False", "boolean"))).alias("pos", "v"))
-    out.append(_surface(flags, 6, "network", "NTP.ProtocolEnabled", F.col("v.text"), F.col("v.kind"),
-                        F.col("current"), F.array(F.lit("True"), F.lit("False")), F.col("pos")))
-    servers = protocol.select(*base, F.col("b.NTP.NTPServers").alias("allowed"),
+    flags = protocol.select(*RECORD, F.initcap(F.col("b.NTP.ProtocolEnabled").cast("string")).alias("current"),
+                            F.posexplode(F.array(F.lit("True"), F.lit("False"))).alias("pos", "text"))
+    rows = rows.unionByName(_raw(flags, **{
+        **given, "rank": 6, "family": "network", "fact_path": "NTP.ProtocolEnabled", "target_value": F.col("text"),
+        "target_type": "boolean", "current_value": F.col("current"),
+        "allowed_values": F.array(F.lit("True"), F.lit("False"))}))
+    servers = protocol.select(*RECORD, F.col("b.NTP.NTPServers").alias("allowed"),
                               F.posexplode("b.NTP.NTPServers").alias("pos", "text"))
-    out.append(_surface(servers, 7, "network", "NTP.NTPServers", F.col("text"), "string",
-                        F.to_json("allowed"), F.col("allowed"), F.col("pos"), verifier="contains"))
+    rows = rows.unionByName(_raw(servers, **{
+        **given, "rank": 7, "verifier_kind": "contains", "family": "network", "fact_path": "NTP.NTPServers",
+        "target_value": F.col("text"), "target_type": "string", "current_value": F.to_json("allowed"),
+        "allowed_values": F.col("allowed")}))
 
     bios = records.filter(
         ~odata.contains("ComputerSystem") & ~odata.contains("ManagerNetworkProtocol") & odata.contains("Bios")
-    ).select(*base, F.explode(F.from_json(F.get_json_object("body", "$.Attributes"), "map<string,variant>"))
-             .alias("name", "item"))
-    bios = bios.withColumn("kind", variant_kind(F.col("item"))).withColumn(
-        "text", variant_text(F.col("item"), F.col("kind")))
-    out.append(_surface(bios, 8, "bios", F.concat(F.lit("Attributes."), "name"), F.col("text"), F.col("kind"),
-                        F.col("text"), F.lit(None), 0))
-    return reduce(DataFrame.unionByName, out)
+    ).select(*RECORD, F.explode(F.from_json(F.get_json_object("body", "$.Attributes"), "map<string,variant>"))
+             .alias("name", "item")).withColumn("kind", variant_kind(F.col("item")))
+    text = variant_text(F.col("item"), F.col("kind"))
+    return rows.unionByName(_raw(bios, **{
+        **given, "ord": 0, "rank": 8, "family": "bios", "fact_path": F.concat(F.lit("Attributes."), "name"),
+        "target_value": text, "target_type": F.col("kind"), "current_value": text}))
+
+
+def typed_surfaces(records: DataFrame) -> DataFrame:
+    """Goals of three known types: systems (power, boot), network protocol (NTP), BIOS attributes."""
+    return _label(_typed_rows(with_type(records)))
 
 
 SURFACE_KEY = ["goal_id", "vendor", "source", "resource_uri", "fact_path"]
@@ -208,9 +225,9 @@ def first_surfaces(rows: DataFrame) -> DataFrame:
 
 def build_surfaces(records: DataFrame) -> DataFrame:
     """All surfaces of state documents (schema documents dropped), first seen kept."""
-    state = records.filter(~is_metadata_document(F.col("url"), F.col("body")))
-    return first_surfaces(
-        state_surfaces(state).unionByName(action_surfaces(state)).unionByName(typed_surfaces(state)))
+    state = with_type(records.filter(~is_metadata_document(F.col("url"), F.col("body"))))
+    rows = _state_rows(state).unionByName(_action_rows(state)).unionByName(_typed_rows(state))
+    return first_surfaces(_label(rows))
 
 
 def template_text(goals: DataFrame, count: int = 2) -> DataFrame:

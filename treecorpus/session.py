@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # Also split a hot key when the consumer would reuse the join's partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # No call-site capture per expression: plans here are large and built from many small ones.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
