@@ -66,13 +66,6 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit("<redacted>")).otherwise(v))
 
 
-def strip_fence(text: Column) -> Column:
-    """The inside of one code fence that wraps the whole text; other text only loses outer blanks."""
-    plain = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    inside = F.regexp_extract(plain, r"(?s)\A```[^\n]*\n(.*)\n[ \t]*```\z", 1)
-    return F.when(inside != "", F.regexp_replace(inside, r"(?U)^\s+|\s+$", "")).otherwise(plain)
-
-
 _OUTSIDE = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
 _CLOSER = {"{": "}", "[": "]"}
 
@@ -93,23 +86,40 @@ def first_fragment(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def json_fragment(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else first_fragment(t))
+def strip_fence(text: str) -> str:
+    """The inside of one code fence that wraps the whole text."""
+    lines = text.strip().splitlines()
+    if len(lines) >= 3 and lines[0].startswith("```") and lines[-1].strip() == "```":
+        return "\n".join(lines[1:-1]).strip()
+    return text.strip()
+
+
+def _plain_numbers(value):
+    """Whole floats as integers, so that equal values have equal text."""
+    if isinstance(value, dict):
+        return {k: _plain_numbers(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain_numbers(v) for v in value]
+    return int(value) if isinstance(value, float) and value.is_integer() else value
 
 
-def parse_prediction(text: Column) -> Column:
-    """``struct(json, how)``: whole text, fenced text or first fragment; ``how`` is the way or the failure."""
+def read_json(text: str | None) -> tuple[str | None, str]:
+    """Canonical JSON of a text and the way it was read, or None and the failure."""
+    if text is None:
+        return None, "missing prediction"
     bare = strip_fence(text)
-    whole = compact_json(bare)
-    # Only text that failed as a whole is sent to Python.
-    piece = json_fragment(F.when(whole.isNull(), bare))
-    part = compact_json(piece)
-    how = (
-        F.when(text.isNull(), "missing prediction")
-        .when(whole.isNotNull(), F.when(F.ltrim(text).startswith("```"), "fenced").otherwise("parsed"))
-        .when(part.isNotNull(), "fragment")
-        .when(piece.isNull(), "prediction is not JSON")
-        .otherwise("prediction JSON parse failed")
-    )
-    return F.struct(F.coalesce(whole, part).alias("json"), how.alias("how"))
+    tries = [(lambda: bare, "fenced" if text.lstrip().startswith("```") else "parsed"),
+             (lambda: first_fragment(bare), "fragment")]
+    failure = "prediction is not JSON"
+    for pick, way in tries:
+        piece = pick()
+        if piece is None:
+            continue
+        try:
+            value = _plain_numbers(json.loads(piece))
+        except ValueError:
+            if way == "fragment":
+                failure = "prediction JSON parse failed"
+            continue
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False), way
+    return None, failure
