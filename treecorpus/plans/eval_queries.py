@@ -134,11 +134,12 @@ COUNTS = ["row_count", "missing_target_rows", "missing_prediction_rows"]
 
 
 def rounded(columns, digits=6):
-    return [F.round(c, digits).alias(c) for c in columns]
+    # Adding zero turns a negative zero into a plain one.
+    return [(F.round(c, digits) + 0.0).alias(c) for c in columns]
 
 
 def rounded_sql(columns, digits=6):
-    return ", ".join(f"round({c}, {digits}) {c}" for c in columns)
+    return ", ".join(f"round({c}, {digits}) + 0::double {c}" for c in columns)
 
 
 @query("e4_prediction_metrics", f"""with {METRIC_SQL}

@@ -413,7 +413,14 @@ def l4_mask_key_value_span(spark, sf):
         mask, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_masked"))
 
 
-@query("l5_mask_section")
+@query("l5_mask_section", f"""with {TOKEN_SQL},
+pos as (select doc_id, unnest(ids) id, unnest(range(len(ids))) i from tok),
+mark as (select doc_id, i, case when id % 50 = 7 then 1 else -1 end c from pos where id % 50 in (7, 9)),
+depth as (select *, sum(c) over (partition by doc_id order by i) d from mark),
+span as (select a.doc_id, a.i a, min(b.i) b from depth a join depth b on b.doc_id = a.doc_id and b.i > a.i
+  and b.d = a.d - 1 where a.c = 1 group by all),
+cov as (select distinct s.doc_id, p.i from span s join pos p on p.doc_id = s.doc_id and p.i between s.a and s.b)
+select doc_id, count(c.i) n_masked from tok left join cov c using (doc_id) group by doc_id""")
 def l5_mask_section(spark, sf):
     marks = F.transform("input_ids", lambda x: F.when(x % 50 == 7, 1).when(x % 50 == 9, 2).otherwise(0))
     mask = tokens.mask_section(marks, [1], [1], [2])
@@ -607,11 +614,11 @@ def k22_reward_from_status(spark, sf):
 
 
 @query("e15_episode_returns", f"""with {STEP_SQL}
-select user_id, round(sum(reward), 6) total, count(*) filter (event_type = 'purchase') n_reached, count(*) n_steps
+select user_id, round(sum(reward), 6) + 0::double total, count(*) filter (event_type = 'purchase') n_reached, count(*) n_steps
 from sr group by user_id""")
 def e15_episode_returns(spark, sf):
     rows = rewarded(spark, sf).withColumn("reached", F.col("event_type") == "purchase")
-    return rl.episode_returns(rows, "user_id").withColumn("total", F.round("total", 6))
+    return rl.episode_returns(rows, "user_id").select("user_id", *rounded(["total"]), "n_reached", "n_steps")
 
 
 @query("d10_her_future_relabel", f"""with {STEP_SQL},

@@ -10,14 +10,17 @@ from treecorpus.operators import json_walk as walk, tree as ops
 from treecorpus.plans import inputs
 from treecorpus.plans.inputs import CRAWL_SQL, TREE_SQL
 from treecorpus.plans.registry import query
+from treecorpus.session import staged
 
 
 def crawled(spark, sf):
-    return ops.last_wins(inputs.crawl(spark, sf))
+    """Last capture per URL of the partial crawl, staged: the graph queries scan it several times."""
+    return staged(spark, "crawled", sf, lambda: ops.last_wins(inputs.crawl(spark, sf)))
 
 
 def full(spark, sf):
-    return ops.last_wins(inputs.tree(spark, sf))
+    """Last capture per URL of the whole tree, staged."""
+    return staged(spark, "full", sf, lambda: ops.last_wins(inputs.tree(spark, sf)))
 
 
 def methods_map(spark, sf):
@@ -87,7 +90,7 @@ def j1_walk_order(spark, sf):
 @query("f3_last_wins_nodes", f"""with {TREE_SQL}
 select url, min(seq) first_seq, max(seq) seq, arg_max(kind, seq) kind from rec group by url""")
 def f3_last_wins_nodes(spark, sf):
-    return full(spark, sf).select("url", "first_seq", "seq", F.col("source").alias("kind"))
+    return ops.last_wins(inputs.tree(spark, sf)).select("url", "first_seq", "seq", F.col("source").alias("kind"))
 
 
 @query("d1_containment_parent", f"with {CRAWL_SQL} select url, parent from node")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treecorpus.functions.classify import is_sidecar, resolved_url
@@ -11,18 +14,74 @@ from treecorpus.functions.urls import odata_id, odata_type, url_from_file_name
 from treecorpus.schemas import TRUST
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
-    """``(path, content)`` for every matching file below ``root``; undecodable bytes are replaced."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    )
-    return files.select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+FILE_SCHEMA = "path string, modified timestamp, content string"
+READ_BYTES = 8 << 20
+
+
+def _entries(folder: str, recursive: bool):
+    system, path = fs.FileSystem.from_uri(folder)
+    info = system.get_file_info(path)
+    if info.type == fs.FileType.File:
+        return [info]
+    return system.get_file_info(fs.FileSelector(path, recursive=recursive, allow_not_found=True))
+
 
+def root_exists(root: str) -> bool:
+    """Whether a file or folder is there (a metadata call)."""
+    system, path = fs.FileSystem.from_uri(root)
+    return system.get_file_info(path).type != fs.FileType.NotFound
 
-def root_exists(spark: SparkSession, root: str) -> bool:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+def read_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """``(path, modified, content)`` of matching files below ``root``; undecodable bytes are replaced.
+
+    Capture names start with an underscore, which Spark's own file sources treat as hidden, so
+    tasks list and open the files themselves: one task lists the root, then the folders below it
+    are listed in parallel, then the files are spread over all tasks and read. ``root`` is an
+    absolute path or a URI of a file system that Arrow knows.
+    """
+    scheme = root.split("://")[0] + "://" if "://" in root else ""
+
+    def listing(recursive: bool):
+        def stage(batches):
+            for batch in batches:
+                for folder in batch.column("folder").to_pylist():
+                    found = _entries(folder, recursive)
+                    for start in range(0, len(found), 10_000):
+                        part = found[start:start + 10_000]
+                        yield pa.RecordBatch.from_pydict({
+                            "folder": [scheme + f.path for f in part],
+                            "is_file": [f.type == fs.FileType.File for f in part]})
+        return stage
+
+    def contents(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_pydict({
+                "path": pa.array([r[0] for r in rows], pa.string()),
+                "modified": pa.array([r[1] for r in rows], pa.timestamp("us", "UTC")),
+                "content": pa.array([r[2] for r in rows], pa.string())})
+
+        rows, held = [], 0
+        for batch in batches:
+            for name in batch.column("folder").to_pylist():
+                system, path = fs.FileSystem.from_uri(name)
+                with system.open_input_stream(path) as stream:
+                    raw = stream.read()
+                rows.append((name, system.get_file_info(path).mtime, raw.decode("utf-8", errors="replace")))
+                held += len(raw)
+                if held > READ_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    shape = "folder string, is_file boolean"
+    top = spark.range(1).select(F.lit(root).alias("folder")).mapInArrow(listing(False), shape)
+    below = top.filter("not is_file").select("folder").repartition("folder").mapInArrow(listing(True), shape)
+    files = top.filter("is_file").unionByName(below.filter("is_file"))
+    pattern = "^" + re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
+    named = files.filter(F.substring_index("folder", "/", -1).rlike(pattern)).select("folder")
+    return named.repartition("folder").mapInArrow(contents, FILE_SCHEMA)
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -63,10 +122,7 @@ def quarantine(files: DataFrame) -> DataFrame:
 def read_captures(spark: SparkSession, root: str, source: str, trust: str = "REAL", vendor: str | None = None,
                   glob: str = "*.json", corpus_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(records, skipped)`` of a folder; a missing folder gives none of either."""
-    if root_exists(spark, root):
-        files = read_files(spark, root, glob)
-    else:
-        files = spark.createDataFrame([], "path string, modificationTime timestamp, content string")
+    files = read_files(spark, root, glob)
     return captures(files, source, trust, vendor, corpus_id), quarantine(files)
 
 
@@ -111,15 +167,15 @@ def sources_from_manifest(spark: SparkSession, manifest_path: str, root: str, tr
     The manifest is one small document, a list of folders; only that list is brought to the driver,
     to know which folders to read.
     """
-    manifest = spark.read.text(manifest_path, wholetext=True).select(F.col("value").alias("content"))
+    manifest = read_files(spark, manifest_path)
     parts = []
     for row in manifest_corpora(manifest, kind, ids).toLocalIterator():
         folder = f"{root}/{row['kind']}/{row['slug']}"
-        if not root_exists(spark, folder):
+        if not root_exists(folder):
             folder = f"{root}/{row['slug']}"
         records, _ = read_captures(spark, folder, row["corpus_id"], trust, row["vendor"], corpus_id=row["corpus_id"])
         maps = f"{folder}/rest_api_map.v1.json"
-        if root_exists(spark, maps):
+        if root_exists(maps):
             records = attach_allowed_methods(records, method_maps(read_files(spark, maps)))
         else:
             records = records.withColumn("allowed_methods", F.lit(None).cast("array<string>"))
