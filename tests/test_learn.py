@@ -104,7 +104,7 @@ def test_top_k_in_blocks_equals_brute_force(spark):
     right = spark.createDataFrame(candidates, "host string, url string, key string, text string")
     want = brute_top(states, candidates, 4)
     for block in (2048, 13):  # one block per host; the hot host in several blocks
-        got = ranking.top_k(left, right, 4, block=block, units=4)
+        got = ranking.top_k(left, right, 4, block=block)
         assert {tuple(r) for r in got.select("host", "url", "candidate_url", "place").collect()} == want
 
 

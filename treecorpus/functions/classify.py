@@ -44,6 +44,11 @@ VENDOR_MARKERS = [
 ]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def any_of(tests: list[Column]) -> Column:
     out = F.lit(False)
     for test in tests:
@@ -53,37 +58,34 @@ def any_of(tests: list[Column]) -> Column:
 
 def resource_kind(url: Column, body: Column) -> Column:
     """First matching type prefix, BIOS settings refined by URL, then URL fallbacks."""
-    rtype = F.coalesce(odata_type(body), F.lit(""))
     lowered = F.lower(F.regexp_replace(url, "/+$", ""))
-    pending = lowered.rlike("(^|/)bios/settings$") & lowered.contains("/bios/settings")
-    chain = None
-    for prefix, kind in TYPE_PREFIXES:
-        if kind == "bios":
-            step = [(rtype.startswith(prefix) & pending, "bios_pending"), (rtype.startswith(prefix), kind)]
-        else:
-            step = [(rtype.startswith(prefix), kind)]
-        for test, value in step:
-            chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return (
-        chain.when(pending, "bios_pending")
-        .when(lowered.endswith("/bios"), "bios")
-        .when(lowered.contains("/bootoptions/"), "boot_option")
-        .when(lowered.endswith("/bootoptions"), "boot_option_collection")
-        .otherwise("other")
-    )
+    pending = lowered.endswith("/bios/settings")
+
+    def by_type(rtype: Column) -> Column:
+        chain = F.when(rtype.startswith("#Bios.") & pending, "bios_pending")
+        for prefix, kind in TYPE_PREFIXES:
+            chain = chain.when(rtype.startswith(prefix), kind)
+        return (
+            chain.when(pending, "bios_pending")
+            .when(lowered.endswith("/bios"), "bios")
+            .when(lowered.contains("/bootoptions/"), "boot_option")
+            .when(lowered.endswith("/bootoptions"), "boot_option_collection")
+            .otherwise("other"))
+
+    return let(F.coalesce(odata_type(body), F.lit("")), by_type)
 
 
 def is_metadata_document(url: Column, body: Column) -> Column:
     """Schema and registry documents, as the label builder sees them."""
-    keys = F.json_object_keys(body)
-    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
-    rtype = F.coalesce(odata_type(body), F.lit(""))
-    return (
-        any_of([rtype.contains(t) for t in METADATA_TYPES])
-        | any_of([F.lower(url).contains(p) for p in METADATA_URL_PARTS])
-        | has("$schema") | has("Definitions") | has("definitions")
-        | (has("RegistryPrefix") & (has("Messages") | has("RegistryEntries")))
-    )
+    by_type = F.coalesce(odata_type(body), F.lit("")).rlike("|".join(METADATA_TYPES))
+    by_url = F.lower(url).rlike("|".join(METADATA_URL_PARTS))
+
+    def by_keys(keys: Column) -> Column:
+        has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+        return has("$schema") | has("Definitions") | has("definitions") | (
+            has("RegistryPrefix") & (has("Messages") | has("RegistryEntries")))
+
+    return by_type | by_url | let(F.json_object_keys(body), by_keys)
 
 
 def is_ranking_metadata(url: Column, body: Column) -> Column:

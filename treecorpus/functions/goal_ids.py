@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from treecorpus.functions.classify import any_of
@@ -110,6 +112,22 @@ def is_sensitive(path: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"_*\._*|^_+|_+$", ".")).rlike(SENSITIVE)
 
 
+def sensitive_path(path: str) -> bool:
+    """:func:`is_sensitive` for the walk, which asks once per place."""
+    split = re.sub("([a-z0-9])([A-Z])", r"\1_\2", path.replace("[]", ""))
+    plain = re.sub(r"_*\._*|^_+|_+$", ".", re.sub("[^A-Za-z0-9.]+", "_", split)).lower()
+    return re.search(SENSITIVE, plain) is not None
+
+
+def goal_place(place) -> bool:
+    """Whether values at this place of a body may become state goals."""
+    skipped = any(s in _SKIPPED or s.endswith("@Redfish.AllowableValues") for s in place.seg)
+    return not skipped and not sensitive_path(place.path)
+
+
+_SKIPPED = frozenset(SKIP_SUBTREES + SKIP_KEYS)
+
+
 def words(text: Column) -> Column:
     """Ids and dotted paths as lower-case words."""
     split = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")

@@ -65,10 +65,10 @@ def hash_vector(key: Column, dim: int = 16) -> Column:
     """``dim`` values in [-1, 1]: bytes of sha256(``key:counter``) / 127.5 - 1."""
     blocks = -(-dim // 32)
     hexes = F.concat(*[F.sha2(F.concat(key, F.lit(f":{i}")), 256) for i in range(blocks)])
-    return F.transform(
+    # Bound once per row: a lambda would compute the digests for each value.
+    return F.element_at(F.transform(F.array(hexes), lambda text: F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0,
-    )
+        lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)), 1)
 
 
 @F.pandas_udf(T.LongType())

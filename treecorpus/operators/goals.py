@@ -30,20 +30,16 @@ def variant_text(value: Column, kind: Column) -> Column:
     return F.when(kind == "boolean", F.initcap(text)).when(kind == "null", None).otherwise(text)
 
 
-def scalar_facts(leaves: DataFrame) -> DataFrame:
-    """Scalars that may become state goals."""
-    skipped = F.array(*[F.lit(v) for v in g.SKIP_SUBTREES + g.SKIP_KEYS])
-    return leaves.filter(
-        is_scalar()
-        & ~F.arrays_overlap("seg", skipped)
-        & ~F.exists("seg", lambda s: s.endswith(ALLOWABLE))
-        & ~g.is_sensitive(F.col("path"))
-    )
+def scalar_facts(records: DataFrame, carry: list[str]) -> DataFrame:
+    """Scalars that may become state goals: no skipped subtrees, metadata keys or sensitive paths."""
+    return json_walk(records, carry=carry, keep=g.goal_place, fields=("ord", "path", "json_type", "value")).filter(
+        is_scalar())
 
 
 def allowable_values(records: DataFrame) -> DataFrame:
     """One row per value of each annotated property; sensitive properties are left out."""
-    rows = json_walk(records, carry=RECORD, annotations=True)
+    rows = json_walk(records, carry=RECORD, annotations=True,
+                     fields=("ord", "path", "seg", "json_type", "value", "sibling_value"))
     prop = F.substring(F.col("path"), F.lit(1), F.length("path") - len(ALLOWABLE))
     return (
         rows.withColumn("path", prop)
@@ -103,7 +99,7 @@ def _state_rows(records: DataFrame) -> DataFrame:
         allowed, rank=0, ord=F.col("ord") * 10000 + F.col("pos"), mode="state", verifier_kind="state_eq",
         fact_path=F.col("path"), target_value=F.col("text"), target_type=F.col("kind"),
         current_value=F.when(~F.col("path").contains("[]"), F.col("sibling_value")), allowed_values=F.col("allowed"))
-    facts = scalar_facts(json_walk(records, carry=RECORD)).filter("value <> ''")
+    facts = scalar_facts(records, RECORD).filter("value <> ''")
     from_leaves = _raw(
         facts, rank=1, ord=F.col("ord"), mode="state", verifier_kind="state_eq", fact_path=F.col("path"),
         target_value=F.col("value"), target_type=F.col("json_type"), current_value=F.col("value"))

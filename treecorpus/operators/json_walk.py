@@ -1,40 +1,35 @@
 """The JSON walk: one row per value of a body, in document order.
 
 Everything the tree operators ask of a body is a filter over this table. VARIANT sorts keys and
-cannot give document order, so the walk parses text in an Arrow stage (narrow, no shuffle); the
-key selectors are applied inside the stage, so that a caller that wants only references does not
-pay for the other values.
+cannot give document order, so the walk parses text in an Arrow stage (narrow, no shuffle).
+Bodies repeat a few shapes, so all that depends only on the place of a value (path, key, filters
+on them) is worked out once per place and joined in by Arrow; selectors are applied inside the
+stage, and only the columns asked for leave it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-LEAF_SCHEMA = (
-    "ord int, parent_ord int, path string, slot_path string, key string, parent_key string, "
-    "top_key string, json_type string, value string, seg array<string>, "
-    "sibling_value string, sibling_type string"
-)
+LEAF_COLUMNS = {
+    "ord": ("int", pa.int32()), "parent_ord": ("int", pa.int32()),
+    "path": ("string", pa.string()), "slot_path": ("string", pa.string()), "key": ("string", pa.string()),
+    "parent_key": ("string", pa.string()), "top_key": ("string", pa.string()),
+    "seg": ("array<string>", pa.list_(pa.string())),
+    "json_type": ("string", pa.string()), "value": ("string", pa.string()),
+    "sibling_value": ("string", pa.string()), "sibling_type": ("string", pa.string()),
+}
+BY_PLACE = ("path", "slot_path", "key", "parent_key", "top_key", "seg")
 ALLOWABLE = "@Redfish.AllowableValues"
-FLUSH_ROWS = 20_000
-
+FLUSH_ROWS = 50_000
+MAX_PLACES = 200_000
 
-def json_type(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int):
-        return "integer"
-    if isinstance(value, float):
-        return "number"
-    if isinstance(value, dict):
-        return "object"
-    return "array" if isinstance(value, list) else "string"
+KINDS = {str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null", dict: "object",
+         list: "array"}
 
 
 def value_text(value) -> str | None:
@@ -44,43 +39,100 @@ def value_text(value) -> str | None:
     return json.dumps(value) if isinstance(value, (dict, list)) else str(value)
 
 
-def walk_value(body) -> Iterator[tuple]:
-    """Depth-first rows of ``LEAF_SCHEMA`` for one decoded body.
-
-    An explicit stack, so that a deeply nested body cannot exhaust the interpreter's. An
-    allowable-value list carries its JSON text and the value of the property it describes.
-    """
-    order = 0
-    # value, parent ord, path, slot path, key, parent key, segments, described property
-    stack = [(body, None, "", "", None, None, (), None)]
-    while stack:
-        value, parent, path, slot, key, parent_key, seg, sibling = stack.pop()
-        kind = json_type(value)
-        text, near, near_type = None, None, None
-        if sibling is not None and kind == "array":
-            text, near, near_type = json.dumps(value), value_text(sibling[0]), json_type(sibling[0])
-        elif kind not in ("object", "array"):
-            text = value_text(value)
-        yield (order, parent, path, slot, key, parent_key, seg[0] if seg else None, kind, text,
-               seg, near, near_type)
-        if kind == "object":
-            for name in reversed(value):
-                describes = None
-                if name.endswith(ALLOWABLE):
-                    describes = (value.get(name[: -len(ALLOWABLE)]),)
-                stack.append((
-                    value[name], order, f"{path}.{name}" if path else name,
-                    f"{slot}.{name}" if slot else name, name, key, (*seg, name), describes,
-                ))
-        elif kind == "array":
-            for item in reversed(value):
-                stack.append((item, order, path + "[]", slot, None, key, seg, None))
-        order += 1
-
-
-ARROW_TYPES = {
-    "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()),
-}
+class Place:
+    """One place in the bodies: the keys that lead to it, with list levels marked in the path."""
+
+    __slots__ = ("index", "path", "slot_path", "key", "parent_key", "top_key", "seg", "kept", "annotation", "members",
+                 "item")
+
+    def __init__(self, places: list, path="", slot_path="", key=None, parent_key=None, seg=(), keep=None):
+        self.index, self.path, self.slot_path, self.key, self.parent_key = len(places), path, slot_path, key, parent_key
+        self.seg, self.top_key = list(seg), seg[0] if seg else None
+        self.kept = keep is None or keep(self)
+        self.annotation = key is not None and key.endswith(ALLOWABLE)
+        self.members, self.item = {}, None
+        places.append(self)
+
+    def member(self, name: str, places: list, keep) -> "Place":
+        join = lambda base: f"{base}.{name}" if base else name
+        place = Place(places, join(self.path), join(self.slot_path), name, self.key, (*self.seg, name), keep)
+        self.members[name] = place
+        return place
+
+    def items(self, places: list, keep) -> "Place":
+        self.item = Place(places, self.path + "[]", self.slot_path, None, self.key, tuple(self.seg), keep)
+        return self.item
+
+
+class Walker:
+    """Collects the rows of decoded bodies column by column."""
+
+    def __init__(self, keep: Callable[[Place], bool] | None):
+        self.keep = keep
+        self.forget()
+
+    def forget(self):
+        self.places: list[Place] = []
+        self.root = Place(self.places, keep=self.keep)
+        self.clear()
+
+    def clear(self):
+        self.record, self.ord, self.parent, self.place = [], [], [], []
+        self.kind, self.text, self.near, self.near_kind = [], [], [], []
+
+    def walk(self, body, record: int) -> None:
+        """Depth first, on an explicit stack, so that no nesting is too deep."""
+        places, keep = self.places, self.keep
+        order = 0
+        stack = [(body, None, self.root, None)]
+        while stack:
+            value, parent, place, holder = stack.pop()
+            kind = KINDS[type(value)]
+            if place.kept:
+                text = near = near_kind = None
+                if kind == "string":
+                    text = value
+                elif kind not in ("object", "array", "null"):
+                    text = str(value)
+                elif kind == "array" and place.annotation:
+                    # An allowable-value list carries its text and the property it describes.
+                    text = json.dumps(value)
+                    described = holder.get(place.key[: -len(ALLOWABLE)])
+                    near, near_kind = value_text(described), KINDS[type(described)]
+                self.record.append(record)
+                self.ord.append(order)
+                self.parent.append(parent)
+                self.place.append(place.index)
+                self.kind.append(kind)
+                self.text.append(text)
+                self.near.append(near)
+                self.near_kind.append(near_kind)
+            if kind == "object":
+                members = place.members
+                for name in reversed(value):
+                    stack.append((value[name], order, members.get(name) or place.member(name, places, keep), value))
+            elif kind == "array" and value:
+                item = place.item or place.items(places, keep)
+                for entry in reversed(value):
+                    stack.append((entry, order, item, None))
+            order += 1
+
+    def batch(self, carried: dict, fields: Sequence[str]) -> pa.RecordBatch:
+        own = {"ord": self.ord, "parent_ord": self.parent, "json_type": self.kind, "value": self.text,
+               "sibling_value": self.near, "sibling_type": self.near_kind}
+        rows, at = pa.array(self.record, pa.int32()), pa.array(self.place, pa.int32())
+        arrays = [column.take(rows) for column in carried.values()]
+        for name in fields:
+            kind = LEAF_COLUMNS[name][1]
+            if name in BY_PLACE:
+                arrays.append(pa.array([getattr(p, name) for p in self.places], kind).take(at))
+            else:
+                arrays.append(pa.array(own[name], kind))
+        out = pa.RecordBatch.from_arrays(arrays, [*carried, *fields])
+        self.clear()
+        if len(self.places) > MAX_PLACES:
+            self.forget()
+        return out
 
 
 def json_walk(
@@ -89,48 +141,33 @@ def json_walk(
     body: str = "body",
     keys: Sequence[str] | None = None,
     annotations: bool = False,
+    keep: Callable[[Place], bool] | None = None,
+    fields: Sequence[str] = tuple(LEAF_COLUMNS),
 ) -> DataFrame:
-    """Walk ``body`` of every record.
+    """Walk ``body`` of every record; ``fields`` of :data:`LEAF_COLUMNS` come out.
 
-    ``keys`` keeps only values held under those keys; ``annotations`` keeps only non-empty
-    allowable-value lists. Bodies that are not JSON give no rows.
+    ``keys`` keeps only values held under those keys; ``annotations`` only non-empty
+    allowable-value lists; ``keep`` is any test of a place. Bodies that are not JSON give no rows.
     """
-    wanted = frozenset(keys) if keys is not None else None
-    fields = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in carry)
     source = records.select(*carry, body)
-    # The same selection as a substring test on the raw text, before Python sees the row.
-    if wanted is not None:
-        tests = [F.col(body).contains(f'"{k}"') for k in sorted(wanted)]
-        any_key = tests[0]
-        for test in tests[1:]:
-            any_key = any_key | test
-        # An escaped key would not match literally; rows with escapes always go through.
-        source = source.filter(any_key | F.col(body).contains("\\u"))
+    test = keep
+    # Selections are also made as substring tests on the raw text, before Python sees the row.
+    # An escaped key would not match literally, so rows with escapes always go through.
+    if keys is not None:
+        wanted = frozenset(keys)
+        literal = F.col(body).contains("\\u")
+        for key in sorted(wanted):
+            literal = literal | F.col(body).contains(f'"{key}"')
+        source = source.filter(literal)
+        test = lambda place: place.key in wanted
     elif annotations:
         source = source.filter(F.col(body).contains(ALLOWABLE) | F.col(body).contains("\\u"))
-
-    def keep(row) -> bool:
-        if wanted is not None:
-            return row[4] in wanted
-        if annotations:
-            return row[4] is not None and row[4].endswith(ALLOWABLE) and row[7] == "array" and row[8] != "[]"
-        return True
-
-    columns = [tuple(f.split(" ")) for f in LEAF_SCHEMA.split(", ")]
-    names = [name for name, _ in columns]
+        test = lambda place: place.key is not None and place.key.endswith(ALLOWABLE)
 
     def stage(batches):
+        walker = Walker(test)
         for batch in batches:
-            kept = {c: batch.column(c) for c in carry}
-            index, rows = [], []
-
-            def flush():
-                take = pa.array(index, pa.int32())
-                arrays = [kept[c].take(take) for c in carry]
-                for (_, kind), values in zip(columns, zip(*rows)):
-                    arrays.append(pa.array(values, ARROW_TYPES[kind]))
-                return pa.RecordBatch.from_arrays(arrays, list(carry) + names)
-
+            carried = {c: batch.column(c) for c in carry}
             for position, text in enumerate(batch.column(body).to_pylist()):
                 try:
                     value = json.loads(text) if text is not None else None
@@ -138,17 +175,16 @@ def json_walk(
                     continue
                 if value is None:
                     continue
-                for row in walk_value(value):
-                    if keep(row):
-                        index.append(position)
-                        rows.append(row)
-                        if len(rows) >= FLUSH_ROWS:
-                            yield flush()
-                            index, rows = [], []
-            if rows:
-                yield flush()
-
-    return source.mapInArrow(stage, f"{fields}, {LEAF_SCHEMA}")
+                walker.walk(value, position)
+                if len(walker.ord) >= FLUSH_ROWS:
+                    yield walker.batch(carried, fields)
+            if walker.ord:
+                yield walker.batch(carried, fields)
+
+    shape = [f"`{c}` {records.schema[c].dataType.simpleString()}" for c in carry]
+    shape += [f"{name} {LEAF_COLUMNS[name][0]}" for name in fields]
+    leaves = source.mapInArrow(stage, ", ".join(shape))
+    return leaves.filter("json_type = 'array' and value <> '[]'") if annotations else leaves
 
 
 def is_scalar() -> Column:

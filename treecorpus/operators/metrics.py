@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from treecorpus.functions.classify import let
 from treecorpus.functions.json_text import read_json
 from treecorpus.sources.corpus_io import json_lines
 
@@ -370,9 +371,9 @@ def rouge_n(rows: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
     """F-measure of n-gram overlap of ``(target, prediction)`` per row; no stemming."""
     def grams(column: str, side: str) -> DataFrame:
         words = F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda w: w != "")
-        spans = F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice(words, i, n), " ")))
+        spans = words if n == 1 else let(words, lambda w: F.when(F.size(w) >= n, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))),
+            lambda i: F.array_join(F.slice(w, i, n), " "))))
         return rows.select(*keys, F.explode(spans).alias("gram")).groupBy(*keys, "gram").agg(
             F.count("*").alias(side))
 

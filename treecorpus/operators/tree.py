@@ -47,7 +47,7 @@ def graph_nodes(records: DataFrame) -> DataFrame:
 def harvest_refs(records: DataFrame) -> DataFrame:
     """``(url, ref, ord)``: references anywhere in the body, first appearance, never the URL itself."""
     return (
-        json_walk(records, carry=("url",), keys=("@odata.id",))
+        json_walk(records, carry=("url",), keys=("@odata.id",), fields=("ord", "json_type", "value"))
         .filter((F.col("json_type") == "string") & (F.col("value") != "") & (F.col("value") != F.col("url")))
         .groupBy("url", trim_url(F.col("value")).alias("ref"))
         .agg(F.min("ord").alias("ord"))
@@ -101,7 +101,7 @@ def neighbors(parents: DataFrame, edges: DataFrame) -> DataFrame:
 def child_relation(records: DataFrame, parents: DataFrame) -> DataFrame:
     """``(url, relation)``: the parent's top-level key that holds the reference, else a segment."""
     keyed = (
-        json_walk(records, carry=("url",), keys=("@odata.id",))
+        json_walk(records, carry=("url",), keys=("@odata.id",), fields=("ord", "top_key", "json_type", "value"))
         .filter((F.col("json_type") == "string") & (F.col("value") != "")
                 & ~F.col("top_key").startswith("@"))
         .groupBy(F.col("url").alias("parent"), trim_url(F.col("value")).alias("url"))

@@ -80,7 +80,7 @@ vsurf as (select s.*, coalesce(lower(c_mktsegment), '') vendor from surf s left
 
 
 def leaves(spark, sf):
-    return walk.json_walk(full(spark, sf), carry=("url", "source"))
+    return walk.json_walk(full(spark, sf), carry=("url", "source"), fields=("path", "json_type", "value"))
 
 
 def surfaces(spark, sf):
@@ -96,7 +96,7 @@ union all select '/v1/registries/'||p_partkey, 'registry', 'RegistryEntries.Attr
                  case when p_size % 2 = 0 then 'True' else 'False' end, p_brand, p_brand, 'Other']) v,
          unnest(['string','string','boolean','string','string','string','boolean','string','string','string']) t)""")
 def j4_scalar_facts(spark, sf):
-    return ops.scalar_facts(leaves(spark, sf)).select("url", "source", "path", "value", "json_type")
+    return ops.scalar_facts(full(spark, sf), ["url", "source"]).select("url", "source", "path", "value", "json_type")
 
 
 @query("c5_drop_sensitive_paths", f"""with {TREE_SQL}
@@ -204,7 +204,7 @@ def j15_value_at_path(spark, sf):
         "Boot.BootSourceOverrideTarget@Redfish.AllowableValues[]")])
     cus = full(spark, sf).filter("source = 'customer'")
     return walk.value_at_path(
-        walk.json_walk(cus, carry=("url",)), cus.select("url", F.explode(asked).alias("path"))
+        walk.json_walk(cus, carry=("url",), fields=("path", "json_type", "value")), cus.select("url", F.explode(asked).alias("path"))
     ).select("url", "path", "found_value")
 
 

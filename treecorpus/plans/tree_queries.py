@@ -68,7 +68,7 @@ WALKED_KINDS = ["customer", "order", "line", "part", "supplier"]
 @query("j1_json_walk", WALK_SQL + """
 select source, path, json_type, count(*) n from leaf group by all""")
 def j1_json_walk(spark, sf):
-    leaves = walk.json_walk(inputs.tree(spark, sf), carry=("url", "seq", "source"))
+    leaves = walk.json_walk(inputs.tree(spark, sf), carry=("source",), fields=("path", "json_type"))
     return (
         leaves.filter(walk.is_scalar() & F.col("source").isin(WALKED_KINDS)
                       & ~F.col("path").isin("@odata.id", "@odata.type", "Name"))
@@ -79,7 +79,7 @@ def j1_json_walk(spark, sf):
 @query("j1_walk_order", f"""with {TREE_SQL}
 select url, seq, 13::bigint n, 6 quantity_ord, 8 part_ord, 12 last_ord from lin""")
 def j1_walk_order(spark, sf):
-    rows = walk.json_walk(inputs.tree(spark, sf).filter("source = 'line'"))
+    rows = walk.json_walk(inputs.tree(spark, sf).filter("source = 'line'"), fields=("ord", "key"))
     at = lambda k: F.min(F.when(F.col("key") == k, F.col("ord")))
     return rows.groupBy("url", "seq").agg(
         F.count("*").alias("n"), at("Quantity").alias("quantity_ord"), at("Part").alias("part_ord"),
