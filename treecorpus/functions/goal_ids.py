@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from treecorpus.functions.classify import any_of
+from treecorpus.functions.classify import any_of, let
 
 # Subtrees and keys that never become goals.
 SKIP_SUBTREES = ["Actions", "Links", "Members"]
@@ -79,13 +79,17 @@ def resource_type_id(rtype: Column) -> Column:
 
 
 def family_for_path(type_id: Column, path: Column) -> Column:
-    lowered = F.lower(F.concat(type_id, F.lit("."), path))
-    chain = None
-    for fragments, name in PATH_FAMILIES:
-        test = any_of([lowered.contains(f) for f in fragments])
-        chain = F.when(test, name) if chain is None else chain.when(test, name)
+    def family(lowered: Column) -> Column:
+        chain = None
+        for fragments, name in PATH_FAMILIES:
+            test = any_of([lowered.contains(f) for f in fragments])
+            chain = F.when(test, name) if chain is None else chain.when(test, name)
+        return chain
+
+    # snake() of the empty string is "resource"; a path without a first segment is a plain state.
     first = F.replace(F.substring_index(path, ".", 1), F.lit("[]"), F.lit(""))
-    return chain.when(first == "", "state").otherwise(snake(first))
+    return F.coalesce(
+        let(F.lower(F.concat(type_id, F.lit("."), path)), family), F.when(first == "", "state").otherwise(snake(first)))
 
 
 def family_for_action(action: Column) -> Column:

@@ -326,7 +326,8 @@ def e19_stage_summary(spark, sf):
 
 def ordered_lists(spark, sf):
     """Parts of an order by line, and the same list with a hash-chosen drop and a reversal."""
-    first = mix.first_seen(inputs.lines(spark, sf).select("o_orderkey", "l_linenumber", "l_partkey", "l_seq"),
+    first = mix.first_seen(inputs.line_captures(spark, sf).select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_seq"),
                            ["o_orderkey", "l_linenumber"], ["l_seq"])
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     # An order holds at most one first capture per line number, so the list is short.

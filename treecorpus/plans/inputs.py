@@ -72,24 +72,18 @@ def orders(spark, sf) -> DataFrame:
     )
 
 
+def line_captures(spark, sf) -> DataFrame:
+    """Line items with their capture order ``l_seq``; a line number of an order may come several times."""
+    parts = (F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
+             F.col("l_quantity").cast("int"), cents("l_extendedprice"))
+    return table(spark, sf, "lineitem").withColumn(
+        "l_seq", md5_long(F.concat_ws("-", *[c.cast("string") for c in parts])))
+
+
 def lines(spark, sf) -> DataFrame:
     rows = orders(spark, sf).select("o_orderkey", "o_url", "c_custkey")
-    seq_text = F.concat_ws(
-        "-",
-        *[
-            F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-            for c in (
-                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                F.col("l_quantity").cast("int"), cents("l_extendedprice"),
-            )
-        ],
-    )
-    return (
-        table(spark, sf, "lineitem")
-        .join(rows, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("l_url", text_of(F.col("o_url"), "/lines/", F.col("l_linenumber")))
-        .withColumn("l_seq", md5_long(seq_text))
-    )
+    return line_captures(spark, sf).join(rows, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+        "l_url", text_of(F.col("o_url"), "/lines/", F.col("l_linenumber")))
 
 
 def _record(df: DataFrame, url, host, seq, kind, type_name, vendor, *members) -> DataFrame:

@@ -11,14 +11,20 @@ from treecorpus.plans.eval_queries import rounded, rounded_sql
 from treecorpus.plans.inputs import TREE_SQL, h_sql, md5_fraction, obj, table, text_of
 from treecorpus.plans.registry import query
 from treecorpus.plans.tree_queries import CANDIDATE_SQL, REFS_SQL, crawled, tree_candidates
+from treecorpus.session import staged
 
 # --- request and call rows ---------------------------------------------------------------------
 
 
 def request_labels(spark, sf):
+    """The labels, staged: building call rows looks at them several times."""
+    return staged(spark, "labels", sf, lambda: build_request_labels(spark, sf))
+
+
+def build_request_labels(spark, sf):
     """First capture of each line of an order: the order asks for the line's part."""
     first = mix.first_seen(
-        inputs.lines(spark, sf).select("o_orderkey", "l_linenumber", "l_partkey", "l_seq", "l_returnflag",
+        inputs.line_captures(spark, sf).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_seq", "l_returnflag",
                                        F.col("l_quantity").cast("int").alias("qty")),
         ["o_orderkey", "l_linenumber"], ["l_seq"])
     return first.select(F.col("o_orderkey").alias("row_id"), F.col("l_linenumber").alias("pos"),
@@ -706,11 +712,13 @@ def k12_trigram_vector(spark, sf):
 
 
 def rank_inputs(spark, sf):
+    """States, candidates and true neighbours; candidate texts are staged, for they are read block by block."""
     nodes = crawled(spark, sf)
     parents = tree.containment_parent(nodes.select("url"))
     relations = tree.child_relation(nodes, parents)
     cand = tree.candidates(tree.graph_nodes(nodes), relations)
-    texts = cand.select("host", "url", F.col("url").alias("key"), ranking.candidate_text().alias("text"))
+    texts = staged(spark, "texts", sf, lambda: cand.select(
+        "host", "url", F.col("url").alias("key"), ranking.candidate_text().alias("text")))
     edges = tree.reference_edges(tree.harvest_refs(nodes), nodes)
     truths = tree.neighbors(parents, edges).select("url", F.col("neighbor").alias("truth"))
     return texts.drop("key"), texts, truths
