@@ -191,3 +191,18 @@ def test_plans(spark, name):
 def test_windows_are_cut_before_the_shuffle(spark):
     plan = entry.queries()["f7_replay_last_n"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_exact_percentiles(spark):
+    from treecorpus.operators.percentiles import exact_percentiles
+
+    rng = random.Random(3)
+    groups = {"hot": [rng.gauss(0, 1) ** 9 for _ in range(2000)], "ties": [1.0] * 50 + [2.0] * 3, "one": [7.0],
+              "two": [1.0, 4.0], "wide": [1e-9, 1e9, 3.0, -1e12]}
+    data = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    frame = spark.createDataFrame(data, "k string, v double").repartition(5)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: [r[n] for n in shares] for r in exact_percentiles(frame, "k", "v", shares).collect()}
+    assert got.keys() == groups.keys()
+    for key, values in groups.items():
+        assert np.allclose(got[key], np.percentile(values, [0, 50, 95, 100]), rtol=1e-12)

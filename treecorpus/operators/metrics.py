@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from treecorpus.functions.classify import let
 from treecorpus.functions.json_text import read_json
+from treecorpus.operators.percentiles import exact_percentiles
 from treecorpus.sources.corpus_io import json_lines
 
 # Where prediction rows may hold each field, in order of preference.
@@ -184,11 +185,10 @@ def prediction_metrics(rows: DataFrame, by: str = "artifact", ece_bins: int = 10
         F.avg("sequence_length").alias("mean_sequence_length"),
         F.max("sequence_length").cast("double").alias("max_sequence_length"),
         F.try_divide(F.sum(per_token * used), F.sum(used)).alias("log_prob_per_token"),
-        F.percentile("latency_sec", 0.5).alias("latency_sec_p50"),
-        F.percentile("latency_sec", 0.95).alias("latency_sec_p95"),
         F.max("memory_peak_mb").alias("memory_peak_mb"),
     )
-    return plain.join(calibration_error(rows, by, ece_bins), by, "left")
+    waits = exact_percentiles(rows, by, "latency_sec", {"latency_sec_p50": 0.5, "latency_sec_p95": 0.95})
+    return plain.join(waits, by, "left").join(calibration_error(rows, by, ece_bins), by, "left")
 
 
 def calibration_error(rows: DataFrame, by: str = "artifact", bins: int = 10) -> DataFrame:
@@ -307,9 +307,8 @@ def exact_match_f1(rows: DataFrame, by: str) -> DataFrame:
 
 
 def stage_summary(rows: DataFrame, stage: str, value: str) -> DataFrame:
-    return rows.groupBy(stage).agg(
-        F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("max"),
-        F.min(value).alias("min"))
+    plain = rows.groupBy(stage).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"))
+    return plain.join(exact_percentiles(rows, stage, value, {"median": 0.5}), stage, "left")
 
 
 def set_scores(expected: Column, predicted: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from treecorpus.functions import json_text
 from treecorpus.functions.hashing import md5_fraction
 from treecorpus.operators import metrics as ops, mix
+from treecorpus.operators.percentiles import exact_percentiles
 from treecorpus.plans import inputs
 from treecorpus.plans.inputs import h_sql, obj, table, text_of
 from treecorpus.plans.registry import query
@@ -152,8 +153,8 @@ def e4_prediction_metrics(spark, sf):
 select event_type, round(quantile_cont("value", 0.5), 6) p50, round(quantile_cont("value", 0.95), 6) p95
 from events group by event_type""")
 def e5_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    rows = exact_percentiles(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return rows.select("event_type", *rounded(["p50", "p95"]))
 
 
 @query("e6_weighted_log_prob", f"""with {METRIC_SQL}
@@ -403,11 +404,9 @@ g as (select conv_id, turn, unnest(list_filter(string_split_regex(lower(target),
 c as (select conv_id, turn, w, sum(t) t, sum(p) p from g group by all)
 select conv_id, turn, round(2 * sum(least(t, p)) / sum(t + p), 6) rouge from c group by all""")
 def k21_rouge(spark, sf):
-    from pyspark.sql import Window
-
-    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = table(spark, sf, "conversations").withColumn("prediction", after).filter("prediction is not null")
-    rows = turns.select("conv_id", "turn", F.col("text").alias("target"), "prediction")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    reply = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    rows = turns.withColumnRenamed("text", "target").join(reply, ["conv_id", "turn"])
     return ops.rouge_n(rows, ["conv_id", "turn"]).select("conv_id", "turn", *rounded(["rouge"]))
 
 
