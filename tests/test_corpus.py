@@ -147,3 +147,24 @@ def test_reading_json_text():
     assert json_text.read_json("{a: 1}") == (None, "prediction JSON parse failed")
     assert json_text.read_json("[1, 2)") == (None, "prediction is not JSON")
     assert json_text.read_json(None) == (None, "missing prediction")
+
+
+def test_lines_are_numbered_per_file(spark, tmp_path):
+    for name, n in (("a.jsonl", 400), ("b.jsonl", 3)):
+        (tmp_path / name).write_text("".join(f'{{"i": {i}}}\n' for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = corpus_io.read_lines(spark, str(tmp_path)).withColumn("i", F.get_json_object("line", "$.i").cast("long"))
+        assert got.rdd.getNumPartitions() >= 1
+        assert got.filter("i <> line_number").count() == 0 and got.count() == 403
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_load_request_records(spark, tmp_path):
+    good = {"rest_api": "/a", "allowed_methods": ["get"], "json": {}}
+    lines = [json.dumps(good), "", json.dumps({"x": {**good, "rest_api": "/b"}}), json.dumps(good), "[]"]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    kept, errors = corpus_io.load_request_records(spark, str(tmp_path / "r.jsonl"))
+    assert rows(kept.select("line_number", "rest_api")) == [(1, "/a"), (3, "/b")]
+    assert rows(errors) == [(4, "duplicate rest_api /a"), (5, "row must be a JSON object")]

@@ -75,6 +75,7 @@ def render_list_rows(rows: DataFrame) -> DataFrame:
 
     ``json`` is the JSON text of the context bodies, ``allowed_methods`` a map.
     """
+    # Section headings of the prompt.
     prompt = F.concat(
         F.lit("### Operator Text\n"), "text", F.lit("\n\n### Current Redfish JSON\n"), pretty_json_value(F.col("json")),
         F.lit("\n\n### Allowed Methods\n"), pretty_json_value(F.to_json("allowed_methods")),
@@ -84,6 +85,7 @@ def render_list_rows(rows: DataFrame) -> DataFrame:
 
 def render_call_rows(rows: DataFrame) -> DataFrame:
     """As :func:`render_list_rows` for call rows, which also show the list and have ``calls``."""
+    # Section headings of the prompt.
     prompt = F.concat(
         F.lit("### Operator Text\n"), "text", F.lit("\n\n### Ordered REST API List\n"),
         pretty_json_value(F.to_json("rest_api_list")),
@@ -113,6 +115,7 @@ PARSED = T.StructType().add("error", "string").add("calls", T.ArrayType(CALL))
 PARSED_LIST = T.StructType().add("error", "string").add("rest_api_list", TEXTS)
 
 
+# Fixed values below: the wording of the failures.
 def _check_call(call) -> str | None:
     if not isinstance(call, dict):
         return "each y_pred.calls item must be an object"

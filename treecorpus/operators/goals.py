@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from treecorpus.functions import goal_ids as g
 from treecorpus.functions.classify import is_metadata_document
+from treecorpus.functions.json_text import pretty_json_value
 from treecorpus.functions.urls import odata_type
 from treecorpus.operators.json_walk import ALLOWABLE, is_scalar, json_walk
 
@@ -256,6 +257,34 @@ def compound_text(atoms: DataFrame, group: list[str], ordered: Column) -> DataFr
         .otherwise(F.array_join("texts", " and ")).alias("text"))
 
 
+# The wording of the paraphrase prompt.
+PROMPT_HEAD = (
+    "Generate natural-language operator requests for a server-management agent.\n"
+    "Each request must mean exactly the atomic sub-goals below.\n"
+)
+PROMPT_ORDER = "Use the ordering implied by the dependency hints."
+PROMPT_NO_ORDER = "Do not add ordering words such as then, before, after, first, or second."
+PROMPT_RULES = (
+    "\nDo not add, remove, weaken, strengthen, or reorder goals beyond the dependency hints.\n"
+    "Return one request per line, no numbering, no markdown.\n\n"
+)
+
+
+def paraphrase_prompt(goals: DataFrame, count: int, dependencies: Column | None = None) -> DataFrame:
+    """Add the ``prompt`` for one goal per row; unsafe strings are redacted.
+
+    ``dependencies`` is a JSON list of hints; with any hint the prompt asks for their order.
+    """
+    hints = F.lit("[]") if dependencies is None else F.coalesce(dependencies, F.lit("[]"))
+    shown = F.to_json(F.array(F.struct(
+        "goal_id", "family", "resource_type", "property_path", F.lit("eq").alias("operator"), F.lit("state").alias("mode"),
+        g.safe_value(F.col("target_value"), F.col("target_type")).alias("target_value"))))
+    return goals.withColumn("prompt", F.concat(
+        F.lit(PROMPT_HEAD), F.when(hints == "[]", PROMPT_NO_ORDER).otherwise(PROMPT_ORDER),
+        F.lit(f"{PROMPT_RULES}Requested count: {count}\nAtomic sub-goals:\n"), pretty_json_value(shown),
+        F.lit("\n\nDependency hints:\n"), pretty_json_value(hints), F.lit("\n")))
+
+
 def verify_goals(surfaces: DataFrame, observed: DataFrame) -> DataFrame:
     """Check surfaces against observed leaves ``(url, path, value, json_type)``.
 

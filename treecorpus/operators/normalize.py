@@ -54,6 +54,7 @@ def prompt_pairs(rows: DataFrame) -> DataFrame:
     rest_api = F.coalesce(F.nullif(api, F.lit("")), odata_id(body), F.lit(""))
     methods = F.transform("allowed_methods", F.upper)
     shown = F.when(F.size(methods) > 0, F.array_join(methods, ", ")).otherwise("UNKNOWN")
+    # Section headings of the prompt.
     prompt = F.concat(
         F.lit("### REST API\n"), rest_api, F.lit("\n\n### Allowed Methods\n"), shown,
         F.lit("\n\n### Redfish JSON Input\n"), pretty_json(body), F.lit("\n\n### Complete Redfish JSON\n"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treecorpus.functions import goal_ids as g, json_text
-from treecorpus.operators import fleet, json_walk as walk, mix, slots, vocabulary
+from treecorpus.functions import goal_ids as g
+from treecorpus.operators import fleet, goals, json_walk as walk, mix, slots, vocabulary
 from treecorpus.plans import inputs, learn_queries as learn
 from treecorpus.plans.goal_queries import FACT_SQL, surfaces, SURFACE_SQL
 from treecorpus.plans.inputs import TREE_SQL, obj, table, text_of
@@ -95,28 +95,12 @@ from goal""")
 def b16_paraphrase_prompt(spark, sf):
     parts = surfaces(spark, sf).filter("source = 'part'").select(
         "goal_id", "family", "resource_type", "property_path", "target_value", "target_type").distinct()
-    rows = paraphrase_prompt(parts, 8)
+    rows = goals.paraphrase_prompt(parts, 8)
     shown = F.get_json_object(F.regexp_extract("prompt", r"(?s)Atomic sub-goals:\n(.*)\n\nDependency", 1), "$[0].target_value")
     return rows.select("goal_id", "target_value", F.col("prompt").contains("Do not add ordering words").alias("has_rule"),
                        shown.alias("shown"))
 
 
-def paraphrase_prompt(goals, count: int):
-    """The prompt for one goal, with unsafe strings redacted."""
-    fields = F.to_json(F.array(F.struct(
-        "goal_id", "family", "resource_type", "property_path", F.lit("eq").alias("operator"), F.lit("state").alias("mode"),
-        g.safe_value(F.col("target_value"), F.col("target_type")).alias("target_value"))))
-    prompt = F.concat(
-        F.lit("Generate natural-language operator requests for a server-management agent.\n"
-              "Each request must mean exactly the atomic sub-goals below.\n"
-              "Do not add ordering words such as then, before, after, first, or second.\n"
-              "Do not add, remove, weaken, strengthen, or reorder goals beyond the dependency hints.\n"
-              "Return one request per line, no numbering, no markdown.\n\n"
-              f"Requested count: {count}\nAtomic sub-goals:\n"),
-        json_text.pretty_json_value(fields), F.lit("\n\nDependency hints:\n[]\n"))
-    return goals.withColumn("prompt", prompt)
-
-
 @query("b17_preference_rows", """
 select a.conv_id, a.turn, length(a.text) n_prompt, length(b.text) n_chosen, length(b.text) // 2 n_rejected
 from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1""")

@@ -18,6 +18,10 @@ RUNTIME_CONF = {
     # Also split a hot key when the consumer would reuse the join's partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+}
+
+# Settings that only a new session can take.
+START_CONF = {
     # No call-site capture per expression: plans here are large and built from many small ones.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -34,7 +38,7 @@ def local_session(cores: int | str = 8, app: str = "treecorpus") -> SparkSession
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
