@@ -9,6 +9,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
 from tools.check import compare, connect  # noqa: E402
+from treecorpus.plans import catalog  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,14 +20,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     status, note, _, _ = compare(spark, con, name, SF)
     # Too few URLs collide at this scale for the collision report to have rows.
