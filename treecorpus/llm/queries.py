@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import line_dedup, topk, url_filter
+from treecorpus.llm import bpe, line_dedup, packing, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,19 @@ select query_id, rank, vec_id, score from placed where rank <= 10
 def op5_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
