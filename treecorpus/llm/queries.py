@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import bpe, line_dedup, packing, topk, url_filter
+from treecorpus.llm import bpe, line_dedup, packing, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op3_packing(spark, sf_dir):
 
     pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op9_simhash")
+def op9_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
