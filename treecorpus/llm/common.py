@@ -93,3 +93,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 
 def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose frames are gone.
+
+    It does so when the driver's garbage is collected, which may be hours after the last use.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import bpe, line_dedup, packing, simhash, topk, url_filter
+from treecorpus.llm import bpe, line_dedup, packing, simhash, suffix_dedup, topk, url_filter
+from treecorpus.llm.common import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,9 @@ def op3_packing(spark, sf_dir):
 @query("op9_simhash")
 def op9_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(id_back("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
