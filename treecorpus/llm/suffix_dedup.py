@@ -7,7 +7,7 @@
    the first ones of groups with several contexts: near the edges of repeats.
 3. For these the text after the anchor is a suffix of a sparse suffix array. The common-prefix
    interval tree of every group and the diversity of its left extensions give all maximal repeats.
-   A group of very many contexts is not held in one task: its windows are hashed and counted.
+   A group of very many contexts is not held in one task: its windows are sorted one by one, by hash.
 4. The spans are cut out of each document.
 """
 
@@ -106,30 +106,36 @@ def _scan(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
                 yield text[own] + i, place[own] + a, gram[own], context[own]
 
 
+def _first_of_equals(gram, context, doc, at) -> pa.RecordBatch:
+    """Rows of one slice, of which only the first with the same gram and context goes to its gram.
+
+    The others are known to be covered: ``at`` is inverted and the row goes anywhere. A gram that
+    fills a third of the table so sends each task's first row only. Repeated rows are dropped.
+    """
+    order = np.lexsort((at, doc, context, gram))
+    gram, context, doc, at = gram[order], context[order], doc[order], at[order]
+    again = np.zeros(len(at), bool)
+    again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
+    keep = np.ones(len(at), bool)
+    keep[1:] = ~(again[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
+    gram = np.where(again, _mix(at.view(np.uint64) + doc.view(np.uint64)).view(np.int64), gram)
+    at = np.where(again, ~at, at)
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, context, doc, at)], ["gram", "context", "doc", "at"])
+
+
 def _anchors(batches):
-    """Rows ``gram, context, doc, at``. Of equal contexts in one slice only the first goes to its gram;
-    the others are known to be covered: ``at`` is inverted and the row goes anywhere."""
+    """Rows ``gram, context, doc, at`` of all anchors."""
     for batch in batches:
         texts = utf8(batch.column("text"))
         ids = batch.column("doc").to_numpy()
         digests = batch.column("digest").to_numpy()
         for a, b in slices([len(x) for x in texts], TOGETHER):
             for text, place, gram, context in _scan(texts[a:b]):
-                doc = ids[a:b][text]
-                at = (digests[a:b][text] << 32) | place
-                order = np.lexsort((at, doc, context, gram))
-                gram, context, doc, at = gram[order], context[order], doc[order], at[order]
-                again = np.zeros(len(at), bool)
-                again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
-                same_row = np.zeros(len(at), bool)
-                same_row[1:] = again[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-                gram = np.where(again, _mix(at.view(np.uint64) + doc.view(np.uint64)).view(np.int64), gram)
-                at = np.where(again, ~at, at)
-                keep = ~same_row
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, context, doc, at)], ["gram", "context", "doc", "at"])
+                yield _first_of_equals(gram, context, ids[a:b][text], (digests[a:b][text] << 32) | place)
 
 
 ANCHOR_TYPE = "gram long, context long, doc long, at long"
+FOUND_TYPE = "doc long, at long, gram long, kind int"
 #: What a found place is: covered on both sides, or the first of its context in a group of several.
 COVERED, FIRST = 0, 1
 
@@ -236,16 +242,23 @@ def _repeat_spans(batches):
 
 
 def _windows(batches):
-    """Every window around the firsts of split groups: ``w1, w2, doc, at`` (``at``: where it starts)."""
+    """Every window around the firsts of split groups, as ``gram, context`` (its hash), ``doc`` and ``at`` (its start)."""
     for batch in batches:
-        for _, doc, at, before, text in zip(*(c.to_pylist() for c in batch.columns)):
-            starts = range(0, len(text) - LENGTH + 1)
-            digests = np.frombuffer(b"".join(
-                hashlib.blake2b(text[i:i + LENGTH], digest_size=16).digest() for i in starts if i <= before), "<i8").reshape(-1, 2)
-            n = len(digests)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([doc] * n, pa.int64()),
-                 pa.array([at - before + i for i in range(n)], pa.int64())], ["w1", "w2", "doc", "at"])
+        hashes, doc, at = [], [], []
+        for row in batch.to_pylist():
+            text, high = row["text"].encode(), row["digest"] << 32
+            for place in row["places"]:
+                for start in range(max(0, place - BEFORE), min(place, len(text) - LENGTH) + 1):
+                    hashes.append(hashlib.blake2b(text[start:start + LENGTH], digest_size=16).digest())
+                    doc.append(row["doc"])
+                    at.append(high | start)
+                if len(at) > 50_000:
+                    halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+                    yield _first_of_equals(halves[:, 0], halves[:, 1], np.array(doc), np.array(at))
+                    hashes, doc, at = [], [], []
+        if at:
+            halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield _first_of_equals(halves[:, 0], halves[:, 1], np.array(doc), np.array(at))
 
 
 def _cut_out(batches):
@@ -292,7 +305,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text
     base = docs.select(id_of(id).alias("doc"), digest_of(body).alias("digest"), body.alias("text"))
     found = cut(
         base.mapInArrow(_anchors, ANCHOR_TYPE).repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
-        .mapInArrow(_classify, "doc long, at long, gram long, kind int"), "anchors")
+        .mapInArrow(_classify, FOUND_TYPE), "anchors")
     release(spark)
     firsts = found.filter(F.col("kind") == FIRST)
     hot = cut(firsts.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("gram"), "hot-grams")
@@ -313,15 +326,14 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text
     def around(which):
         wanted = places.filter(F.size(which) > 0).select(
             "doc", "digest", F.col(which)["place"].alias("places"), F.col(which)["gram"].alias("grams"))
-        return base.join(wanted, ["doc", "digest"]).mapInArrow(_contexts, CONTEXT_TYPE)
+        return base.join(wanted, ["doc", "digest"])
 
-    spans = around("firsts").repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(_repeat_spans, SPAN_TYPE)
+    spans = around("firsts").mapInArrow(_contexts, CONTEXT_TYPE).repartition("gram").sortWithinPartitions(
+        "gram", "doc", "at").mapInArrow(_repeat_spans, SPAN_TYPE)
     if split:
-        windows = around("hot_firsts").mapInArrow(_windows, "w1 long, w2 long, doc long, at long")
-        windows = cut(windows.distinct(), "windows")
-        earliest = cut(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-                       .filter("n > 1").select("w1", "w2", "first"), "earliest-windows")
-        later = windows.join(earliest, ["w1", "w2"]).filter(F.struct("doc", "at") != F.col("first"))
+        windows = around("hot_firsts").mapInArrow(_windows, ANCHOR_TYPE).repartition("gram").sortWithinPartitions(
+            "gram", "context", "doc", "at").mapInArrow(_classify, FOUND_TYPE)
+        later = windows.filter(F.col("kind") == COVERED)
         spans = spans.union(later.select("doc", F.shiftright("at", 32).alias("digest"), place.alias("low"), (place + LENGTH).alias("high")))
     spans = spans.groupBy("doc", "digest").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     return (
