@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import bpe, line_dedup, packing, simhash, suffix_dedup, topk, url_filter
+from treecorpus.llm import bpe, line_dedup, packing, pivots, quality, simhash, suffix_dedup, topk, toxicity, url_filter
 from treecorpus.llm.common import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,20 @@ def op9_simhash(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(id_back("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_pivot_index")
+def op7_pivot_index(spark, sf_dir):
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.report(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.report(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.5)

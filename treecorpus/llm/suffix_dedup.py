@@ -261,7 +261,14 @@ def _windows(batches):
             yield _first_of_equals(halves[:, 0], halves[:, 1], np.array(doc), np.array(at))
 
 
-def _cut_out(batches):
+def _cut_out(as_text: bool, carried: bool):
+    def run(batches):
+        return _cut_batches(batches, as_text, carried)
+
+    return run
+
+
+def _cut_batches(batches, as_text: bool, carried: bool):
     for batch in batches:
         texts = utf8(batch.column("text"))
         out = []
@@ -280,8 +287,10 @@ def _cut_out(batches):
         n, gone, spans, kept = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-             pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-            ["doc", "digest", "n_bytes", "n_removed", "n_spans", "kept"])
+             pa.array(spans, pa.int64()),
+             pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+             *([batch.column("carry")] if carried else [])],
+            ["doc", "digest", "n_bytes", "n_removed", "n_spans", "kept", *(["carry"] if carried else [])])
 
 
 def digest_of(text):
@@ -289,9 +298,13 @@ def digest_of(text):
     return F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1).cast("long"))
 
 
-def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text: str = "text",
+                   carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """``doc, digest, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of every row.
 
+    With ``carry`` a struct of these columns comes along as ``carry``. With ``as_text`` what stays is a
+    string without the characters of which only some bytes do.
+
     Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in a smaller id, or
     further ahead in the same document; overlaps count) is removed; strings are judged on the input.
     Texts are UTF-8 bytes, null is empty, texts shorter than ``LENGTH`` stay whole. A row without an
@@ -302,9 +315,11 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark, 20_000, "8m")
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(id_of(id).alias("doc"), digest_of(body).alias("digest"), body.alias("text"))
+    along = [F.struct(*carry).alias("carry")] if carry else []
+    base = docs.select(id_of(id).alias("doc"), digest_of(body).alias("digest"), body.alias("text"), *along)
+    # The same columns go through every join with the texts, so that Spark shuffles these once.
     found = cut(
-        base.mapInArrow(_anchors, ANCHOR_TYPE).repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
+        base.select("doc", "digest", "text").mapInArrow(_anchors, ANCHOR_TYPE).repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
         .mapInArrow(_classify, FOUND_TYPE), "anchors")
     release(spark)
     firsts = found.filter(F.col("kind") == FIRST)
@@ -338,4 +353,12 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text
     spans = spans.groupBy("doc", "digest").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     return (
         base.join(places.select("doc", "digest", "covered"), ["doc", "digest"], "left").join(spans, ["doc", "digest"], "left")
-        .mapInArrow(_cut_out, "doc long, digest long, n_bytes long, n_removed long, n_spans long, kept binary"))
+        .mapInArrow(_cut_out(as_text, bool(carry)), "doc long, digest long, n_bytes long, n_removed long, n_spans long, kept "
+                    + ("string" if as_text else "binary") + (f", carry {base.schema['carry'].dataType.simpleString()}" if carry else "")))
+
+
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of its texts; all other columns stay as they are."""
+    others = tuple(c for c in docs.columns if c != text)
+    done = remove_repeats(docs, text=text, carry=others, as_text=True)
+    return done.select(*[F.col("kept").alias(c) if c == text else F.col("carry")[c].alias(c) for c in docs.columns])
