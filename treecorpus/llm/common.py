@@ -41,7 +41,7 @@ def cut(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound what one Arrow batch of texts or blocks takes in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -31,6 +31,14 @@ def encoder(path: str) -> PieceEncoder:
         lambda text: any(s in text for s in special))
 
 
+def id_type(path: str, end: int | None) -> str:
+    """The narrowest type for the ids of the vocabulary; what is written and shuffled is mostly ids."""
+    from tokenizers import Tokenizer
+
+    most = max([end or 0, *Tokenizer.from_file(path).get_vocab().values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 @functools.cache
 def axes() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, AXES))
@@ -76,7 +84,7 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _tokenise(path: str, end: int | None):
+def _tokenise(path: str, end: int | None, kind: str):
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
@@ -87,7 +95,7 @@ def _tokenise(path: str, end: int | None):
                 keys = hilbert_key(np.array([place_in_space(x) for x in ids]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc")[a:b], pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc", "key", "n", "ids"])
+                     pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc", "key", "n", "ids"])
 
     return run
 
@@ -132,7 +140,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int | None = 0, id:
     spark = docs.sparkSession
     small_batches(spark)
     named = docs.select(id_of(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tokens = cut(named.mapInArrow(_tokenise(path, end), "doc long, key long, n long, ids binary").withColumn(
+    kind = id_type(path, end)
+    tokens = cut(named.mapInArrow(_tokenise(path, end, kind), "doc long, key long, n long, ids binary").withColumn(
         "row", F.monotonically_increasing_id()), "pack-tokens")
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = cut(tokens.select("row", "key", "doc", "n").repartitionByRange(ranges, "key", "doc", "row").withColumn(
@@ -149,6 +158,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int | None = 0, id:
         for batch in batches:
             for a, b in slices(pc.binary_length(batch.column("ids")).to_pylist(), TOGETHER):
                 docs_, begin, n, ids = (batch.column(c)[a:b].to_pylist() for c in ("doc", "begin", "n", "ids"))
+                ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in ids]
                 out = [(docs_[i], start, length, ids[i][4 * start:4 * (start + length)], n[i], sequence, offset)
                        for i in range(b - a) for start, length, sequence, offset in pieces_of(begin[i], n[i], size, total)]
                 columns = list(zip(*out)) or [()] * 7
