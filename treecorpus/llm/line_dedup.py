@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.llm.common import SPACES, ascii_lower, id_of
+from treecorpus.llm.common import SPACES, ascii_lower, cut, id_of
 
 
 def line_key(line: Column) -> Column:
@@ -39,8 +39,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10, id: st
     else:
         repeated = places.groupBy("_h1", "_h2").agg(
             F.min("_doc").alias("_first"), F.count_distinct("_doc").alias("_n")).filter(F.col("_n") >= min_docs)
+    # Written, so that the join reads two plain shuffles: then Spark can split a line found in very many documents.
+    repeated = cut(repeated.select("_h1", "_h2", "_first"), "repeated-lines")
     dropped = (
-        places.join(repeated.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        places.join(repeated, ["_h1", "_h2"])
         .filter(F.col("_doc") != F.col("_first"))
         .groupBy("_doc", "_text").agg(F.collect_set("_place").alias("_gone")))
     none = F.array().cast("array<int>")
