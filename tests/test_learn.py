@@ -47,8 +47,11 @@ def test_masks_against_brute_force():
         ids = random.Random(seed).choices([0, 1, 2, 3], k=random.Random(seed).randrange(0, 40))
         assert tokens.span_mask(ids, [1, 2], [[3]], False) == brute_span(ids, [1, 2], [[3]])
         assert tokens.span_mask(ids, [1], [[3, 0], [2, 2]], False) == brute_span(ids, [1], [[3, 0], [2, 2]])
+        assert tokens.span_mask(ids, [1, 2], [[2, 3]], False) == brute_span(ids, [1, 2], [[2, 3]])
+        assert tokens.span_mask(ids, [1, 2], [[2, 3], [3], [0, 0, 1]], False) == brute_span(ids, [1, 2], [[2, 3], [3], [0, 0, 1]])
         assert tokens.section_mask(ids, [1], [1], [2], False) == brute_section(ids, [1], [1], [2])
     assert tokens.span_mask([5, 6], [1], [[3]], True) == [1, 1]
+    assert tokens.span_mask([1, 2, 3], [1, 2], [[2, 3]], False) == [0, 0, 0]
 
 
 def test_chunks_cover_the_input(spark):

@@ -37,10 +37,14 @@ def class_health(resources: DataFrame) -> DataFrame:
 
 
 def fleet_predicate(leaves: DataFrame, predicates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(url, n_held, done)``: a node is done when every predicate ``(path, value)`` holds on it."""
-    held = leaves.join(predicates, ["path", "value"], "left_semi").select("url", "path").distinct().groupBy("url").agg(
+    """``(url, n_held, done)``: a node is done when every predicate ``(path, value)`` holds on it.
+
+    Predicates are distinct pairs, so two that ask a path for different values never both hold.
+    """
+    asked = predicates.select("path", "value").distinct()
+    held = leaves.join(asked, ["path", "value"], "left_semi").select("url", "path", "value").distinct().groupBy("url").agg(
         F.count("*").alias("n_held"))
-    wanted = predicates.agg(F.countDistinct("path")).scalar()
+    wanted = asked.agg(F.count("*")).scalar()
     return nodes.select("url").join(held, "url", "left").select(
         "url", F.coalesce("n_held", F.lit(0)).alias("n_held"),
         (F.coalesce("n_held", F.lit(0)) == wanted).alias("done"))

@@ -94,10 +94,15 @@ def _label(rows: DataFrame) -> DataFrame:
         "allowed_values", "verifier_kind", F.struct("seq", "rank", "ord").alias("at"))
 
 
+def _within(ord: Column, pos: Column) -> Column:
+    """The order of (ord, pos) as one long; a position is less than 2**31."""
+    return ord.cast("long") * F.lit(2**31) + pos
+
+
 def _state_rows(records: DataFrame) -> DataFrame:
     allowed = allowable_values(records).filter(~F.col("under_actions") & (F.col("text") != ""))
     from_lists = _raw(
-        allowed, rank=0, ord=F.col("ord") * 10000 + F.col("pos"), mode="state", verifier_kind="state_eq",
+        allowed, rank=0, ord=_within(F.col("ord"), F.col("pos")), mode="state", verifier_kind="state_eq",
         fact_path=F.col("path"), target_value=F.col("text"), target_type=F.col("kind"),
         current_value=F.when(~F.col("path").contains("[]"), F.col("sibling_value")), allowed_values=F.col("allowed"))
     facts = scalar_facts(records, RECORD).filter("value <> ''")
@@ -120,12 +125,12 @@ def _action_rows(records: DataFrame) -> DataFrame:
     slots = allowable_values(records).filter(
         (F.element_at("seg", 1) == "Actions") & (F.size("seg") > 2)
     ).select(
-        "url", "seq", F.element_at("seg", 2).alias("action_key"),
+        "url", "seq", "source", F.element_at("seg", 2).alias("action_key"),
         F.substring_index("path", ".", -1).alias("argument"), "ord", "pos", "text", "kind", "allowed",
     )
-    rows = named.join(slots, ["url", "seq", "action_key"], "left")
+    rows = named.join(slots, ["url", "seq", "source", "action_key"], "left")
     return _raw(
-        rows, rank=2, ord=F.coalesce(F.col("ord") * 10000 + F.col("pos"), F.lit(0)), mode="transition",
+        rows, rank=2, ord=F.coalesce(_within(F.col("ord"), F.col("pos")), F.lit(0)), mode="transition",
         verifier_kind="transition", fact_path=F.concat_ws(".", F.lit("Actions"), "action_key", "argument"),
         action_name=F.col("action_name"), argument_name=F.col("argument"), target_value=F.col("text"),
         target_type=F.coalesce("kind", F.lit("null")), allowed_values=F.col("allowed"))

@@ -135,6 +135,42 @@ class Walker:
         return out
 
 
+def decode(text: str):
+    """The value of a JSON text; lone surrogates, which no column can hold, become U+FFFD.
+
+    Raises ValueError for what is not JSON, for integers beyond Python's digit limit, and for
+    nesting beyond the parser's depth.
+    """
+    try:
+        value = json.loads(text)
+        if "\\ud" in text.lower():
+            whole = json.dumps(value, ensure_ascii=False).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+            value = json.loads(whole)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    return value
+
+
+def unreadable(records: DataFrame, carry: Sequence[str] = ("url", "seq"), body: str = "body") -> DataFrame:
+    """``carry`` and ``reason`` of the bodies that :func:`json_walk` leaves out: missing, too deep, or malformed."""
+
+    def stage(batches):
+        for batch in batches:
+            reasons = []
+            for text in batch.column(body).to_pylist():
+                reason = "missing" if text is None else None
+                try:
+                    if text is not None:
+                        decode(text)
+                except ValueError as error:
+                    reason = "too deep" if str(error) == "too deep" else "malformed"
+                reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(reasons, pa.string())], [*carry, "reason"])
+
+    shape = [f"`{c}` {records.schema[c].dataType.simpleString()}" for c in carry]
+    return records.select(*carry, body).mapInArrow(stage, ", ".join([*shape, "reason string"])).filter("reason is not null")
+
+
 def json_walk(
     records: DataFrame,
     carry: Sequence[str] = ("url", "seq"),
@@ -147,7 +183,8 @@ def json_walk(
     """Walk ``body`` of every record; ``fields`` of :data:`LEAF_COLUMNS` come out.
 
     ``keys`` keeps only values held under those keys; ``annotations`` only non-empty
-    allowable-value lists; ``keep`` is any test of a place. Bodies that are not JSON give no rows.
+    allowable-value lists; ``keep`` is any test of a place. Bodies that cannot be read give no rows here;
+    :func:`unreadable` lists them.
     """
     source = records.select(*carry, body)
     test = keep
@@ -170,7 +207,7 @@ def json_walk(
             carried = {c: batch.column(c) for c in carry}
             for position, text in enumerate(batch.column(body).to_pylist()):
                 try:
-                    value = json.loads(text) if text is not None else None
+                    value = decode(text) if text is not None else None
                 except ValueError:
                     continue
                 if value is None:

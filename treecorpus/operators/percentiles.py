@@ -11,8 +11,9 @@ def exact_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, fl
     """``(by, name…)``: per group the linearly interpolated percentiles named in ``shares``.
 
     Order statistics are found by narrowing: the value range around each wanted rank is cut into
-    4,096 even cells, the cells are counted, and the one that holds the rank is cut again. After
-    two cuts only the rows of one cell in sixteen million are ordered by value.
+    4,096 even cells, the cells are counted, and the one that holds the rank is cut again, each time
+    between the least and the greatest value it holds. After three cuts only the rows of one cell are
+    ordered by value. Infinities are values like others.
     """
     group, by = by, "_group"
     counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias(by), F.col(value).cast("double").alias("v")).agg(
@@ -26,10 +27,14 @@ def exact_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, fl
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(r), F.least(F.floor(r) + 1, F.col("n") - 1)) for r in rank.values()])))
     targets = spans.select(by, F.explode(ranks).alias("k"), "lo", "hi", F.lit(0).cast("long").alias("before"))
-    for _ in range(2):
+    for _ in range(3):
         near = counted.join(targets, by).filter(F.col("v").between(F.col("lo"), F.col("hi")))
         width = F.col("hi") - F.col("lo")
-        cell = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
+        infinite = F.lit(float("inf"))
+        even = F.least(F.floor((F.col("v") - F.col("lo")) / width * CELLS), F.lit(CELLS - 1))
+        # An unbounded range is first cut into what is finite and what is not.
+        cell = F.when(width == infinite, F.when(F.col("v") == -infinite, 0).when(F.col("v") == infinite, 2).otherwise(1)).when(
+            width > 0, even).otherwise(0)
         cells = near.groupBy(by, "k", "before", cell.alias("cell")).agg(
             F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.col("before") + F.sum("c").over(Window.partitionBy(by, "k").orderBy("cell"))
@@ -45,5 +50,6 @@ def exact_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, fl
     at = lambda low: F.max(F.when((F.col("k") == F.col("low")) if low else (F.col("k") > F.col("low")), F.col("v")))
     joined = both.join(found, [by, "k"]).withColumn("share", share).groupBy(by, "name", "share").agg(
         at(True).alias("a"), at(False).alias("b"))
-    result = joined.withColumn("q", F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("share"))
+    between = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("share")
+    result = joined.withColumn("q", F.when((F.col("share") == 0) | (F.coalesce("b", "a") == F.col("a")), F.col("a")).otherwise(between))
     return result.groupBy(F.col(by).alias(group)).agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in shares])

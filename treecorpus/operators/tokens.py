@@ -75,13 +75,18 @@ def span_mask(ids, target: list[int], ends: list[list[int]], keep_all: bool) ->
     """From each target through the first terminator after it; a target without one is left out."""
     ids = np.asarray(ids)
     width = max(map(len, ends))
-    closing = np.asarray(sorted({int(s) + len(e) for e in ends for s in _starts(ids, e)}), dtype=int)
+    begins: dict[int, int] = {}  # where a terminator ends: where the shortest such one starts
+    for end in ends:
+        for s in _starts(ids, end):
+            begins[int(s) + len(end)] = max(int(s), begins.get(int(s) + len(end), 0))
+    closing = np.asarray(sorted(begins), dtype=int)
+    last_begin = begins.get(len(ids), -1)
     spans = []
     for start in _starts(ids, target):
         after = int(start) + len(target)
         # Terminators are looked for in windows of the longest one's width that begin after the
         # target; at the end of the list the windows get shorter.
-        fits = closing[(closing - width >= after) | ((closing == len(ids)) & (closing > after))]
+        fits = closing[(closing - width >= after) | ((closing == len(ids)) & (last_begin >= after))]
         if len(fits):
             spans.append((int(start), int(fits.min())))
     return _filled(len(ids), spans, keep_all)

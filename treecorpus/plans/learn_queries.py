@@ -786,21 +786,24 @@ def k17_score_candidates(spark, sf):
 
 
 @query("k18_bilinear_score", """
-with w as (select l_linenumber % 8 bucket, (l_partkey % 8)::int "out", avg(l_discount) x from lineitem group by all),
-v as (select vec_id, unnest(range(8)) b, unnest(embedding[1:8])::double w from embeddings),
-p as (select vec_id, "out", sum(v.w * w.x) pw from v join w on w.bucket = v.b group by all)
-select vec_id, round(sum(pw * v2.w), 6) score from p join (select vec_id, b, w from v) v2 using (vec_id)
-where v2.b = p."out" group by vec_id""")
+with w as (select l_orderkey % 64 bucket, (l_partkey % 64)::int "out", avg(l_discount) x from lineitem group by all),
+v as (select vec_id, label, unnest(range(len(embedding))) b, unnest(embedding)::double w from embeddings),
+p as (select vec_id, label, "out", sum(v.w * w.x) pw from v join w on w.bucket = v.b group by all)
+select p.vec_id state_id, c.vec_id candidate_id, round(sum(pw * c.w), 6) score
+from p join v c on c.label = p.label and c.vec_id // 50 = p.vec_id // 50 and c.b = p."out" and c.vec_id <> p.vec_id
+group by all""")
 def k18_bilinear_score(spark, sf):
     weights = table(spark, sf, "lineitem").groupBy(
-        (F.col("l_linenumber") % 8).alias("bucket"), (F.col("l_partkey") % 8).cast("int").alias("out")).agg(
+        (F.col("l_orderkey") % 64).alias("bucket"), (F.col("l_partkey") % 64).cast("int").alias("out")).agg(
         F.avg("l_discount").alias("w"))
-    first = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.posexplode(first).alias("bucket", "w"))
-    moved = ranking.project(vectors, weights, "vec_id")
-    own = vectors.select("vec_id", "bucket", F.col("w").alias("own"))
-    return moved.join(own, ["vec_id", "bucket"]).groupBy("vec_id").agg(
-        F.round(F.sum(F.col("w") * F.col("own")), 6).alias("score"))
+    # A state's candidates are the other vectors of its label among fifty ids.
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.floor(F.col("vec_id") / 50).alias("host"), F.posexplode(F.col("embedding").cast("array<double>")).alias("bucket", "w"))
+    moved = ranking.project(rows.select("vec_id", "bucket", "w"), weights, "vec_id")
+    states = moved.join(rows.select("vec_id", "label", "host").distinct(), "vec_id").withColumnRenamed("vec_id", "state_id")
+    own = rows.withColumnsRenamed({"vec_id": "candidate_id", "w": "own"})
+    return states.join(own, ["label", "host", "bucket"]).filter("state_id <> candidate_id").groupBy(
+        "state_id", "candidate_id").agg(F.round(F.sum(F.col("w") * F.col("own")), 6).alias("score"))
 
 
 @query("k14_hash_vector", """

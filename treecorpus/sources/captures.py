@@ -77,11 +77,13 @@ def read_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFram
 
     shape = "folder string, is_file boolean"
     top = spark.range(1).select(F.lit(root).alias("folder")).mapInArrow(listing(False), shape)
-    below = top.filter("not is_file").select("folder").repartition("folder").mapInArrow(listing(True), shape)
+    # Fixed numbers: names are few bytes, by which adaptive execution would merge all tasks into one.
+    tasks = max(16, 4 * spark.sparkContext.defaultParallelism)
+    below = top.filter("not is_file").select("folder").repartition(tasks, "folder").mapInArrow(listing(True), shape)
     files = top.filter("is_file").unionByName(below.filter("is_file"))
     pattern = "^" + re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
     named = files.filter(F.substring_index("folder", "/", -1).rlike(pattern)).select("folder")
-    return named.repartition("folder").mapInArrow(contents, FILE_SCHEMA)
+    return named.repartition(tasks, "folder").mapInArrow(contents, FILE_SCHEMA)
 
 
 def classify_files(files: DataFrame) -> DataFrame:
