@@ -3,7 +3,7 @@
 import json
 
 from conftest import rows
-from treecorpus.operators import fleet, goals, json_walk
+from treecorpus.operators import fleet, goals, json_walk, mix, tree
 from treecorpus.operators.percentiles import exact_percentiles
 from treecorpus.sources.captures import read_captures, read_files
 
@@ -48,3 +48,46 @@ def test_files_are_read_by_many_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() >= 16 and files.selectExpr("spark_partition_id() p").distinct().count() >= 8
     records, _ = read_captures(spark, str(tmp_path), source="s", vendor="v")
     assert records.count() == 300
+
+
+def test_hosts_with_the_same_urls_stay_apart(spark):
+    def body(url, kind, *members):
+        return json.dumps({"@odata.id": url, "@odata.type": f"#{kind}.v1.{kind}", "Members": [{"@odata.id": m} for m in members]})
+
+    data = [
+        ("a", "/redfish/v1/", 0, body("/redfish/v1", "Root", "/redfish/v1/Systems/1")), ("b", "/redfish/v1", 1, body("/redfish/v1", "Root")),
+        ("a", "/redfish/v1/Systems/1", 2, body("/redfish/v1/Systems/1", "System", "/redfish/v1/Chassis/1")),
+        ("b", "/redfish/v1/Systems", 3, body("/redfish/v1/Systems", "Systems", "/redfish/v1/Systems/1")),
+        ("b", "/redfish/v1/Systems/1", 4, body("/redfish/v1/Systems/1", "Other")), ("b", "/redfish/v1/Chassis/1", 5, body("/redfish/v1/Chassis/1", "Chassis")),
+        ("a", "/redfish/v1/Systems/1", 6, body("/redfish/v1/Systems/1", "Newer", "/redfish/v1/Chassis/1")),
+    ]
+    records, by = spark.createDataFrame(data, "host string, url string, seq long, body string"), ["host"]
+    both = tree.graph_nodes(tree.last_wins(records, by))
+    parents = tree.containment_parent(both, by)
+    refs = tree.harvest_refs(both, by)
+    edges = tree.reference_edges(refs, both, by)
+
+    def joined(part):
+        """Everything about one host, from its own records alone."""
+        nodes = tree.graph_nodes(tree.last_wins(part))
+        alone = tree.containment_parent(nodes)
+        own_refs = tree.harvest_refs(nodes)
+        own_edges = tree.reference_edges(own_refs, nodes)
+        return [nodes.select("url", "first_seq", "resource_type"), alone, own_refs.select("url", "ref"), own_edges.select("url", "ref"),
+                tree.neighbors(alone, own_edges), tree.child_relation(nodes, alone), tree.frontier(own_refs, nodes),
+                tree.candidates(nodes.drop("host"), tree.child_relation(nodes, alone)).select("url", "http_method", "child_relation_name")]
+
+    together = [both.select("host", "url", "first_seq", "resource_type"), parents, refs.select("host", "url", "ref"), edges.select("host", "url", "ref"),
+                tree.neighbors(parents, edges, by), tree.child_relation(both, parents, by), tree.frontier(refs, both, by),
+                tree.candidates(both, tree.child_relation(both, parents, by), by=by).select("host", "url", "http_method", "child_relation_name")]
+    for host in "ab":
+        for mine, alone in zip(together, joined(records.filter(f"host = '{host}'"))):
+            assert rows(mine.filter(f"host = '{host}'").drop("host")) == rows(alone)
+    assert rows(tree.frontier(refs, both, by)) == [("a", "/redfish/v1/Chassis/1")]
+
+
+def test_a_sample_is_a_top_n(spark):
+    frame = spark.range(1000).withColumnRenamed("id", "k")
+    plan = mix.seeded_sample(frame, "k", 5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+    assert mix.seeded_sample(frame, "k", 0, 1).count() == 0 and mix.seeded_sample(frame, "k", 2000, 1).count() == 1000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Severities from best to worst.
@@ -36,17 +38,17 @@ def class_health(resources: DataFrame) -> DataFrame:
     return resources.groupBy("class", health.alias("health")).agg(F.count("*").alias("n"))
 
 
-def fleet_predicate(leaves: DataFrame, predicates: DataFrame, nodes: DataFrame) -> DataFrame:
+def fleet_predicate(leaves: DataFrame, predicates: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(url, n_held, done)``: a node is done when every predicate ``(path, value)`` holds on it.
 
-    Predicates are distinct pairs, so two that ask a path for different values never both hold.
+    ``by`` are the columns that say whose URL it is. Predicates are distinct pairs, so two that ask a path for different values never both hold.
     """
     asked = predicates.select("path", "value").distinct()
-    held = leaves.join(asked, ["path", "value"], "left_semi").select("url", "path", "value").distinct().groupBy("url").agg(
+    held = leaves.join(asked, ["path", "value"], "left_semi").select(*by, "url", "path", "value").distinct().groupBy(*by, "url").agg(
         F.count("*").alias("n_held"))
     wanted = asked.agg(F.count("*")).scalar()
-    return nodes.select("url").join(held, "url", "left").select(
-        "url", F.coalesce("n_held", F.lit(0)).alias("n_held"),
+    return nodes.select(*by, "url").join(held, [*by, "url"], "left").select(
+        *by, "url", F.coalesce("n_held", F.lit(0)).alias("n_held"),
         (F.coalesce("n_held", F.lit(0)) == wanted).alias("done"))
 
 

@@ -86,8 +86,12 @@ def seeded_split(rows: DataFrame, key: str, ratio: float, seed: int) -> DataFram
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows by hashed order (all when there are fewer, none when ``n`` is not positive)."""
-    return hashed_position(rows, key, seed).filter(F.col("pos") < n).drop("pos", "total")
+    """``n`` rows by hashed order (all when there are fewer, none when ``n`` is not positive).
+
+    Each task sends its first ``n`` rows only; the table is not shuffled.
+    """
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return rows.orderBy(draw, key).limit(max(n, 0))
 
 
 def sample_contexts(candidates: DataFrame, records: DataFrame, key: str, k: int, seed: int) -> DataFrame:

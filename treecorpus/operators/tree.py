@@ -1,11 +1,16 @@
 """The resource graph: nodes, containment, references, relations, candidates, census.
 
+Every function takes ``by``, the columns that say whose tree a URL belongs to (a host, a corpus):
+different hosts have the same URLs, and nothing may link them. They lead the rows that come out.
+
 Edges stay long rows. Duplicates are resolved with max_by/min_by aggregates (combined before the
 shuffle), and joins are plain equi-joins that adaptive execution may split on hot keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treecorpus.functions.urls import odata_type, path_tokens, proper_prefixes, trim_url
@@ -24,14 +29,14 @@ def has_action_target(body: Column) -> Column:
     )
 
 
-def last_wins(records: DataFrame) -> DataFrame:
+def last_wins(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per trimmed URL: the last body, at the position of the first."""
-    cols = [c for c in records.columns if c != "url"]
+    cols = [c for c in records.columns if c != "url" and c not in by]
     return (
         records.withColumn("url", trim_url(F.col("url")))
-        .groupBy("url")
+        .groupBy(*by, "url")
         .agg(F.max_by(F.struct(*cols), "seq").alias("r"), F.min("seq").alias("first_seq"))
-        .select("url", "first_seq", "r.*")
+        .select(*by, "url", "first_seq", "r.*")
     )
 
 
@@ -44,73 +49,77 @@ def graph_nodes(records: DataFrame) -> DataFrame:
     })
 
 
-def harvest_refs(records: DataFrame) -> DataFrame:
+def harvest_refs(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(url, ref, ord)``: references anywhere in the body, first appearance, never the URL itself."""
     return (
-        json_walk(records, carry=("url",), keys=("@odata.id",), fields=("ord", "json_type", "value"))
+        json_walk(records, carry=(*by, "url"), keys=("@odata.id",), fields=("ord", "json_type", "value"))
         .filter((F.col("json_type") == "string") & (F.col("value") != "") & (F.col("value") != F.col("url")))
-        .groupBy("url", trim_url(F.col("value")).alias("ref"))
+        .groupBy(*by, "url", trim_url(F.col("value")).alias("ref"))
         .agg(F.min("ord").alias("ord"))
     )
 
 
-def containment_parent(nodes: DataFrame) -> DataFrame:
+def containment_parent(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(url, parent)``: the nearest walked ancestor by URL segments, null when there is none.
 
-    Prefixes are exploded and met with the node set by equality. Prefixes of one URL extend each
-    other, so the nearest one is also the greatest string and the reduction is a plain max.
+    URLs with the same folder (the URL without its last segment) have the same ancestors, so the
+    parent is found once per folder: its prefixes are exploded and met with the node set by
+    equality. Prefixes of one URL extend each other, so the nearest one is also the greatest string
+    and the reduction is a plain max.
     """
-    steps = nodes.select("url", F.explode(proper_prefixes(F.col("url"))).alias("prefix"))
-    known = nodes.select(F.col("url").alias("prefix"))
-    nearest = steps.join(known, "prefix", "left_semi").groupBy("url").agg(F.max("prefix").alias("parent"))
-    return nodes.select("url").join(nearest, "url", "left")
+    placed = nodes.select(*by, "url", proper_prefixes(F.col("url")).alias("prefixes")).withColumn("folder", F.array_max("prefixes"))
+    folders = placed.filter(F.col("folder").isNotNull()).groupBy(*by, "folder").agg(F.any_value("prefixes").alias("prefixes"))
+    steps = folders.select(*by, "folder", F.explode("prefixes").alias("prefix"))
+    known = nodes.select(*by, F.col("url").alias("prefix"))
+    nearest = steps.join(known, [*by, "prefix"], "left_semi").groupBy(*by, "folder").agg(F.max("prefix").alias("parent"))
+    return placed.select(*by, "url", "folder").join(nearest, [*by, "folder"], "left").select(*by, "url", "parent")
 
 
-def containment_children(parents: DataFrame) -> DataFrame:
+def containment_children(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(parent, child)`` in sorted order (a range sort; no list per parent is built)."""
     return (
         parents.filter(F.col("parent").isNotNull())
-        .select("parent", F.col("url").alias("child"))
-        .orderBy("parent", "child")
+        .select(*by, "parent", F.col("url").alias("child"))
+        .orderBy(*by, "parent", "child")
     )
 
 
-def reference_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+def reference_edges(refs: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """References whose target was walked, without self references."""
-    known = nodes.select(F.col("url").alias("ref"))
-    return refs.filter(F.col("ref") != F.col("url")).join(known, "ref", "left_semi").select("url", "ref", "ord")
+    known = nodes.select(*by, F.col("url").alias("ref"))
+    return refs.filter(F.col("ref") != F.col("url")).join(known, [*by, "ref"], "left_semi").select(*by, "url", "ref", "ord")
 
 
-def neighbors(parents: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbors(parents: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(url, neighbor, rank, ord)``: children, then the parent, then references; first place kept."""
     linked = parents.filter(F.col("parent").isNotNull())
     rows = (
-        linked.select(F.col("parent").alias("url"), F.col("url").alias("neighbor"),
+        linked.select(*by, F.col("parent").alias("url"), F.col("url").alias("neighbor"),
                       F.lit(0).alias("rank"), F.lit(0).alias("ord"))
-        .unionByName(linked.select("url", F.col("parent").alias("neighbor"),
+        .unionByName(linked.select(*by, "url", F.col("parent").alias("neighbor"),
                                    F.lit(1).alias("rank"), F.lit(0).alias("ord")))
-        .unionByName(edges.select("url", F.col("ref").alias("neighbor"), F.lit(2).alias("rank"), "ord"))
+        .unionByName(edges.select(*by, "url", F.col("ref").alias("neighbor"), F.lit(2).alias("rank"), "ord"))
     )
     return (
-        rows.groupBy("url", "neighbor")
+        rows.groupBy(*by, "url", "neighbor")
         .agg(F.min(F.struct("rank", "ord")).alias("at"))
-        .select("url", "neighbor", "at.rank", "at.ord")
+        .select(*by, "url", "neighbor", "at.rank", "at.ord")
     )
 
 
-def child_relation(records: DataFrame, parents: DataFrame) -> DataFrame:
+def child_relation(records: DataFrame, parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(url, relation)``: the parent's top-level key that holds the reference, else a segment."""
     keyed = (
-        json_walk(records, carry=("url",), keys=("@odata.id",), fields=("ord", "top_key", "json_type", "value"))
+        json_walk(records, carry=(*by, "url"), keys=("@odata.id",), fields=("ord", "top_key", "json_type", "value"))
         .filter((F.col("json_type") == "string") & (F.col("value") != "")
                 & ~F.col("top_key").startswith("@"))
-        .groupBy(F.col("url").alias("parent"), trim_url(F.col("value")).alias("url"))
+        .groupBy(*by, F.col("url").alias("parent"), trim_url(F.col("value")).alias("url"))
         .agg(F.min_by("top_key", "ord").alias("ref_key"))
     )
     tokens = path_tokens(F.col("url"))
     last, before = F.element_at(tokens, -1), F.try_element_at(tokens, F.lit(-2))
-    return parents.join(keyed, ["parent", "url"], "left").select(
-        "url",
+    return parents.join(keyed, [*by, "parent", "url"], "left").select(
+        *by, "url",
         F.coalesce(
             F.nullif(F.col("ref_key"), F.lit("")),
             F.when(F.size(tokens) == 0, "")
@@ -120,16 +129,16 @@ def child_relation(records: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
-def candidates(nodes: DataFrame, relations: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+def candidates(nodes: DataFrame, relations: DataFrame, methods: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row per (URL, METHOD) with the v1 features; a URL without methods gets GET."""
-    rows = nodes.select("url", "resource_type", "has_action_target", *[
-        c for c in ("host",) if c in nodes.columns
-    ]).join(relations, "url", "left")
+    rows = nodes.select(*by, "url", "resource_type", "has_action_target", *[
+        c for c in ("host",) if c in nodes.columns and c not in by
+    ]).join(relations, [*by, "url"], "left")
     default = F.array(F.lit("GET"))
     if methods is None:
         rows = rows.withColumn("methods", default)
     else:
-        rows = rows.join(methods.select("url", "methods"), "url", "left").withColumn(
+        rows = rows.join(methods.select(*by, "url", "methods"), [*by, "url"], "left").withColumn(
             "methods", F.when(F.size("methods") > 0, F.col("methods")).otherwise(default)
         )
     upper = F.array_distinct(F.transform("methods", F.upper))
@@ -141,18 +150,18 @@ def candidates(nodes: DataFrame, relations: DataFrame, methods: DataFrame | None
     )
 
 
-def frontier(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+def frontier(refs: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Discovered but never walked URLs."""
-    return refs.select(F.col("ref").alias("url")).distinct().join(nodes.select("url"), "url", "left_anti")
+    return refs.select(*by, F.col("ref").alias("url")).distinct().join(nodes.select(*by, "url"), [*by, "url"], "left_anti")
 
 
-def corpus_census(nodes: DataFrame, parents: DataFrame, group: str = "source") -> DataFrame:
+def corpus_census(nodes: DataFrame, parents: DataFrame, group: str = "source", by: Sequence[str] = ()) -> DataFrame:
     """Share of nodes with a type, a parent, Links, an action target, an Oem section."""
     def share(test: Column, name: str) -> Column:
         return F.avg(F.when(test, 1.0).otherwise(0.0)).alias(name)
 
     body_keys = F.json_object_keys("body")
-    return nodes.join(parents, "url", "left").groupBy(group).agg(
+    return nodes.join(parents, [*by, "url"], "left").groupBy(group).agg(
         F.count("*").alias("n"),
         share(F.col("resource_type") != "", "typed"),
         share(F.col("parent").isNotNull(), "parented"),

@@ -469,7 +469,7 @@ OBS_SQL = """
 obs as (select event_id, event_type tool, 'op'||(user_id % 7) op, case when event_type = 'error' then 500
   when "value" < 4 then 409 when "value" < 6 then 429 when "value" < 8 then 404 else 200 end status,
   event_id % 10 <> 0 has_note, "value" > 20 has_big from events),
-learn as (select * from obs where event_id % 2 = 0),
+learn as (select * from obs),
 fld as (select tool, op, 'k' field, 'integer' "type" from learn where status < 400
   union select tool, op, 'user', 'integer' from learn where status < 400
   union select tool, op, 'note', 'string' from learn where status < 400 and has_note
@@ -479,8 +479,8 @@ rule as (select tool, op, status, count(*) n_evidence, min(event_id) first_evide
 """
 
 
-def half(spark, sf):
-    return observations(spark, sf).filter("ord % 2 = 0")
+def learned(spark, sf):
+    return observations(spark, sf)
 
 
 @query("e17_induce_cards", f"""with {OBS_SQL}
@@ -488,7 +488,7 @@ select tool, op, 'field' claim, field name, "type" detail, 0::bigint n_evidence
 union all select tool, op, 'rule', status::varchar, case when status in (409, 412) then 'precondition_unmet'
   when status = 429 or status >= 500 then 'retriable' else 'fatal' end, n_evidence from rule""")
 def e17_induce_cards(spark, sf):
-    rows = half(spark, sf)
+    rows = learned(spark, sf)
     fields = cards.response_fields(rows).select(
         "tool", "op", F.lit("field").alias("claim"), F.col("field").alias("name"), F.col("type").alias("detail"),
         F.lit(0).cast("bigint").alias("n_evidence"))
@@ -513,7 +513,7 @@ tally as (select tool, op, count(*) filter (v) confirmations, count(*) filter (n
 select *, case when contradictions > confirmations then 'contradicted' when confirmations > 0 then 'grounded'
   else 'provisional' end status from tally""")
 def e16_card_tallies(spark, sf):
-    return cards.card_tallies(cards.induce_cards(half(spark, sf)), observations(spark, sf))
+    return cards.card_tallies(cards.induce_cards(learned(spark, sf)), observations(spark, sf))
 
 
 def slot_claims(spark, sf):

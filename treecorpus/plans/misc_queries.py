@@ -224,7 +224,7 @@ select *, case when contradictions > confirmations then 'contradicted' when conf
 def s1_stream_card_tallies(spark, sf):
     from treecorpus.operators import cards
 
-    claims = cards.induce_cards(learn.half(spark, sf))
+    claims = cards.induce_cards(learn.learned(spark, sf))
     return folds.card_tallies(spark, claims, learn.as_observations(folds.stream_table(spark, sf, "events")))
 
 
