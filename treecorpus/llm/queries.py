@@ -117,13 +117,48 @@ def op9_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), w as (
+  select doc_id, i, md5(substr(h, cast(2 * i + 1 as bigint), 200)) as k
+  from (select doc_id, h, unnest(range(greatest(length(h) // 2 - 99, 0))) as i from d)
+), later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as place from w) where place > 1
+), opened as (
+  select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as opens from later
+), spans as (
+  select doc_id, min(i) as low, max(i) + 100 as high
+  from (select *, sum(opens) over (partition by doc_id order by i) as span from opened) group by doc_id, span
+), cuts as (  -- what stays ahead of each span, and behind the last
+  select doc_id, coalesce(lag(high) over (partition by doc_id order by low), 0) as a, low as b, 1 as span, high - low as gone from spans
+  union all
+  select d.doc_id, coalesce(max(high), 0), any_value(length(h)) // 2, 0, 0 from d left join spans using (doc_id) group by d.doc_id
+)
+select doc_id, any_value(length(h)) // 2 as n_bytes, cast(sum(gone) as bigint) as n_removed, cast(sum(span) as bigint) as n_spans,
+       sha256(unhex(string_agg(substr(h, cast(2 * a + 1 as bigint), cast(2 * (b - a) as bigint)), '' order by a, b))) as kept_sha256
+from cuts join d using (doc_id) group by doc_id
+""")
 def op10_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(id_back("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_pivot_index")
+@query("op7_pivot_index", """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id, b.vec_id as other from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), reached(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.other from reached r join links l on l.vec_id = r.other
+), counts as (
+  select vec_id, count(*) as n_links from links group by vec_id
+)
+select vec_id, coalesce(any_value(n_links), 0) as n_links, min(other) as component_id, vec_id = min(other) as kept
+from reached left join counts using (vec_id) group by vec_id
+""")
 def op7_pivot_index(spark, sf_dir):
     return pivots.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 

@@ -42,7 +42,7 @@ def rule_pattern(host: str | None, path: str | None) -> str:
 
 def rule_index(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
     """Rules with their pattern and the one token that fewest of the URLs carry."""
-    patterns = F.udf(rule_pattern, "string")  # one call per rule, not per URL
+    patterns = F.udf(lambda host, path: rule_pattern(host, path), "string")  # one call per rule, not per URL
     named = rules.select(
         ascii_lower(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict",
     ).distinct()
