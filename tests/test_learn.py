@@ -111,15 +111,19 @@ def test_top_k_in_blocks_equals_brute_force(spark):
         assert {tuple(r) for r in got.select("host", "url", "candidate_url", "place").collect()} == want
 
 
-def test_best_candidate_in_blocks(spark):
+def test_best_candidate_of_own_host(spark):
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(30, 8)), rng.normal(size=(70, 8))
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, query array<double>")
-    keys = spark.createDataFrame([(i, v.tolist(), i % 5 != 0) for i, v in enumerate(c)],
-                                 "candidate_id long, key array<double>, legal boolean")
-    scores = np.where(np.arange(70) % 5 != 0, q @ c.T, -np.inf)
-    got = dict(rows(ranking.best_candidate(queries, keys, block=9).select("query_id", "candidate_id")))
-    assert got == {i: int(scores[i].argmax()) for i in range(30)}
+    queries = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(q)], "query_id long, host int, query array<double>")
+    keys = spark.createDataFrame([(i, i % 4, v.tolist(), i % 5 != 0) for i, v in enumerate(c)],
+                                 "candidate_id long, host int, key array<double>, legal boolean")
+    at = np.arange(70)
+    got = rows(ranking.best_candidate(queries, keys, k=2, own=["host"]).select("query_id", "candidate_id"))
+    want = []
+    for i in range(30):
+        scores = np.where((at % 5 != 0) & (at % 4 == i % 3), q[i] @ c.T, -np.inf)
+        want += [(i, int(j)) for j in np.argsort(-scores)[:2]]
+    assert got == sorted(want, key=repr)
 
 
 def test_td_and_relabel_edges(spark):

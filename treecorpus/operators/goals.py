@@ -31,6 +31,24 @@ def variant_text(value: Column, kind: Column) -> Column:
     return F.when(kind == "boolean", F.initcap(text)).when(kind == "null", None).otherwise(text)
 
 
+def _annotated(place) -> bool:
+    return place.key is not None and place.key.endswith(ALLOWABLE)
+
+
+def state_documents(records: DataFrame) -> DataFrame:
+    """The records that goals are made of: typed, schema documents dropped."""
+    return with_type(records.filter(~is_metadata_document(F.col("url"), F.col("body"))))
+
+
+def goal_leaves(records: DataFrame) -> DataFrame:
+    """All that goals need of the bodies, in one walk: goal scalars and allowable-value lists.
+
+    ``records`` come from :func:`state_documents`. Stage the result where several operators read it.
+    """
+    return json_walk(records, carry=RECORD, keep=lambda place: _annotated(place) or g.goal_place(place),
+                     fields=("ord", "path", "key", "seg", "json_type", "value", "sibling_value"))
+
+
 def scalar_facts(records: DataFrame, carry: list[str]) -> DataFrame:
     """Scalars that may become state goals: no skipped subtrees, metadata keys or sensitive paths."""
     return json_walk(records, carry=carry, keep=g.goal_place, fields=("ord", "path", "json_type", "value")).filter(
@@ -39,8 +57,12 @@ def scalar_facts(records: DataFrame, carry: list[str]) -> DataFrame:
 
 def allowable_values(records: DataFrame) -> DataFrame:
     """One row per value of each annotated property; sensitive properties are left out."""
-    rows = json_walk(records, carry=RECORD, annotations=True,
-                     fields=("ord", "path", "seg", "json_type", "value", "sibling_value"))
+    return _allowed(json_walk(records, carry=RECORD, annotations=True,
+                              fields=("ord", "path", "seg", "json_type", "value", "sibling_value")))
+
+
+def _allowed(rows: DataFrame) -> DataFrame:
+    """The values of walked allowable-value lists."""
     prop = F.substring(F.col("path"), F.lit(1), F.length("path") - len(ALLOWABLE))
     return (
         rows.withColumn("path", prop)
@@ -99,20 +121,24 @@ def _within(ord: Column, pos: Column) -> Column:
     return ord.cast("long") * F.lit(2**31) + pos
 
 
-def _state_rows(records: DataFrame) -> DataFrame:
-    allowed = allowable_values(records).filter(~F.col("under_actions") & (F.col("text") != ""))
+def _lists(leaves: DataFrame) -> DataFrame:
+    return _allowed(leaves.filter(F.col("key").endswith(ALLOWABLE) & (F.col("json_type") == "array") & (F.col("value") != "[]")))
+
+
+def _state_rows(leaves: DataFrame) -> DataFrame:
+    allowed = _lists(leaves).filter(~F.col("under_actions") & (F.col("text") != ""))
     from_lists = _raw(
         allowed, rank=0, ord=_within(F.col("ord"), F.col("pos")), mode="state", verifier_kind="state_eq",
         fact_path=F.col("path"), target_value=F.col("text"), target_type=F.col("kind"),
         current_value=F.when(~F.col("path").contains("[]"), F.col("sibling_value")), allowed_values=F.col("allowed"))
-    facts = scalar_facts(records, RECORD).filter("value <> ''")
+    facts = leaves.filter(is_scalar() & ~F.coalesce(F.col("key").endswith(ALLOWABLE), F.lit(False)) & (F.col("value") != ""))
     from_leaves = _raw(
         facts, rank=1, ord=F.col("ord"), mode="state", verifier_kind="state_eq", fact_path=F.col("path"),
         target_value=F.col("value"), target_type=F.col("json_type"), current_value=F.col("value"))
     return from_lists.unionByName(from_leaves)
 
 
-def _action_rows(records: DataFrame) -> DataFrame:
+def _action_rows(records: DataFrame, leaves: DataFrame) -> DataFrame:
     records = records.filter(F.col("body").contains("Actions"))
     actions = F.from_json(F.get_json_object("body", "$.Actions"), "map<string,string>")
     named = (
@@ -122,7 +148,7 @@ def _action_rows(records: DataFrame) -> DataFrame:
         .withColumn("action_name", F.regexp_replace("action_key", "^#+", ""))
         .filter(~g.is_sensitive(F.col("action_name")))
     )
-    slots = allowable_values(records).filter(
+    slots = _lists(leaves).filter(
         (F.element_at("seg", 1) == "Actions") & (F.size("seg") > 2)
     ).select(
         "url", "seq", "source", F.element_at("seg", 2).alias("action_key"),
@@ -136,14 +162,18 @@ def _action_rows(records: DataFrame) -> DataFrame:
         target_type=F.coalesce("kind", F.lit("null")), allowed_values=F.col("allowed"))
 
 
-def state_surfaces(records: DataFrame) -> DataFrame:
-    """State goals from allowable values outside actions, then from scalar leaves."""
-    return _label(_state_rows(with_type(records)))
+def state_surfaces(records: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """State goals from allowable values outside actions, then from scalar leaves.
+
+    ``leaves`` are the :func:`goal_leaves` of the records, if they are staged.
+    """
+    return _label(_state_rows(goal_leaves(with_type(records)) if leaves is None else leaves))
 
 
-def action_surfaces(records: DataFrame) -> DataFrame:
+def action_surfaces(records: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """Transition goals: one per allowed argument value, or one ``invoke`` per bare action."""
-    return _label(_action_rows(with_type(records)))
+    typed = with_type(records)
+    return _label(_action_rows(typed, goal_leaves(typed) if leaves is None else leaves))
 
 
 def _pairs(*values: tuple[str, str]) -> Column:
@@ -225,10 +255,14 @@ def first_surfaces(rows: DataFrame) -> DataFrame:
     )
 
 
-def build_surfaces(records: DataFrame) -> DataFrame:
-    """All surfaces of state documents (schema documents dropped), first seen kept."""
-    state = with_type(records.filter(~is_metadata_document(F.col("url"), F.col("body"))))
-    rows = _state_rows(state).unionByName(_action_rows(state)).unionByName(_typed_rows(state))
+def build_surfaces(records: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """All surfaces of state documents (schema documents dropped), first seen kept.
+
+    ``leaves`` are the :func:`goal_leaves` of the :func:`state_documents`, if they are staged.
+    """
+    state = state_documents(records)
+    leaves = goal_leaves(state) if leaves is None else leaves
+    rows = _state_rows(leaves).unionByName(_action_rows(state, leaves)).unionByName(_typed_rows(state))
     return first_surfaces(_label(rows))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from treecorpus.functions import hashing, json_text
 from treecorpus.functions.classify import SIDECARS, infer_vendor
-from treecorpus.functions.urls import odata_id
 from treecorpus.operators import mix, normalize, positions
 from treecorpus.plans import inputs
 from treecorpus.plans.goal_queries import SURFACE_SQL, surfaces
@@ -288,29 +287,32 @@ def b3_normalize_enriched(spark, sf):
     return rows.select("seq", "semantics.resource_kind", "semantics.read_only")
 
 
+# The JSON text of a string, all but printable ASCII as escapes.
+TEXT_SQL = """case when text is not null then array_to_string(list_transform(regexp_extract_all(to_json(text)::varchar, '(?s).'),
+  lambda c: case when unicode(c) between 32 and 126 then c
+    when unicode(c) > 65535 then '\\u'||printf('%04x', 55296 + (unicode(c) - 65536) // 1024)
+      ||'\\u'||printf('%04x', 56320 + (unicode(c) - 65536) % 1024)
+    else '\\u'||printf('%04x', unicode(c)) end), '') end"""
+
+
 @query("b6_render_prompt_pairs", f"""with {RECORDS_SQL}
 select seq, '### REST API'||chr(10)||url||chr(10)||chr(10)||'### Allowed Methods'||chr(10)||
   coalesce(array_to_string(list_transform(methods, lambda m: upper(m)), ', '), 'UNKNOWN')||chr(10)||chr(10)||
   '### Redfish JSON Input'||chr(10)||j||chr(10)||chr(10)||'### Complete Redfish JSON'||chr(10) prompt,
   j||chr(10) completion
-from (select *, '{{'||chr(10)||'  "@odata.id": "'||url||'",'||chr(10)||'  "Lang": "'||lang||'",'||chr(10)||
-  '  "Size": '||n_chars||chr(10)||'}}' j from r)""")
+from (select *, '{{'||chr(10)||'  "@odata.id": "'||url||'",'||chr(10)||'  "@odata.type": "'||stype||'",'||chr(10)||
+  '  "Lang": "'||lang||'",'||chr(10)||'  "Size": '||n_chars||coalesce(','||chr(10)||'  "Text": '||t, '')||chr(10)||'}}' j
+  from (select *, {TEXT_SQL} t from r))""")
 def b6_render_prompt_pairs(spark, sf):
-    rows = inputs.records(spark, sf)
-    small = F.to_json(obj(("Size", F.get_json_object("body", "$.Size").cast("bigint")),
-                          ("Lang", F.get_json_object("body", "$.Lang")), ("@odata.id", F.col("url"))))
-    rows = rows.withColumn("body", small)
-    return normalize.prompt_pairs(normalize.normalize_records(rows)).select("seq", "prompt", "completion")
+    return normalize.prompt_pairs(normalize.normalize_records(inputs.records(spark, sf))).select("seq", "prompt", "completion")
 
 
 @query("b7_render_request_text", f"""with {RECORDS_SQL}
-select seq, "method"||' '||url||chr(10)||'{{"@odata.id": "'||url||'", "Lang": "'||lang||'", "Size": '||n_chars||'}}' "text"
-from r""")
+select seq, "method"||' '||url||chr(10)||'{{"@odata.id": "'||url||'", "@odata.type": "'||stype||'", "Lang": "'||lang||
+  '", "Size": '||n_chars||coalesce(', "Text": '||t, '')||'}}' "text"
+from (select *, {TEXT_SQL} t from r)""")
 def b7_render_request_text(spark, sf):
-    rows = inputs.records(spark, sf)
-    small = F.to_json(obj(("Size", F.get_json_object("body", "$.Size").cast("bigint")),
-                          ("Lang", F.get_json_object("body", "$.Lang")), ("@odata.id", F.col("url"))))
-    return normalize.request_text(normalize.normalize_records(rows.withColumn("body", small))).select("seq", "text")
+    return normalize.request_text(normalize.normalize_records(inputs.records(spark, sf))).select("seq", "text")
 
 
 # --- mixing and sampling -----------------------------------------------------------------------
@@ -433,12 +435,11 @@ def k1_unit_hash(spark, sf):
 
 
 @query("k2_content_hash", f"""with {RECORDS_SQL}
-select md5('{{"@odata.id":"'||url||'","Lang":"'||lang||'","Size":'||n_chars||'}}')[1:16] digest, count(*) n
+select md5('{{"@odata.id":"'||url||'","@odata.type":"'||stype||'","Lang":"'||lang||'","Size":'||n_chars||
+  coalesce(',"Text":'||to_json(text)::varchar, '')||'}}')[1:16] digest, count(*) n
 from r group by 1""")
 def k2_content_hash(spark, sf):
-    body = F.to_json(obj(("Size", F.get_json_object("body", "$.Size").cast("bigint")),
-                         ("Lang", F.get_json_object("body", "$.Lang")), ("@odata.id", odata_id(F.col("body")))))
-    digest = hashing.text_digest(json_text.compact_json(body))
+    digest = hashing.text_digest(json_text.compact_json(F.col("body")))
     return inputs.records(spark, sf).groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
 
 

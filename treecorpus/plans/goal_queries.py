@@ -10,6 +10,7 @@ from treecorpus.plans import inputs
 from treecorpus.plans.inputs import TREE_SQL
 from treecorpus.plans.registry import query
 from treecorpus.plans.tree_queries import full
+from treecorpus.session import staged
 
 IDP = "trim(regexp_replace({}, '[^A-Za-z0-9_.-]+', '_', 'g'), '_')"
 VALID = "case when regexp_full_match({0}, '[A-Za-z0-9_ -]{{1,64}}') then " + IDP.format("{0}") + " else 'value' end"
@@ -83,8 +84,13 @@ def leaves(spark, sf):
     return walk.json_walk(full(spark, sf), carry=("url", "source"), fields=("path", "json_type", "value"))
 
 
+def goal_leaves(spark, sf):
+    """What goals need of the tree's bodies, walked once and staged."""
+    return staged(spark, "goal-leaves", sf, lambda: ops.goal_leaves(ops.state_documents(full(spark, sf))))
+
+
 def surfaces(spark, sf):
-    return ops.build_surfaces(full(spark, sf))
+    return ops.build_surfaces(full(spark, sf), goal_leaves(spark, sf))
 
 
 @query("j4_scalar_facts", f"""with {FACT_SQL}
@@ -127,6 +133,10 @@ STATE_KEEP = """select url resource_uri, goal_id, family, rt resource_type, path
   t target_type from surf"""
 
 
+def state_goals(spark, sf):
+    return ops.first_surfaces(ops.state_surfaces(full(spark, sf), goal_leaves(spark, sf)))
+
+
 @query("j11_state_surfaces", f"""with {SURFACE_SQL},
 st as (select url, source, path, v, t, family, rt, goal_id from ref
   union select url, source, path, v, 'string', 'boot', 'computer_system', 'boot.computer_system.'||path||'.eq.'||v
@@ -134,10 +144,7 @@ st as (select url, source, path, v, t, family, rt, goal_id from ref
 select distinct url resource_uri, goal_id, family, rt resource_type, path fact_path, v target_value, t target_type
 from st""")
 def j11_state_surfaces(spark, sf):
-    from treecorpus.functions.classify import is_metadata_document
-
-    state = full(spark, sf).filter(~is_metadata_document(F.col("url"), F.col("body")))
-    return ops.first_surfaces(ops.state_surfaces(state)).select(
+    return state_goals(spark, sf).select(
         "resource_uri", "goal_id", "family", "resource_type", "fact_path", "target_value", "target_type")
 
 
@@ -194,17 +201,17 @@ def c6_filter_goals(spark, sf):
 
 
 @query("j15_value_at_path", f"""with {TREE_SQL}
-select url, p path, case p when 'PowerState' then case when c_acctbal >= 0 then 'On' else 'Off' end
+select url, p path, case p when 'PowerState' then case when c_acctbal >= 0 then 'On' when c_acctbal < 0 then 'Off' end
   when 'Boot.BootSourceOverrideTarget' then c_mktsegment end found_value
-from cus, (select unnest(['PowerState', 'Boot.BootSourceOverrideTarget', 'Boot.Missing',
+from (select distinct url from rec) left join cus using (url), (select unnest(['PowerState', 'Boot.BootSourceOverrideTarget', 'Boot.Missing',
   'Boot.BootSourceOverrideTarget@Redfish.AllowableValues[]']) p)""")
 def j15_value_at_path(spark, sf):
     asked = F.array(*[F.lit(p) for p in (
         "PowerState", "Boot.BootSourceOverrideTarget", "Boot.Missing",
         "Boot.BootSourceOverrideTarget@Redfish.AllowableValues[]")])
-    cus = full(spark, sf).filter("source = 'customer'")
+    nodes = full(spark, sf)
     return walk.value_at_path(
-        walk.json_walk(cus, carry=("url",), fields=("path", "json_type", "value")), cus.select("url", F.explode(asked).alias("path"))
+        walk.json_walk(nodes, carry=("url",), fields=("path", "json_type", "value")), nodes.select("url", F.explode(asked).alias("path"))
     ).select("url", "path", "found_value")
 
 
@@ -243,16 +250,17 @@ def b15_template_text(spark, sf):
     return ops.template_text(goals, 2).select("goal_id", "target_value", "fact_path", "variant", "text")
 
 
-@query("j17_compound_goals", f"""with {FACT_SQL}
-select url, array_to_string(list('set '||replace(rt, '_', ' ')||' '||{WORDS.format('path')}||' to '||
-  case when t = 'boolean' then case v when 'True' then 'enabled' else 'disabled' end else v end order by path),
-  ' then ') "text", count(*) n
-from fact where source in ('order', 'line') group by url""")
+@query("j17_compound_goals", f"""with {SURFACE_SQL},
+st as (select url, source, path, v, t, rt from ref union select url, source, path, v, 'string', 'computer_system' from boot)
+select url, case when source in ('order', 'line') then array_to_string(l, ' then ') else array_to_string(l, ' and ') end "text", n
+from (select url, source, count(*) n, list('set '||replace(rt, '_', ' ')||' '||{WORDS.format('path')}||' to '||
+  case when t = 'boolean' then case v when 'True' then 'enabled' else 'disabled' end
+  when t = 'string' and not regexp_full_match(v, '[A-Za-z0-9_ -]{{1,64}}') then 'the requested value' else v end
+  order by path, v) l from st group by url, source)""")
 def j17_compound_goals(spark, sf):
-    rows = ops.first_surfaces(ops.state_surfaces(full(spark, sf).filter("source in ('order', 'line')")))
-    atoms = ops.template_text(rows, 1).select(
-        F.col("resource_uri").alias("url"), F.col("fact_path").alias("pos"), "text")
-    text = ops.compound_text(atoms, ["url"], F.lit(True))
+    atoms = ops.template_text(state_goals(spark, sf), 1).select(
+        F.col("resource_uri").alias("url"), "source", F.struct("fact_path", "target_value").alias("pos"), "text")
+    text = ops.compound_text(atoms, ["url"], F.col("source").isin("order", "line"))
     return text.join(atoms.groupBy("url").agg(F.count("*").alias("n")), "url")
 
 

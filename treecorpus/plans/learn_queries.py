@@ -775,14 +775,17 @@ def f5_top_k_per_group(spark, sf):
 @query("k17_score_candidates", """
 with q as (select vec_id, embedding::double[] e, label from embeddings),
 s as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(a.e, b.e), 9) score from q a, q b
-  where b.label % 2 = 0),
+  where b.label % 2 = 0 and a.label = b.label and a.vec_id // 50 = b.vec_id // 50),
 p as (select *, row_number() over (partition by query_id order by score desc, candidate_id) place from s)
 select query_id, candidate_id, round(score, 6) score from p where place = 1""")
 def k17_score_candidates(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("e").alias("query"))
-    keys = rows.select(F.col("vec_id").alias("candidate_id"), F.col("e").alias("key"), (F.col("label") % 2 == 0).alias("legal"))
-    return ranking.best_candidate(queries, keys).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+    # A state's candidates are the vectors of its label among fifty ids; those of even labels are legal.
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("e"), "label", F.floor(F.col("vec_id") / 50).alias("host"))
+    queries = rows.select("label", "host", F.col("vec_id").alias("query_id"), F.col("e").alias("query"))
+    keys = rows.select(
+        "label", "host", F.col("vec_id").alias("candidate_id"), F.col("e").alias("key"), (F.col("label") % 2 == 0).alias("legal"))
+    return ranking.best_candidate(queries, keys, own=["label", "host"]).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
 
 
 @query("k18_bilinear_score", """

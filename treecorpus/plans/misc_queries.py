@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treecorpus.functions import goal_ids as g
+from treecorpus.functions.classify import SIDECARS
 from treecorpus.operators import fleet, goals, json_walk as walk, mix, slots, vocabulary
 from treecorpus.plans import inputs, learn_queries as learn
 from treecorpus.plans.goal_queries import FACT_SQL, surfaces, SURFACE_SQL
@@ -20,6 +21,9 @@ from treecorpus.streaming import folds
 c as (select * from cus where c_acctbal >= 0),
 v as (
   select 'type' kind, rtype token from rec where rtype <> ''
+  union select 'api_target', url from rec
+  union select 'api_target', '/v1/parts/'||arg_max(l_partkey, seq) from lin group by url
+  union select 'api_target', '/v1/suppliers/'||arg_max(l_suppkey, seq)||'/' from lin group by url
   union select 'target', url||'/Actions/ComputerSystem.Reset' from c
   union select 'target', url||'/Actions/ComputerSystem.Ping' from c
   union select 'action', unnest(['ComputerSystem.Reset', 'ComputerSystem.Ping']) where exists (from c)
@@ -33,10 +37,10 @@ v as (
     where exists (from part)
   union select 'attribute_value', unnest([p_brand, p_size::varchar, 'Size', 'Integer', 'False', 'Brand'||p_size,
     'Enumeration', case when p_size % 2 = 0 then 'True' else 'False' end, 'Other']) from part)
-select kind, token from v where kind <> 'api_target'""")
+select kind, token from v""")
 def e18_vocabulary(spark, sf):
     leaves = walk.json_walk(full(spark, sf), carry=("url",))
-    return vocabulary.vocabulary(leaves).filter("kind <> 'api_target'")
+    return vocabulary.vocabulary(leaves)
 
 
 @query("c8_drop_volatile_names", """
@@ -88,16 +92,17 @@ def b14_expand_action_prompts(spark, sf):
 
 
 @query("b16_paraphrase_prompt", f"""with {SURFACE_SQL},
-goal as (select distinct goal_id, family, rt, path, v, t from ref where source = 'part')
-select goal_id, v target_value, regexp_matches('x', 'x') has_rule,
+goal as (select distinct goal_id, family, rt, case when "mode" = 'state' then path else '' end path, v, t from surf)
+select goal_id, path property_path, v target_value, family <> 'boot' has_rule,
   case when t = 'string' and not regexp_full_match(v, '[A-Za-z0-9_ -]{{1,64}}') then '<redacted-string>' else v end shown
 from goal""")
 def b16_paraphrase_prompt(spark, sf):
-    parts = surfaces(spark, sf).filter("source = 'part'").select(
+    wanted = surfaces(spark, sf).select(
         "goal_id", "family", "resource_type", "property_path", "target_value", "target_type").distinct()
-    rows = goals.paraphrase_prompt(parts, 8)
+    rows = goals.paraphrase_prompt(wanted, 8, F.when(F.col("family") == "boot", F.lit('["g1>g2:before"]')))
     shown = F.get_json_object(F.regexp_extract("prompt", r"(?s)Atomic sub-goals:\n(.*)\n\nDependency", 1), "$[0].target_value")
-    return rows.select("goal_id", "target_value", F.col("prompt").contains("Do not add ordering words").alias("has_rule"),
+    return rows.select("goal_id", "property_path", "target_value",
+                       F.col("prompt").contains("Do not add ordering words").alias("has_rule"),
                        shown.alias("shown"))
 
 
@@ -199,14 +204,14 @@ def m1_class_health(spark, sf):
 
 
 @query("m2_fleet_predicate", f"""with {TREE_SQL}
-select url, ((c_acctbal >= 0)::int + (c_mktsegment = 'BUILDING')::int)::bigint n_held,
-  c_acctbal >= 0 and c_mktsegment = 'BUILDING' done from cus""")
+select url, host, coalesce((c_acctbal >= 0)::int + (c_mktsegment = 'BUILDING')::int, 0)::bigint n_held,
+  coalesce(c_acctbal >= 0 and c_mktsegment = 'BUILDING', false) done from (select distinct url, host from rec) left join cus using (url)""")
 def m2_fleet_predicate(spark, sf):
-    nodes = full(spark, sf).filter("source = 'customer'")
+    nodes = full(spark, sf)
     wanted = spark.createDataFrame(
         [("PowerState", "On"), ("Boot.BootSourceOverrideTarget", "BUILDING")], "path string, value string")
-    leaves = walk.json_walk(nodes, carry=("url",), keys=("PowerState", "BootSourceOverrideTarget"))
-    return fleet.fleet_predicate(leaves, wanted, nodes)
+    leaves = walk.json_walk(nodes, carry=("host", "url"), keys=("PowerState", "BootSourceOverrideTarget"), fields=("path", "value"))
+    return fleet.fleet_predicate(leaves, wanted, nodes, by=["host"])
 
 
 @query("m3_log_archive_since", """
@@ -282,8 +287,11 @@ def s5_stream_episode_returns(spark, sf):
         "user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("total", 6).alias("total"), "n_steps")
 
 
-@query("s6_stream_ingest", """select distinct '/u/'||user_id url from events""")
+@query("s6_stream_ingest", """
+select '/u/'||user_id url, arg_min(event_id, ts::varchar||lpad(event_id::varchar, 20, '0')) event_id,
+  arg_min(props, ts::varchar||lpad(event_id::varchar, 20, '0')) body from events where event_id % 9 <> 0 group by user_id""")
 def s6_stream_ingest(spark, sf):
     events = folds.stream_table(spark, sf, "events").select(
-        "ts", text_of("/u/", F.col("user_id"), "/").alias("url"), F.col("props").alias("body"))
-    return folds.ingest(spark, events, "60 days").select("url")
+        "ts", "event_id", text_of("/u/", F.col("user_id"), "/").alias("url"), F.col("props").alias("body"),
+        F.when(F.col("event_id") % 9 == 0, text_of("/cap/", F.lit(SIDECARS[0]))).otherwise("/cap/body.json").alias("path"))
+    return folds.ingest(spark, events, ["ts", "event_id"]).select("url", "event_id", "body")

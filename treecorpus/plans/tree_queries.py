@@ -61,8 +61,22 @@ leaf as (
   union all select 'part', 'SerialNumber', 'string' from part
   union all select 'supplier', 'NTP.ProtocolEnabled', 'boolean' from supplier
   union all select 'supplier', 'NTP.NTPServers[]', 'string' from supplier, unnest([1,2])
+  union all select kind, '@odata.id', 'string' from rec
+  union all select kind, '@odata.type', 'string' from rec where kind <> 'option'
+  union all select kind, 'Name', 'string' from rec
+  union all select 'root', 'Regions.@odata.id', 'string' from rec where kind = 'root'
+  union all select 'regions', 'Members[].@odata.id', 'string' from region
+  union all select 'region', 'FirstNation.@odata.id', 'string' from region where r_regionkey in (select n_regionkey from nation)
+  union all select 'registry', 'RegistryEntries.Attributes[].'||p, t from part, lateral (select
+     unnest(['AttributeName','Type','ReadOnly','CurrentValue','AttributeName','Type','ReadOnly','CurrentValue',
+             'Value[].ValueName','Value[].ValueName']) p,
+     unnest(['string','string','boolean','string','string','string','boolean','string','string','string']) t)
+  union all select 'info', 'Parameters[].'||p, t from supplier, lateral (select
+     unnest(['Name','DataType','Required','AllowableValues[]','AllowableValues[]','Name','DataType','Required']) p,
+     unnest(['string','string','boolean','string','string','string','string','boolean']) t)
+  union all select 'option', 'BootOptionReference', 'string' from supplier where s_suppkey % 2 = 0
+  union all select 'option', 'Id', 'string' from supplier
 )"""
-WALKED_KINDS = ["customer", "order", "line", "part", "supplier"]
 
 
 @query("j1_json_walk", WALK_SQL + """
@@ -70,16 +84,31 @@ select source, path, json_type, count(*) n from leaf group by all""")
 def j1_json_walk(spark, sf):
     leaves = walk.json_walk(inputs.tree(spark, sf), carry=("source",), fields=("path", "json_type"))
     return (
-        leaves.filter(walk.is_scalar() & F.col("source").isin(WALKED_KINDS)
-                      & ~F.col("path").isin("@odata.id", "@odata.type", "Name"))
+        leaves.filter(walk.is_scalar())
         .groupBy("source", "path", "json_type").agg(F.count("*").alias("n"))
     )
 
 
-@query("j1_walk_order", f"""with {TREE_SQL}
-select url, seq, 13::bigint n, 6 quantity_ord, 8 part_ord, 12 last_ord from lin""")
+@query("j1_walk_order", f"""with {TREE_SQL},
+node as (
+  select '/v1' url, 0::bigint seq, 6 n
+  union all select '/v1/regions', 0, 5 + 2 * (select count(*) from region)::int
+  union all select '/v1/regions/'||r_regionkey, r_regionkey,
+    case when r_regionkey in (select n_regionkey from nation) then 6 else 4 end from region
+  union all select url, n_nationkey, 4 from nat
+  union all select url, c_custkey, 15 + case when c_acctbal >= 0 then 9 else 0 end +
+    case when c_custkey in (select o_custkey from orders) then 2 else 0 end from cus
+  union all select url, o_orderkey, 8 + case when o_orderkey in (select l_orderkey from lineitem) then 2 else 0 end from ord
+  union all select url, seq, 13 from lin
+  union all select '/v1/parts/'||p_partkey, p_partkey, 8 from part
+  union all select '/v1/registries/'||p_partkey, p_partkey, 21 from part
+  union all select '/v1/suppliers/'||s_suppkey, s_suppkey, 9 from supplier
+  union all select '/v1/suppliers/'||s_suppkey||'/ResetInfo', s_suppkey, 16 from supplier
+  union all select '/v1/suppliers/'||s_suppkey||'/BootOptions/'||s_suppkey, s_suppkey, 4 + (s_suppkey % 2 = 0)::int from supplier)
+select url, seq, n::bigint n, case when url like '%/lines/%' then 6 end quantity_ord,
+  case when url like '%/lines/%' then 8 end part_ord, n - 1 last_ord from node""")
 def j1_walk_order(spark, sf):
-    rows = walk.json_walk(inputs.tree(spark, sf).filter("source = 'line'"), fields=("ord", "key"))
+    rows = walk.json_walk(inputs.tree(spark, sf), fields=("ord", "key"))
     at = lambda k: F.min(F.when(F.col("key") == k, F.col("ord")))
     return rows.groupBy("url", "seq").agg(
         F.count("*").alias("n"), at("Quantity").alias("quantity_ord"), at("Part").alias("part_ord"),

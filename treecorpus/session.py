@@ -8,7 +8,7 @@ import uuid
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime SQL settings that can be changed on a session somebody else started.
 RUNTIME_CONF = {
@@ -53,9 +53,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only when none is set (tests)."""
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session inside one machine (``local[...]``) gets a temporary folder; on a
+    cluster that is an error, for executors and driver would each see a folder of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="treecorpus-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -66,15 +73,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_STAGED: dict[tuple[str, str, str], str] = {}
+_STAGED: dict[tuple, str] = {}
+
+
+def listing(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """How many files a folder holds, and a sum over their names, sizes and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    mark = F.xxhash64("path", "length", "modificationTime") % F.lit(2**31)
+    return tuple(files.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0))).first())
 
 
-def staged(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, written once per application to the shared folder and read from there.
+def staged(spark: SparkSession, name: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files of ``folder``, written once per application to the shared folder and read from there.
 
-    Lost executors then re-read files instead of recomputing the derivation.
+    Lost executors then re-read files instead of recomputing the derivation. New files in the folder
+    give a new table.
     """
-    at = (spark.sparkContext.applicationId, name, key)
+    at = (spark.sparkContext.applicationId, name, folder, *listing(spark, folder))
     if at not in _STAGED:
         path = scratch_path(spark, name)
         build().write.parquet(path)

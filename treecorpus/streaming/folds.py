@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from treecorpus.functions.classify import is_sidecar
 from treecorpus.functions.urls import trim_url
 from treecorpus.operators import cards, judge
 from treecorpus.session import scratch_path
@@ -103,7 +104,13 @@ def episode_returns(spark: SparkSession, steps: DataFrame, episode: str, gap: st
     return run(spark, sessions, "returns", "append")
 
 
-def ingest(spark: SparkSession, records: DataFrame, delay: str) -> DataFrame:
-    """Records of a growing source, one per URL within the watermark."""
-    rows = records.withColumn("url", trim_url(F.col("url"))).withWatermark("ts", delay)
-    return run(spark, rows.dropDuplicatesWithinWatermark(["url"]), "ingest", "append")
+def ingest(spark: SparkSession, records: DataFrame, order: list[str]) -> DataFrame:
+    """Records of a growing source: per URL the first by ``order``, however late it arrives.
+
+    Sidecar files are no records. State is one row per URL.
+    """
+    rows = records.filter(~is_sidecar(F.substring_index("path", "/", -1), F.col("body"))) if "path" in records.columns else records
+    rows = rows.withColumn("url", trim_url(F.col("url")))
+    others = [c for c in rows.columns if c != "url"]
+    first = rows.groupBy("url").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r"))
+    return run(spark, first, "ingest", "update", ["url"]).select("url", "r.*")
