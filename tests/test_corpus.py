@@ -122,10 +122,13 @@ def test_missing_folder_is_empty(spark, folder):
 
 
 def test_sources_from_manifest(spark, folder):
-    out = captures.sources_from_manifest(spark, str(folder / "m.json"), str(folder))
+    out, skipped = captures.sources_from_manifest(spark, str(folder / "m.json"), str(folder))
+    assert sorted(r["reason"] for r in skipped.collect()) == ["empty", "malformed", "not an object", "sidecar", "sidecar"]
+    assert out.count() == 4 and out.filter("allowed_methods is null").count() == 3
     assert rows(out.select("url", "corpus_id", "vendor").filter("url = '/v1/Chassis'")) == [("/v1/Chassis", "c1", "acme")]
     assert out.filter("url = '/v1/Chassis'").head()["allowed_methods"] == ["GET", "PATCH"]
-    assert captures.sources_from_manifest(spark, str(folder / "m.json"), str(folder), ids=["zz"]).count() == 0
+    none, _ = captures.sources_from_manifest(spark, str(folder / "m.json"), str(folder), ids=["zz"])
+    assert none.count() == 0
 
 
 def test_corpus_round_trip(spark, records):

@@ -7,13 +7,13 @@ import json
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from treecorpus.functions.classify import let
 from treecorpus.functions.json_text import read_json
 from treecorpus.operators.percentiles import exact_percentiles
-from treecorpus.sources.corpus_io import json_lines
+from treecorpus.sources.corpus_io import json_lines, read_lines
 
 # Where prediction rows may hold each field, in order of preference.
 TARGET_PATHS = ["y_true.json", "target.json", "expected.json", "reference.json", "y_true", "target", "expected",
@@ -57,6 +57,14 @@ def read_predictions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("error is null").drop("error"), checked.filter("error is not null")
 
 
+def load_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_predictions` of an artifact's files; one without any row is an error."""
+    good, bad = read_predictions(read_lines(spark, path))
+    if good.isEmpty() and bad.isEmpty():
+        raise ValueError(f"no prediction rows in {path}")
+    return good, bad
+
+
 FIELDS = {"target": TARGET_PATHS, "prediction": PREDICTION_PATHS, "api": API_PATHS, "key": KEY_PATHS,
           "top_k": TOP_K_PATHS, **NUMBER_PATHS}
 READ_SCHEMA = (

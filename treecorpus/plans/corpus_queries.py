@@ -11,7 +11,7 @@ from treecorpus.plans import inputs
 from treecorpus.plans.goal_queries import SURFACE_SQL, surfaces
 from treecorpus.plans.inputs import RECORDS_SQL, h_sql, obj, table, text_of
 from treecorpus.plans.registry import query
-from treecorpus.session import scratch_path
+from treecorpus.session import scratch_path, staged_path
 from treecorpus.sources import captures, corpus_io
 
 # --- derived files -----------------------------------------------------------------------------
@@ -28,17 +28,28 @@ def capture_files(spark, sf):
     name = F.when(doc % 6 == 5, F.element_at(F.array(*[F.lit(s) for s in SIDECARS]), (doc % 4 + 1).cast("int"))) \
         .otherwise(text_of("_d_", doc, "_", F.col("lang"), ".json"))
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("/cap/"), "source", F.lit("/"), doc.cast("string"), F.lit("/"), name).alias("path"),
+        F.concat(F.lit("cap/"), "source", F.lit("/"), doc.cast("string"), F.lit("/"), name).alias("path"),
         content.alias("content"), "doc_id")
 
 
+def written(spark, sf, name, files):
+    """The files as real files under the shared folder, written once; the folder."""
+    return staged_path(spark, name, sf, lambda root: captures.write_files(
+        files.withColumn("path", F.concat(F.lit(f"{root}/"), "path"))))
+
+
+def captured(spark, sf):
+    """Records and skipped files of the captured documents, read from files."""
+    return captures.read_captures(spark, written(spark, sf, "captures", capture_files(spark, sf)), "docs")
+
+
 @query("a1_read_captures", """
 select case doc_id % 6 when 3 then '/d/'||doc_id else '/d/'||doc_id||'/'||lang end url,
   case doc_id % 6 when 3 then 'odata' else 'filename' end url_from,
   case doc_id % 6 when 3 then '#Doc.v1.Doc' else '' end schema_version, 5 trust, 'docs' corpus_id,
   length(text) n from documents where doc_id % 6 in (3, 4)""")
 def a1_read_captures(spark, sf):
-    rows = captures.captures(capture_files(spark, sf), "docs")
+    rows, _ = captured(spark, sf)
     return rows.select("url", "url_from", "schema_version", "trust", "corpus_id",
                        F.length(F.get_json_object("body", "$.Text")).cast("bigint").alias("n"))
 
@@ -59,22 +70,25 @@ def a2_resolve_url(spark, sf):
 
 @query("a3_drop_sidecars", "select count(*) n, 'sidecar' reason from documents where doc_id % 6 = 5")
 def a3_drop_sidecars(spark, sf):
-    return captures.quarantine(capture_files(spark, sf)).filter("reason = 'sidecar'").groupBy("reason").agg(
-        F.count("*").alias("n"))
+    _, skipped = captured(spark, sf)
+    return skipped.filter("reason = 'sidecar'").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("a6_read_tolerant", """
 select case doc_id % 6 when 0 then 'empty' when 1 then 'not an object' when 2 then 'malformed' else 'sidecar' end
   reason, count(*) n from documents where doc_id % 6 not in (3, 4) group by 1""")
 def a6_read_tolerant(spark, sf):
-    return captures.quarantine(capture_files(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
+    _, skipped = captured(spark, sf)
+    return skipped.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("a4_sources_from_manifest", """
-select case when s_suppkey % 5 = 0 then v||'_m'||s_suppkey when s_suppkey % 5 = 1 then 'arch'||s_suppkey
-    else 'c'||s_suppkey end corpus_id,
-  case when s_suppkey % 5 = 0 then v||'_m'||s_suppkey else 'arch'||s_suppkey end slug, v vendor
-from (select s_suppkey, 'n'||s_nationkey v from supplier) where s_suppkey % 3 <> 2""")
+with c as (
+  select s_suppkey k, case when s_suppkey % 5 = 0 then v||'_m'||s_suppkey when s_suppkey % 5 = 1 then 'arch'||s_suppkey
+    else 'c'||s_suppkey end corpus_id, v vendor
+  from (select s_suppkey, 'n'||s_nationkey v from supplier) where s_suppkey % 3 <> 2)
+select corpus_id, corpus_id "source", vendor, '/x/'||k url, 'filename' url_from, case when k % 4 = 0 then 'GET,PATCH' end methods, 0 adapter from c
+union all select corpus_id, corpus_id, vendor, '/v1/suppliers/'||k, 'odata', null, 0 from c""")
 def a4_sources_from_manifest(spark, sf):
     key = F.col("s_suppkey")
     entry = obj(
@@ -82,8 +96,22 @@ def a4_sources_from_manifest(spark, sf):
         ("kind", F.when(key % 3 == 0, "full").when(key % 3 == 1, "Dataset").otherwise("raw")),
         ("archive", F.when(key % 5 != 0, text_of("a/b/arch", key, ".tar.gz"))),
         ("vendor", text_of("n", F.col("s_nationkey"))), ("model", text_of("m", key)))
-    docs = table(spark, sf, "supplier").select(F.to_json(obj(("corpora", F.array(entry)))).alias("content"))
-    return captures.manifest_corpora(docs).select("corpus_id", "slug", "vendor")
+    slug = F.when(key % 5 == 0, text_of("n", F.col("s_nationkey"), "_m", key)).otherwise(text_of("arch", key))
+    # Every second corpus lies in a folder of its kind.
+    folder = F.concat(F.when(key % 2 == 0, "c/dataset/").otherwise("c/"), slug)
+    files = F.array_compact(F.array(
+        F.struct(text_of("m/", key, ".json").alias("path"), F.to_json(obj(("corpora", F.array(entry)))).alias("content")),
+        F.struct(F.concat(folder, F.lit("/_x_"), key.cast("string"), F.lit(".json")).alias("path"),
+                 F.to_json(obj(("Name", F.col("s_name")))).alias("content")),
+        F.struct(F.concat(folder, F.lit("/a/own.json")).alias("path"),
+                 F.to_json(obj(("@odata.id", text_of("/v1/suppliers/", key)))).alias("content")),
+        F.when(key % 4 == 0, F.struct(
+            F.concat(folder, F.lit("/rest_api_map.v1.json")).alias("path"),
+            F.to_json(obj(("allowed_methods_mapping", F.create_map(text_of("/x/", key), F.array(F.lit("GET"), F.lit("PATCH"))))))
+            .alias("content")))))
+    root = written(spark, sf, "manifest", table(spark, sf, "supplier").select(F.explode(files).alias("f")).select("f.*"))
+    records, _ = captures.sources_from_manifest(spark, f"{root}/m", f"{root}/c")
+    return records.select("corpus_id", "source", "vendor", "url", "url_from", F.array_join("allowed_methods", ",").alias("methods"), "adapter")
 
 
 @query("a5_attach_allowed_methods", f"""with {RECORDS_SQL}
@@ -215,22 +243,27 @@ union all select 'r'||s_suppkey, 'n'||s_nationkey, 'steps', s_suppkey::double fr
 def a13_read_run_reports(spark, sf):
     key = F.col("s_suppkey")
     docs = table(spark, sf, "supplier").select(
-        text_of("r", key).alias("path"),
+        text_of("r", key, ".json").alias("path"),
         F.to_json(obj(
             ("manifest", obj(("run_id", text_of("r", key)), ("model", text_of("n", F.col("s_nationkey"))))),
             ("metrics", obj(("loss", F.col("s_acctbal")), ("steps", F.when(key % 2 == 0, key)))),
-        )).alias("value"))
-    rows = corpus_io.parse_reports(docs)
-    return rows.select("path", F.col("manifest")["model"].alias("model"), F.explode("metrics").alias("metric", "value"))
+        )).alias("content"))
+    rows = corpus_io.read_run_reports(spark, [f"{written(spark, sf, 'reports', docs)}/*.json"])
+    return rows.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("path"), F.col("manifest")["model"].alias("model"), F.explode("metrics").alias("metric", "value"))
+
+
+def artifacts(spark, sf):
+    """Every document as one artifact file, read back."""
+    files = table(spark, sf, "documents").select(
+        text_of("a", F.col("doc_id") % 10, "/", F.col("doc_id"), ".jsonl").alias("path"), F.col("text").alias("content"))
+    return corpus_io.read_artifacts(spark, written(spark, sf, "artifacts", files), "*.jsonl")
 
 
 @query("a14_artifact_summary", """
 select doc_id||'.jsonl' "name", octet_length(encode(text)) bytes,
   len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) "rows", sha256(text) sha256 from documents""")
 def a14_artifact_summary(spark, sf):
-    files = table(spark, sf, "documents").select(
-        text_of("/a/", F.col("doc_id"), ".jsonl").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return corpus_io.artifact_summary(files)
+    return corpus_io.artifact_summary(artifacts(spark, sf))
 
 
 @query("a15_checksum_audit", """
@@ -242,7 +275,8 @@ def a15_checksum_audit(spark, sf):
     spec = docs.filter("doc_id % 5 <> 0").select(
         name, F.when(F.col("doc_id") % 5 == 1, "").when(F.col("doc_id") % 5 == 2, "0").otherwise(F.md5("text"))
         .alias("expected_md5"))
-    return corpus_io.checksum_audit(docs.select(name, F.encode("text", "UTF-8").alias("content")), spec)
+    found = artifacts(spark, sf).select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("name"), "content")
+    return corpus_io.checksum_audit(found, spec)
 
 
 # --- normalisation -----------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from treecorpus.operators.percentiles import exact_percentiles
 from treecorpus.plans import inputs
 from treecorpus.plans.inputs import h_sql, obj, table, text_of
 from treecorpus.plans.registry import query
+from treecorpus.session import staged_path
 
 # --- prediction lines --------------------------------------------------------------------------
 
@@ -92,10 +93,9 @@ group by reason""")
 def a12_read_predictions(spark, sf):
     doc = F.col("doc_id")
     lines = table(spark, sf, "documents").select(
-        (doc + 1).alias("line_number"),
-        F.when(doc % 9 == 0, " ").when(doc % 9 == 1, F.concat(F.lit("{"), "text")).when(doc % 9 == 2, "7")
+        F.when(doc % 9 == 0, " ").when(doc % 9 == 1, F.concat(F.lit("{"), F.translate("text", "\r\n", "  "))).when(doc % 9 == 2, "7")
         .otherwise(F.to_json(obj(("completion", F.col("text"))))).alias("line"))
-    good, bad = ops.read_predictions(lines)
+    good, bad = ops.load_predictions(spark, staged_path(spark, "predictions", sf, lambda path: lines.write.text(path)))
     rows = good.select(F.lit("ok").alias("reason")).unionByName(bad.select(F.col("error").alias("reason")))
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -89,9 +89,14 @@ def staged(spark: SparkSession, name: str, folder: str, build: Callable[[], Data
     Lost executors then re-read files instead of recomputing the derivation. New files in the folder
     give a new table.
     """
+    return spark.read.parquet(staged_path(spark, name, folder, lambda path: build().write.parquet(path)))
+
+
+def staged_path(spark: SparkSession, name: str, folder: str, write: Callable[[str], object]) -> str:
+    """As :func:`staged` for files of any kind: ``write`` makes them under the path it is given."""
     at = (spark.sparkContext.applicationId, name, folder, *listing(spark, folder))
     if at not in _STAGED:
         path = scratch_path(spark, name)
-        build().write.parquet(path)
+        write(path)
         _STAGED[at] = path
-    return spark.read.parquet(_STAGED[at])
+    return _STAGED[at]

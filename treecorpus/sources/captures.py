@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treecorpus.functions.classify import is_sidecar, resolved_url
 from treecorpus.functions.urls import odata_id, odata_type, url_from_file_name
@@ -26,48 +26,51 @@ def _entries(folder: str, recursive: bool):
     return system.get_file_info(fs.FileSelector(path, recursive=recursive, allow_not_found=True))
 
 
-def root_exists(root: str) -> bool:
-    """Whether a file or folder is there (a metadata call)."""
-    system, path = fs.FileSystem.from_uri(root)
-    return system.get_file_info(path).type != fs.FileType.NotFound
+def _tasks(spark: SparkSession) -> int:
+    """Names are few bytes, by which adaptive execution would merge all tasks into one: a fixed number."""
+    return max(16, 4 * spark.sparkContext.defaultParallelism)
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
-    """``(path, modified, content)`` of matching files below ``root``; undecodable bytes are replaced.
+def read_folders(folders: DataFrame, glob: str = "*.json", levels: int = 4) -> DataFrame:
+    """``(origin, path, modified, content)`` of matching files below each ``origin`` of ``folders``.
 
-    Capture names start with an underscore, which Spark's own file sources treat as hidden, so
-    tasks list and open the files themselves: one task lists the root, then the folders below it
-    are listed in parallel, then the files are spread over all tasks and read. ``root`` is an
-    absolute path or a URI of a file system that Arrow knows.
+    An origin is a folder or a file, as an absolute path or a URI of a file system that Arrow knows;
+    a missing one gives no rows. Capture names start with an underscore, which Spark's own file
+    sources treat as hidden, so tasks list and open the files themselves. Folders are expanded level
+    by level, each level spread over all tasks; what lies below the last level is listed whole by
+    the task of its folder. Undecodable bytes are replaced.
     """
-    scheme = root.split("://")[0] + "://" if "://" in root else ""
+    spark = folders.sparkSession
+    shape = "origin string, name string, is_file boolean"
 
     def listing(recursive: bool):
         def stage(batches):
             for batch in batches:
-                for folder in batch.column("folder").to_pylist():
-                    found = _entries(folder, recursive)
+                for origin, name, is_file in zip(*(batch.column(c).to_pylist() for c in ("origin", "name", "is_file"))):
+                    scheme = name.split("://")[0] + "://" if "://" in name else ""
+                    found = [(name, True)] if is_file else [
+                        (scheme + f.path, f.type == fs.FileType.File) for f in _entries(name, recursive)]
                     for start in range(0, len(found), 10_000):
                         part = found[start:start + 10_000]
                         yield pa.RecordBatch.from_pydict({
-                            "folder": [scheme + f.path for f in part],
-                            "is_file": [f.type == fs.FileType.File for f in part]})
+                            "origin": pa.array([origin] * len(part), pa.string()),
+                            "name": pa.array([n for n, _ in part], pa.string()), "is_file": pa.array([f for _, f in part], pa.bool_())})
         return stage
 
     def contents(batches):
         def batch_of(rows):
             return pa.RecordBatch.from_pydict({
-                "path": pa.array([r[0] for r in rows], pa.string()),
-                "modified": pa.array([r[1] for r in rows], pa.timestamp("us", "UTC")),
-                "content": pa.array([r[2] for r in rows], pa.string())})
+                "origin": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()),
+                "modified": pa.array([r[2] for r in rows], pa.timestamp("us", "UTC")),
+                "content": pa.array([r[3] for r in rows], pa.string())})
 
         rows, held = [], 0
         for batch in batches:
-            for name in batch.column("folder").to_pylist():
+            for origin, name in zip(batch.column("origin").to_pylist(), batch.column("name").to_pylist()):
                 system, path = fs.FileSystem.from_uri(name)
                 with system.open_input_stream(path) as stream:
                     raw = stream.read()
-                rows.append((name, system.get_file_info(path).mtime, raw.decode("utf-8", errors="replace")))
+                rows.append((origin, name, system.get_file_info(path).mtime, raw.decode("utf-8", errors="replace")))
                 held += len(raw)
                 if held > READ_BYTES:
                     yield batch_of(rows)
@@ -75,15 +78,37 @@ def read_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFram
         if rows:
             yield batch_of(rows)
 
-    shape = "folder string, is_file boolean"
-    top = spark.range(1).select(F.lit(root).alias("folder")).mapInArrow(listing(False), shape)
-    # Fixed numbers: names are few bytes, by which adaptive execution would merge all tasks into one.
-    tasks = max(16, 4 * spark.sparkContext.defaultParallelism)
-    below = top.filter("not is_file").select("folder").repartition(tasks, "folder").mapInArrow(listing(True), shape)
-    files = top.filter("is_file").unionByName(below.filter("is_file"))
+    tasks = _tasks(spark)
+    found = folders.select("origin", F.col("origin").alias("name"), F.lit(False).alias("is_file"))
+    for level in range(levels):
+        found = found.repartition(max(16, tasks // 2), "name").mapInArrow(listing(level == levels - 1), shape)
     pattern = "^" + re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
-    named = files.filter(F.substring_index("folder", "/", -1).rlike(pattern)).select("folder")
-    return named.repartition(tasks, "folder").mapInArrow(contents, FILE_SCHEMA)
+    named = found.filter(F.col("is_file") & F.substring_index("name", "/", -1).rlike(pattern)).select("origin", "name")
+    return named.repartition(tasks, "name").mapInArrow(contents, "origin string, " + FILE_SCHEMA)
+
+
+def read_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """``(path, modified, content)`` of matching files below ``root``; see :func:`read_folders`."""
+    return read_folders(spark.range(1).select(F.lit(root).alias("origin")), glob).drop("origin")
+
+
+def write_files(files: DataFrame) -> int:
+    """Write each ``(path, content)`` as one file, in tasks; returns how many.
+
+    A task that is run again writes the same files again.
+    """
+
+    def stage(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                system, path = fs.FileSystem.from_uri(name)
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as stream:
+                    stream.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    named = files.select("path", "content").repartition(_tasks(files.sparkSession), "path")
+    return named.mapInArrow(stage, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -101,19 +126,23 @@ def classify_files(files: DataFrame) -> DataFrame:
     return files.withColumns({"file_name": name, "reason": reason})
 
 
-def captures(files: DataFrame, source: str, trust: str = "REAL", vendor: str | None = None,
-             corpus_id: str | None = None) -> DataFrame:
-    """Records of the usable files among ``(path, content)``; ``seq`` orders by path."""
+def captures(files: DataFrame, source: str | Column, trust: str = "REAL", vendor: str | Column | None = None,
+             corpus_id: str | Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Records of the usable files among ``(path, content)``; ``seq`` orders by path.
+
+    Source, vendor and corpus are values or columns of ``files``; ``keep`` are columns to carry on.
+    """
     good = classify_files(files).filter("reason is null")
+    given = lambda value: value if isinstance(value, Column) else F.lit(value)
     own = odata_id(F.col("content"))
     url = resolved_url(F.col("content"), url_from_file_name(F.col("file_name")))
     return good.select(
-        url.alias("url"), F.col("path").alias("seq"), F.lit(source).alias("source"),
+        url.alias("url"), F.col("path").alias("seq"), given(source).alias("source"),
         F.lit(TRUST[trust]).alias("trust"), F.lit("GET").alias("method"),
-        F.lit(vendor).cast("string").alias("vendor"),
+        given(vendor).cast("string").alias("vendor"),
         F.coalesce(odata_type(F.col("content")), F.lit("")).alias("schema_version"),
         F.when(url.eqNullSafe(own), "odata").otherwise("filename").alias("url_from"),
-        F.lit(corpus_id or source).alias("corpus_id"), F.col("content").alias("body"))
+        given(source if corpus_id is None else corpus_id).alias("corpus_id"), F.col("content").alias("body"), *keep)
 
 
 def quarantine(files: DataFrame) -> DataFrame:
@@ -141,10 +170,10 @@ def method_maps(files: DataFrame) -> DataFrame:
 
 
 def manifest_corpora(manifest: DataFrame, kind: str = "dataset", ids: list[str] | None = None) -> DataFrame:
-    """Selected rows of a corpus manifest document ``(content)``: id, slug, kind, vendor, model, capture."""
+    """Selected rows of a corpus manifest document ``(content)``: id, slug, kind, vendor, model, capture, place."""
     schema = ("corpora array<struct<id:string,corpus_id:string,kind:string,archive:string,archive_path:string,"
               "vendor:string,model:string,capture_id:string>>")
-    rows = manifest.select(F.explode(F.from_json("content", schema)["corpora"]).alias("c")).select("c.*")
+    rows = manifest.select(F.posexplode(F.from_json("content", schema)["corpora"]).alias("adapter", "c")).select("adapter", "c.*")
     plain = lambda c: F.when(F.lower(c) == "full", "dataset").otherwise(F.lower(c))
     archive = F.substring_index(F.coalesce(F.nullif("archive", F.lit("")), F.nullif("archive_path", F.lit(""))), "/", -1)
     stem = F.when(archive.endswith(".tar.gz"), F.regexp_replace(archive, r"\.tar\.gz$", "")).otherwise(
@@ -159,33 +188,41 @@ def manifest_corpora(manifest: DataFrame, kind: str = "dataset", ids: list[str]
         rows = rows.filter(F.col("corpus").isin(list(ids)))
     return rows.select(
         F.coalesce(F.nullif("corpus", F.lit("")), "slug").alias("corpus_id"), "slug", F.col("plain_kind").alias("kind"),
-        "vendor", "model", "capture_id")
+        "vendor", "model", "capture_id", "adapter")
+
+
+def corpus_folders(corpora: DataFrame, root: str) -> DataFrame:
+    """Add ``origin``: the folder of each corpus, ``root/kind/slug`` where that is there, else ``root/slug``."""
+
+    def stage(batches):
+        for batch in batches:
+            there = []
+            for name in batch.column("origin").to_pylist():
+                system, path = fs.FileSystem.from_uri(name)
+                there.append(system.get_file_info(path).type != fs.FileType.NotFound)
+            yield pa.RecordBatch.from_arrays([batch.column("origin"), pa.array(there, pa.bool_())], ["origin", "there"])
+
+    nested = F.concat_ws("/", F.lit(root), "kind", "slug")
+    asked = corpora.select(nested.alias("origin")).distinct()
+    known = asked.repartition(_tasks(asked.sparkSession), "origin").mapInArrow(stage, "origin string, there boolean")
+    rows = corpora.withColumn("nested", nested).join(known.withColumnRenamed("origin", "nested"), "nested")
+    return rows.withColumn("origin", F.when(F.col("there"), F.col("nested")).otherwise(F.concat_ws("/", F.lit(root), "slug"))).drop("nested", "there")
 
 
 def sources_from_manifest(spark: SparkSession, manifest_path: str, root: str, trust: str = "REAL",
-                          kind: str = "dataset", ids: list[str] | None = None) -> DataFrame:
-    """Records of every corpus a manifest names, in manifest order.
+                          kind: str = "dataset", ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(records, skipped)`` of every corpus a manifest names; ``adapter`` is its place in the manifest.
 
-    The manifest is one small document, a list of folders; only that list is brought to the driver,
-    to know which folders to read.
+    The folders of all corpora are read as one table. Records carry the methods of their corpus's
+    map file, null where it has none for the URL.
     """
-    manifest = read_files(spark, manifest_path)
-    parts = []
-    for row in manifest_corpora(manifest, kind, ids).toLocalIterator():
-        folder = f"{root}/{row['kind']}/{row['slug']}"
-        if not root_exists(folder):
-            folder = f"{root}/{row['slug']}"
-        records, _ = read_captures(spark, folder, row["corpus_id"], trust, row["vendor"], corpus_id=row["corpus_id"])
-        maps = f"{folder}/rest_api_map.v1.json"
-        if root_exists(maps):
-            records = attach_allowed_methods(records, method_maps(read_files(spark, maps)))
-        else:
-            records = records.withColumn("allowed_methods", F.lit(None).cast("array<string>"))
-        parts.append(records.withColumn("adapter", F.lit(len(parts))))
-    if not parts:
-        empty, _ = read_captures(spark, f"{root}/none-of-the-corpora", "none")
-        return empty.withColumns({"allowed_methods": F.lit(None).cast("array<string>"), "adapter": F.lit(0)})
-    return reduce(DataFrame.unionByName, parts)
+    corpora = corpus_folders(manifest_corpora(read_files(spark, manifest_path), kind, ids), root)
+    files = read_folders(corpora.select("origin").distinct()).join(corpora.select("origin", "corpus_id", "vendor", "adapter"), "origin")
+    records = captures(files, F.col("corpus_id"), trust, F.col("vendor"), keep=["origin", "adapter"])
+    at = F.concat("origin", F.lit("/rest_api_map.v1.json")).alias("origin")
+    maps = method_maps(read_folders(corpora.select(at).distinct(), levels=1)).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("origin"), "url", F.col("methods").alias("allowed_methods"))
+    return records.join(maps, ["origin", "url"], "left").drop("origin"), quarantine(files)
 
 
 def merge_capture_maps(maps: DataFrame) -> DataFrame:
