@@ -714,7 +714,7 @@ def k12_trigram_vector(spark, sf):
 def rank_inputs(spark, sf):
     """States, candidates and true neighbours; candidate texts are staged, for they are read block by block."""
     nodes = crawled(spark, sf)
-    parents = tree.containment_parent(nodes.select("url"))
+    parents = staged(spark, "parents", sf, lambda: tree.containment_parent(nodes.select("url")))
     relations = tree.child_relation(nodes, parents)
     cand = tree.candidates(tree.graph_nodes(nodes), relations)
     texts = staged(spark, "texts", sf, lambda: cand.select(
