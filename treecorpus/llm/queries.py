@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import bpe, line_dedup, packing, pivots, quality, simhash, suffix_dedup, topk, toxicity, url_filter
+from treecorpus.llm import bpe, line_dedup, packing, pivots, quality, simhash, suffix_dedup, topk, toxicity, url_filter, variants
 from treecorpus.llm.common import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,45 @@ def op8_quality(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.report(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.5)
+
+
+@query("op12_spelling_variants", """
+with recursive crc(tab) as (
+  select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))
+), runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run
+  from documents
+), held as (
+  select run, count(*) as n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as h from runs group by doc_id, run
+), slips as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+         lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as h
+  from held, crc
+), seen as (
+  select case when h % 199 = 0 then left(run, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n
+  from slips
+), words as (
+  select word, cast(sum(n) as bigint) as n from seen where length(word) >= 6 group by word having sum(n) >= 5
+), less as (
+  select word, n, i, left(word, i) || substr(word, i + 2) as rest from (select *, unnest(range(length(word))) as i from words)
+), pairs as (
+  select a.word, b.word as other, b.n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from less a join words b on a.rest = b.word
+), near as (
+  select word, count(*) as n_near, first(other order by n desc, other) as best, max(n) as best_n from pairs group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * w.n then best end as form, case when best_n >= 5 * w.n then best_n end as form_n
+  from words w left join near using (word)
+), chains(word, last, step) as (
+  select word, word, 0 from words union all
+  select c.word, f.form, step + 1 from chains c join formed f on f.word = c.last where f.form is not null
+), roots as (
+  select word, max_by(last, step) as root from chains group by word
+)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+""")
+def op12_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), slip=199)
