@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import bpe, line_dedup, packing, pivots, quality, simhash, suffix_dedup, topk, toxicity, url_filter, variants
+from treecorpus.llm import bpe, collocations, line_dedup, packing, pivots, quality, simhash, suffix_dedup, topk, toxicity, url_filter, variants
 from treecorpus.llm.common import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,37 @@ select word, form, root, n, n_near, form_n from formed join roots using (word)
 """)
 def op12_spelling_variants(spark, sf_dir):
     return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), slip=199)
+
+
+@query("op13_collocations", """
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), split as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') as ws from pieces
+), grams as (
+  select lang, ws[i:i + k - 1] as ws, k
+  from (select lang, ws, k, unnest(range(1, cast(len(ws) - k + 2 as bigint))) as i from split, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k)
+), totals as (
+  select lang, count(*) as n from grams where k = 1 group by lang
+), f as (
+  select lang, array_to_string(ws, ' ') as phrase, ws, k, count(*) as f from grams group by lang, ws, k having count(*) >= 30
+), cuts as (
+  select c.lang, c.phrase, c.f as a, i, l.f as l, r.f as r, cast(2000000 * c.f::hugeint // (l.f::hugeint + r.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as i from f where k > 1) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1:i], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.ws[i + 1:], ' ')
+), scored as (
+  select *, row_number() over (partition by lang, phrase order by score, i) as place from cuts
+), around as (
+  select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(f) as around
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from f where k > 2)) group by all
+), ranked as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, phrase) as rank
+  from scored s left join around o using (lang, phrase) where place = 1 and (around is null or 100 * around::hugeint < 80 * a::hugeint)
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""")
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
