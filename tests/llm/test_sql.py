@@ -18,7 +18,7 @@ COLUMNS = {
     "op5": "query_id rank vec_id score", "op6": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op7": "vec_id n_links component_id kept", "op8": "doc_id held_out score predicted",
     "op9": "doc_id fingerprint component_id", "op10": "doc_id n_bytes n_removed n_spans kept_sha256",
-    "op13": "lang rank phrase a l r n score", "op12": "word form root n n_near form_n",
+    "op11": "query_id rank vec_id score", "op13": "lang rank phrase a l r n score", "op12": "word form root n n_near form_n",
 }
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecorpus.llm import bpe, collocations, line_dedup, packing, pivots, quality, simhash, suffix_dedup, topk, toxicity, url_filter, variants
+from treecorpus.llm import (
+    bpe, collocations, line_dedup, packing, pivots, quality, simhash, small_world, suffix_dedup, topk, toxicity, url_filter, variants,
+)
 from treecorpus.llm.common import id_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +251,21 @@ select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang
 """)
 def op13_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query("op11_small_world", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, x: a + x) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), placed as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs
+)
+select query_id, rank, vec_id, score from placed where rank <= 20
+""")
+def op11_small_world(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return small_world.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
