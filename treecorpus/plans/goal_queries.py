@@ -294,13 +294,13 @@ def j8_action_info_slots(spark, sf):
 
 @query("j9_boot_references", """
 select case when s_suppkey % 2 = 0 then 'Boot' else 'Id' end||s_nationkey reference,
-  min('/v1/suppliers/'||s_suppkey||'/BootOptions/'||s_suppkey) url from supplier group by 1""")
+  arg_min('/v1/suppliers/'||s_suppkey||'/BootOptions/'||s_suppkey, s_suppkey) url from supplier group by 1""")
 def j9_boot_references(spark, sf):
     return slots.boot_references(full(spark, sf))
 
 
 @query("j10_patch_schema", f"""with {TREE_SQL},
-brand as (select 'Brand'||p_size "name", arg_min(p_brand, '/v1/registries/'||p_partkey) b from part
+brand as (select 'Brand'||p_size "name", arg_min(p_brand, p_partkey) b from part
   where p_size % 2 = 1 group by p_size)
 select 'Size' "name", 'integer' "type", null::varchar[] choices, 'registry' extracted_from where exists (from part)
 union all select "name", 'string', [b, 'Other'], 'registry' from brand

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treecorpus.functions.hashing import md5_fraction
-from treecorpus.session import staged
+from treecorpus.session import staged_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -104,7 +104,12 @@ def _record(df: DataFrame, url, host, seq, kind, type_name, vendor, *members) ->
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
     """The resource tree, staged as a table: the corpus every tree operator starts from."""
-    return staged(spark, "tree", sf, lambda: build_tree(spark, sf))
+    return spark.read.parquet(tree_path(spark, sf))
+
+
+def tree_path(spark: SparkSession, sf: str) -> str:
+    """The folder of the staged resource tree."""
+    return staged_path(spark, "tree", sf, lambda path: build_tree(spark, sf).write.parquet(path))
 
 
 def build_tree(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from treecorpus.plans.goal_queries import FACT_SQL, surfaces, SURFACE_SQL
 from treecorpus.plans.inputs import TREE_SQL, obj, table, text_of
 from treecorpus.plans.registry import query
 from treecorpus.plans.tree_queries import full
-from treecorpus.streaming import folds
+from treecorpus.streaming import enum_index, folds
 
 # --- vocabulary and scans ----------------------------------------------------------------------
 
@@ -233,24 +233,27 @@ def s1_stream_card_tallies(spark, sf):
     return folds.card_tallies(spark, claims, learn.as_observations(folds.stream_table(spark, sf, "events")))
 
 
-@query("s2_stream_enum_index", """
-select 'Brand'||p_size "name", 'string' "type", false required,
-  arg_min(p_brand, '/v1/registries/'||p_partkey)||',Other' choices
-from part group by p_size union all select 'Size', 'integer', false, null where exists (from part)""")
+ENUM_SQL = """
+with brand as (select 'Brand'||p_size "name", arg_min(p_brand, p_partkey) b from part where p_size % 2 = 1 group by p_size)
+select 'PATCH' "schema", 'Size' "name", 'integer' "type", false required, null::varchar choices, 'registry' extracted_from where exists (from part)
+union all select 'PATCH', "name", 'string', false, b||',Other', 'registry' from brand
+union all select 'PATCH', 'BootSourceOverrideTarget', 'string', false, 'AUTOMOBILE,BUILDING,FURNITURE,HOUSEHOLD,MACHINERY', 'inline' where exists (from customer)
+union all select 'POST', 'ResetType', 'string', true, 'On,Off', 'action_info' where exists (from supplier)
+union all select distinct 'POST', 'Delay'||s_nationkey, 'integer', false, null, 'action_info' from supplier
+"""
+
+
+def capture_stream(spark, sf):
+    """The captures of the whole resource tree as a stream of many micro-batches."""
+    folder = inputs.tree_path(spark, sf)
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+@query("s2_stream_enum_index", ENUM_SQL)
 def s2_stream_enum_index(spark, sf):
-    part = folds.stream_table(spark, sf, "part")
-    records = part.select(
-        text_of("/v1/registries/", F.col("p_partkey")).alias("url"),
-        F.to_json(obj(
-            ("@odata.type", "#AttributeRegistry.v1.AttributeRegistry"),
-            ("RegistryEntries", obj(("Attributes", F.array(
-                obj(("AttributeName", "Size"), ("Type", "Integer"),
-                    ("Value", F.lit(None).cast("array<struct<ValueName:string>>"))),
-                obj(("AttributeName", text_of("Brand", F.col("p_size"))), ("Type", "Enumeration"),
-                    ("Value", F.array(obj(("ValueName", F.col("p_brand"))), obj(("ValueName", "Other")))))))))),
-        ).alias("body"))
-    rows = folds.first_slots(spark, slots.registry_slots(records), ["url", "ord"])
-    return rows.select("name", "type", "required", F.array_join("choices", ",").alias("choices"))
+    index = enum_index.enum_index(spark, capture_stream(spark, sf).select("url", "trust", "seq", "body"))
+    return index.withColumn("choices", F.array_join("choices", ","))
 
 
 @query("s3_stream_replay", """

@@ -24,8 +24,8 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else rows
 
 
-def run(spark: SparkSession, rows: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over the present input and return its result."""
+def drain(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> str:
+    """Run a stream over the present input; its micro-batches are folders ``epoch=n`` of the path returned."""
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
 
     def save(batch: DataFrame, epoch: int) -> None:
@@ -40,6 +40,12 @@ def run(spark: SparkSession, rows: DataFrame, name: str, mode: str, keys: list[s
         stream.awaitTermination()
     finally:
         stream.stop()
+    return out
+
+
+def run(spark: SparkSession, rows: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over the present input and return its result."""
+    out = drain(spark, rows, name, mode)
     schema = T.StructType([*rows.schema.fields, T.StructField("epoch", T.LongType())])
     saved = spark.read.schema(schema).parquet(out)
     if keys is None:
@@ -56,12 +62,6 @@ def card_tallies(spark: SparkSession, claims: DataFrame, observations: DataFrame
     return done.withColumn("status", cards.grounding_status(F.col("confirmations"), F.col("contradictions")))
 
 
-def first_slots(spark: SparkSession, slots: DataFrame, order: list[str]) -> DataFrame:
-    """First fragment per slot name by ``order`` (never by arrival); state is one row per name."""
-    first = slots.groupBy("name").agg(F.min_by(F.struct("type", "required", "choices"), F.struct(*order)).alias("s"))
-    return run(spark, first, "slots", "update", ["name"]).select("name", "s.*")
-
-
 def replay(spark: SparkSession, transitions: DataFrame, buffer: str, order: list[str], n: int) -> DataFrame:
     """The most recent ``n`` rows per buffer.
 
