@@ -3,10 +3,12 @@
 import json
 import os
 import random
+import time
 
 import pytest
 
 from treecorpus.operators import slots
+from treecorpus.sources import capture_stream, captures
 from treecorpus.streaming import enum_index
 
 RECORDS = "url string, trust int, seq long, body string"
@@ -90,3 +92,48 @@ def test_record_slots_are_those_of_the_batch(spark):
     for r in slots.inline_slots(records).collect():
         each.add((r.url, r.seq, "POST" if r.path.startswith("Actions") else "PATCH", r.name, r.type, tuple(r.choices or ())))
     assert listed == each and len(each) > 20
+
+
+def write(root, files):
+    for name, text in files.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text)
+
+
+LOTS = [
+    {"_redfish_v1.json": b'{"@odata.id": "/redfish/v1"}', "a/_x.json": b'{"Name": "x"}', "a/b/c/d/e/_deep.json": b'{"Name": "deep"}',
+     "a/manifest.json": b'{"k": 1}', "a/notes.txt": b"no", "z/_empty.json": b" "},
+    {"a/_y.json": b'{"Name": "\xff\xfe"}', "a/b/_bad.json": b"{", "q/_list.json": b"[1]", "q/corpus.json": b'{"@odata.id": "/kept"}'},
+    {"a/_x.json": b'{"Name": "x again"}'},
+]
+
+
+def test_a_growing_folder(spark, tmp_path):
+    """Lots that come between triggers are read once each; all in all as the batch reader reads them."""
+    root, at = tmp_path / "in", tmp_path / "done"
+    root.mkdir()
+    assert [x.count() for x in capture_stream.ingest_folder(spark, str(root), str(at), "lab", settle=0.2)] == [0, 0]
+    counts = []
+    for lot in LOTS[:2]:
+        write(root, lot)
+        time.sleep(0.5)
+        records, skipped = capture_stream.ingest_folder(spark, str(root), str(at), "lab", vendor="v", settle=0.2)
+        counts.append((records.count(), skipped.count()))
+    assert counts == [(3, 2), (5, 4)]
+    batch, left_out = captures.read_captures(spark, str(root), "lab", vendor="v")
+    plain = lambda frame: sorted(tuple(r) for r in frame.collect())
+    assert plain(records) == plain(batch) and plain(skipped) == plain(left_out)
+    assert {r.reason for r in skipped.collect()} == {"sidecar", "empty", "malformed", "not an object"}
+    # A file written anew is a new capture; the old one stays known.
+    write(root, LOTS[2])
+    time.sleep(0.5)
+    records, _ = capture_stream.ingest_folder(spark, str(root), str(at), "lab", vendor="v", settle=0.2)
+    assert sorted(r.body for r in records.collect() if r.url == "/x") == ['{"Name": "x again"}', '{"Name": "x"}']
+
+
+def test_files_wait_until_they_settle(spark, tmp_path):
+    root, at = tmp_path / "in", tmp_path / "done"
+    write(root, LOTS[0])
+    assert capture_stream.ingest_folder(spark, str(root), str(at), "lab", settle=600)[0].count() == 0
+    assert capture_stream.ingest_folder(spark, str(root), str(at), "lab", settle=-1)[0].count() == 3

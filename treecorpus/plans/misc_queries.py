@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from treecorpus.functions import goal_ids as g
 from treecorpus.functions.classify import SIDECARS
 from treecorpus.operators import fleet, goals, json_walk as walk, mix, slots, vocabulary
-from treecorpus.plans import inputs, learn_queries as learn
+from treecorpus.plans import corpus_queries, inputs, learn_queries as learn
 from treecorpus.plans.goal_queries import FACT_SQL, surfaces, SURFACE_SQL
 from treecorpus.plans.inputs import TREE_SQL, obj, table, text_of
 from treecorpus.plans.registry import query
 from treecorpus.plans.tree_queries import full
+from treecorpus.session import scratch_path
+from treecorpus.sources import capture_stream, captures
 from treecorpus.streaming import enum_index, folds
 
 # --- vocabulary and scans ----------------------------------------------------------------------
@@ -243,7 +247,7 @@ union all select distinct 'POST', 'Delay'||s_nationkey, 'integer', false, null,
 """
 
 
-def capture_stream(spark, sf):
+def tree_stream(spark, sf):
     """The captures of the whole resource tree as a stream of many micro-batches."""
     folder = inputs.tree_path(spark, sf)
     schema = spark.read.parquet(folder).schema
@@ -252,7 +256,7 @@ def capture_stream(spark, sf):
 
 @query("s2_stream_enum_index", ENUM_SQL)
 def s2_stream_enum_index(spark, sf):
-    index = enum_index.enum_index(spark, capture_stream(spark, sf).select("url", "trust", "seq", "body"))
+    index = enum_index.enum_index(spark, tree_stream(spark, sf).select("url", "trust", "seq", "body"))
     return index.withColumn("choices", F.array_join("choices", ","))
 
 
@@ -298,3 +302,20 @@ def s6_stream_ingest(spark, sf):
         "ts", "event_id", text_of("/u/", F.col("user_id"), "/").alias("url"), F.col("props").alias("body"),
         F.when(F.col("event_id") % 9 == 0, text_of("/cap/", F.lit(SIDECARS[0]))).otherwise("/cap/body.json").alias("path"))
     return folds.ingest(spark, events, ["ts", "event_id"]).select("url", "event_id", "body")
+
+
+@query("s6_stream_ingest_folder", """
+select coalesce(reason, 'kept') state, url, url_from, count(*) n from (
+  select case doc_id % 6 when 0 then 'empty' when 1 then 'not an object' when 2 then 'malformed' when 5 then 'sidecar' end reason,
+    case doc_id % 6 when 3 then '/d/'||doc_id when 4 then '/d/'||doc_id||'/'||lang end url,
+    case doc_id % 6 when 3 then 'odata' when 4 then 'filename' end url_from from documents) group by all""")
+def s6_stream_ingest_folder(spark, sf):
+    """Every document as a captured file, in two lots written while the stream is followed."""
+    files, at = corpus_queries.capture_files(spark, sf), scratch_path(spark, "ingest")
+    for lot in (0, 1):
+        captures.write_files(files.filter(F.col("doc_id") % 2 == lot).withColumn("path", F.concat(F.lit(f"{at}/in/"), "path")))
+        time.sleep(0.5)
+        records, skipped = capture_stream.ingest_folder(spark, f"{at}/in", f"{at}/done", "docs", settle=0.2)
+    rows = records.select(F.lit("kept").alias("state"), "url", "url_from").unionByName(
+        skipped.select(F.col("reason").alias("state"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("url_from")))
+    return rows.groupBy("state", "url", "url_from").agg(F.count("*").alias("n"))

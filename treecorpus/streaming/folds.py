@@ -24,15 +24,14 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else rows
 
 
-def drain(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> str:
-    """Run a stream over the present input; its micro-batches are folders ``epoch=n`` of the path returned."""
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+def follow(spark: SparkSession, rows: DataFrame, out: str, state: str, mode: str = "append") -> None:
+    """Run a stream over what there is since the progress in ``state``; micro-batches are folders ``epoch=n`` of ``out``."""
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     # An empty first batch would leave no schema to read.
-    spark.createDataFrame([], rows.schema).write.parquet(f"{out}/epoch=-1")
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{out}/epoch=-1")
     stream = (
         rows.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(save)
         .trigger(availableNow=True).start())
@@ -40,6 +39,12 @@ def drain(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> str:
         stream.awaitTermination()
     finally:
         stream.stop()
+
+
+def drain(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> str:
+    """Run a stream over the present input; its micro-batches are folders ``epoch=n`` of the path returned."""
+    out = scratch_path(spark, name)
+    follow(spark, rows, out, scratch_path(spark, f"{name}-state"), mode)
     return out
 
 
