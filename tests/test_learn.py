@@ -126,6 +126,34 @@ def test_best_candidate_of_own_host(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_best_candidate_by_blocks(spark):
+    """Blocks of a few rows, an owner with most rows, ties, no legal candidate, and a query that is a candidate itself."""
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    owner = [0 if i < 60 else 1 + i % 4 for i in range(90)]
+    legal = [i % 7 not in (0, 3) and owner[i] != 2 for i in range(90)]
+    queries = spark.createDataFrame([(i, owner[i], v[i].tolist()) for i in range(90)], "query_id long, host int, query array<double>")
+    keys = spark.createDataFrame([(i, owner[i], v[i].tolist(), legal[i]) for i in range(90)], "candidate_id long, host int, key array<double>, legal boolean")
+    want = []
+    for i in range(90):
+        scored = sorted((-round(float(v[i] @ v[j]), 9), j) for j in range(90) if owner[j] == owner[i] and legal[j] and j != i)
+        want += [(i, j, place) for place, (_, j) in enumerate(scored[:3], 1)]
+    for block in (1024, 7):
+        got = ranking.best_candidate(queries, keys, k=3, own=["host"], others_only=True, block=block)
+        assert sorted(tuple(r) for r in got.select("query_id", "candidate_id", "place").collect()) == want
+
+
+def test_acceptance_of_every_artifact(spark):
+    observed = spark.createDataFrame([("a", "m", 1.0), ("b", "m", 3.0), ("b", "x", float("nan"))], "artifact string, metric string, value double")
+    limits = spark.createDataFrame([("low", "m", "<=", 2.0), ("there", "x", ">=", 0.0), ("free", "m", ">=", None)],
+                                   "check_name string, metric string, operator string, threshold double")
+    checks = metrics.acceptance_checks(observed, limits, by=["artifact"])
+    assert {(r.artifact, r.check_name): r.passed for r in checks.collect()} == {
+        ("a", "low"): True, ("a", "there"): False, ("b", "low"): False, ("b", "there"): False}
+    assert {r.artifact: (r.n_checks, r.n_failed, r.status) for r in metrics.acceptance_status(checks, by=["artifact"]).collect()} == {
+        "a": (2, 1, "fail"), "b": (2, 2, "fail")}
+
+
 def test_td_and_relabel_edges(spark):
     frame = spark.createDataFrame(
         [(1, 1.0, 0, 2.0, True), (1, 1.0, 0, 9.0, False), (2, 1.0, 1, 5.0, True), (3, 0.5, 0, 5.0, False)],
@@ -172,6 +200,39 @@ def test_call_errors(spark):
     assert dict((r["raw"], r["error"]) for r in got) == texts
 
 
+def test_call_errors_in_order(spark):
+    """Each failure has its wording, and of several the first counts."""
+    call = {"rest_api": "/a", "allowed_methods": ["get", "PATCH"], "method": "patch", "arguments": {"b": [1, {"z": 1, "a": 2.5}], "a": None}}
+    wrong = lambda **change: json.dumps({"calls": [call, {**call, **change}]})
+    without = lambda *names: json.dumps({"y_pred": {"calls": [{k: v for k, v in call.items() if k not in names}, 3]}})
+    texts = {
+        None: "invalid_json", "": "invalid_json", "3": "y_pred must be an object", "null": "y_pred must be an object",
+        '{"y_pred": null}': "y_pred.y_pred must be an object", '{"y_pred": [1]}': "y_pred.y_pred must be an object",
+        '{"calls": null}': "y_pred.calls must be a list", "{}": "y_pred.calls must be a list",
+        '{"calls": [], "y_pred": {}}': "y_pred.calls must be a list", '{"calls": []}': None, wrong(): None,
+        '{"calls": [null]}': "each y_pred.calls item must be an object",
+        without("method", "rest_api"): "y_pred.calls item missing required field(s): ['rest_api', 'method']",
+        wrong(rest_api=1): "y_pred.calls.rest_api must be a string", wrong(rest_api=None, method=2): "y_pred.calls.rest_api must be a string",
+        wrong(allowed_methods="GET"): "y_pred.calls.allowed_methods must be a list",
+        wrong(allowed_methods=["GET", 1], method=3): "each y_pred.calls.allowed_methods item must be a string",
+        wrong(method=None): "y_pred.calls.method must be a string", wrong(allowed_methods=[]): "y_pred.calls.method PATCH is not in allowed_methods for /a",
+        wrong(method="put", arguments=1): "y_pred.calls.method PUT is not in allowed_methods for /a",
+        wrong(arguments=[]): "y_pred.calls.arguments must be an object", wrong(arguments=None): "y_pred.calls.arguments must be an object",
+        wrong(method="Get"): "read-only y_pred.calls.arguments must be empty", wrong(method="GET", arguments={}): None,
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "raw string").withColumn("p", contracts.parse_calls(F.col("raw")))
+    got = {r.raw: r.p for r in frame.collect()}
+    assert {t: p.error for t, p in got.items()} == texts
+    assert all((p.calls is None) == (p.error is not None) for p in got.values())
+    first = got[wrong()].calls[0]
+    assert (first.rest_api, first.allowed_methods, first.method) == ("/a", ["GET", "PATCH"], "PATCH")
+    assert first.arguments == json.dumps(call["arguments"], sort_keys=True, separators=(",", ":"))
+    lists = {'{"rest_api_list": ["/a", "/b"]}': None, '{"rest_api_list": []}': None, '{"rest_api_list": ["/a", 1]}': "each y_pred.rest_api_list item must be a string",
+             '{"y_pred": {"rest_api_list": {}}}': "y_pred.rest_api_list must be a list", "x": "invalid_json"}
+    rows = spark.createDataFrame([(t,) for t in lists], "raw string").withColumn("p", contracts.parse_list(F.col("raw"))).collect()
+    assert {r.raw: r.p.error for r in rows} == lists and [r.p.rest_api_list for r in rows] == [["/a", "/b"], [], None, None, None]
+
+
 def test_both_empty_calls_agree(spark):
     expected = spark.createDataFrame([], "row_id long, pos int, rest_api string, allowed_methods array<string>, method string, arguments string")
     predicted = spark.createDataFrame([(1, '{"calls": []}')], "row_id long, raw string")

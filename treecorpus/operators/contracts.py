@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treecorpus.functions.json_text import pretty_json_value
 from treecorpus.schemas import READ_METHODS
 
-TEXTS = T.ArrayType(T.StringType())
-CALL = T.StructType().add("rest_api", "string").add("allowed_methods", TEXTS).add("method", "string").add(
-    "arguments", "string")
-
 
 def context_violations(labels: DataFrame, contexts: DataFrame) -> DataFrame:
     """``(row_id, rest_api, problem)``: labels absent from the row's contexts, and repeated contexts."""
@@ -36,6 +29,14 @@ def build_list_rows(requests: DataFrame, labels: DataFrame, contexts: DataFrame)
     return requests.join(bad, "row_id", "left_anti").join(lists, "row_id").join(methods, "row_id", "left")
 
 
+def context_json(contexts: DataFrame, order: str = "rest_api") -> DataFrame:
+    """``(row_id, json)``: the bodies of each row's contexts ``(row_id, rest_api, body)`` as one JSON list, by ``order``."""
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "body")))
+    # One request shows few resources.
+    return contexts.groupBy("row_id").agg(F.concat(
+        F.lit("["), F.array_join(F.transform(in_order, lambda s: s["body"]), ","), F.lit("]")).alias("json"))
+
+
 def default_method(allowed: Column) -> Column:
     """GET when allowed, else the first method, else GET."""
     return F.when(F.array_contains(allowed, "GET"), "GET").otherwise(
@@ -108,78 +109,103 @@ def inference_handoff(rows: DataFrame) -> DataFrame:
 
 
 def minimal_next_phase(rows: DataFrame) -> DataFrame:
+    """What the call phase is given: text, ordered list, bodies, and methods."""
     return rows.select("row_id", "text", "rest_api_list", "json", "allowed_methods")
 
 
-PARSED = T.StructType().add("error", "string").add("calls", T.ArrayType(CALL))
-PARSED_LIST = T.StructType().add("error", "string").add("rest_api_list", TEXTS)
-
-
-# Fixed values below: the wording of the failures.
-def _check_call(call) -> str | None:
-    if not isinstance(call, dict):
-        return "each y_pred.calls item must be an object"
-    absent = [f for f in ("rest_api", "allowed_methods", "method", "arguments") if f not in call]
-    if absent:
-        return f"y_pred.calls item missing required field(s): {absent}"
-    shapes = [("rest_api", str, "a string"), ("allowed_methods", list, "a list"), ("method", str, "a string")]
-    for name, kind, label in shapes:
-        if not isinstance(call[name], kind):
-            return f"y_pred.calls.{name} must be {label}"
-        if name == "allowed_methods" and not all(isinstance(m, str) for m in call[name]):
-            return "each y_pred.calls.allowed_methods item must be a string"
-    method = call["method"].upper()
-    if method not in [m.upper() for m in call["allowed_methods"]]:
-        return f"y_pred.calls.method {method} is not in allowed_methods for {call['rest_api']}"
-    if not isinstance(call["arguments"], dict):
-        return "y_pred.calls.arguments must be an object"
-    if method in READ_METHODS and call["arguments"]:
-        return "read-only y_pred.calls.arguments must be empty"
-    return None
-
-
-def _payload(text: str, field: str):
-    """``(value, error)`` of the named field of a prediction text, which ``y_pred`` may wrap."""
-    try:
-        value = json.loads(text)
-    except (TypeError, ValueError):
-        return None, "invalid_json"
-    if not isinstance(value, dict):
-        return None, "y_pred must be an object"
-    value = value.get("y_pred", value)
-    if not isinstance(value, dict):
-        return None, "y_pred.y_pred must be an object"
-    if not isinstance(value.get(field), list):
-        return None, f"y_pred.{field} must be a list"
-    return value[field], None
-
-
-@F.pandas_udf(PARSED)
-def parse_calls(text: pd.Series) -> pd.DataFrame:
-    """Strict reading of ordered calls: ``struct(error, calls)``."""
-    rows = []
-    for item in text:
-        calls, error = _payload(item, "calls")
-        error = error or next((e for e in map(_check_call, calls) if e), None)
-        good = None if error else [
-            (c["rest_api"], [m.upper() for m in c["allowed_methods"]], c["method"].upper(),
-             json.dumps(c["arguments"], sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for c in calls
-        ]
-        names = ("rest_api", "allowed_methods", "method", "arguments")
-        rows.append((error, None if good is None else [dict(zip(names, c)) for c in good]))
-    return pd.DataFrame(rows, columns=["error", "calls"])
-
-
-@F.pandas_udf(PARSED_LIST)
-def parse_list(text: pd.Series) -> pd.DataFrame:
+# The fields of a call in the order they are looked at, the VARIANT kind of each, and the wording of the failures.
+CALL_FIELDS = {"rest_api": ("STRING", "a string"), "allowed_methods": ("ARRAY", "a list"), "method": ("STRING", "a string"),
+               "arguments": ("OBJECT", "an object")}
+NOT_JSON, NOT_OBJECT, INNER_NOT_OBJECT = "invalid_json", "y_pred must be an object", "y_pred.y_pred must be an object"
+READ_WITH_ARGUMENTS = "read-only y_pred.calls.arguments must be empty"
+
+
+def _is(value: Column, kind: str) -> Column:
+    """Whether a VARIANT is of a kind; a missing one is of none."""
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _member(value: Column, name: str) -> Column:
+    """A member as VARIANT: null only where the object has none of the name."""
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def _texts(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<string>")
+
+
+def _items(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _all_strings(value: Column) -> Column:
+    return F.forall(_items(value), lambda v: _is(v, "STRING"))
+
+
+def _first(cases: list[tuple[Column, Column | str]]) -> Column:
+    """The message of the first case that holds, null if none does."""
+    return F.coalesce(*[F.when(case, F.lit(message) if isinstance(message, str) else message) for case, message in cases])
+
+
+def _listed(text: Column, field: str) -> Column:
+    """``struct(error, list)`` of the named list of a prediction text, as VARIANT; an object under ``y_pred`` is looked into."""
+    whole = F.try_parse_json(text)
+    inner = _member(whole, "y_pred")
+    held = F.when(inner.isNull(), whole).otherwise(inner)
+    found = _member(held, field)
+    error = _first([
+        (whole.isNull(), NOT_JSON), (~_is(whole, "OBJECT"), NOT_OBJECT), (~_is(held, "OBJECT"), INNER_NOT_OBJECT),
+        (~_is(found, "ARRAY"), f"y_pred.{field} must be a list")])
+    return F.struct(error.alias("error"), found.alias("list"))
+
+
+def _call_error(call: Column) -> Column:
+    """What is wrong with a call, as a table of cases in order of precedence."""
+    part = {name: _member(call, name) for name in CALL_FIELDS}
+    method = F.upper(F.try_variant_get(call, "$.method", "string"))
+    absent = F.array_compact(F.array(*[F.when(value.isNull(), F.lit(f"'{name}'")) for name, value in part.items()]))
+    shape = {name: (~_is(part[name], kind), f"y_pred.calls.{name} must be {label}") for name, (kind, label) in CALL_FIELDS.items()}
+    allowed = F.transform(_texts(part["allowed_methods"]), F.upper)
+    return _first([
+        (~_is(call, "OBJECT"), "each y_pred.calls item must be an object"),
+        (F.size(absent) > 0, F.concat(F.lit("y_pred.calls item missing required field(s): ["), F.array_join(absent, ", "), F.lit("]"))),
+        shape["rest_api"], shape["allowed_methods"],
+        (~_all_strings(part["allowed_methods"]), "each y_pred.calls.allowed_methods item must be a string"),
+        shape["method"],
+        (~F.array_contains(allowed, method), F.concat(
+            F.lit("y_pred.calls.method "), method, F.lit(" is not in allowed_methods for "), F.try_variant_get(call, "$.rest_api", "string"))),
+        shape["arguments"],
+        (method.isin(READ_METHODS) & (F.schema_of_variant(part["arguments"]) != "OBJECT<>"), READ_WITH_ARGUMENTS)])
+
+
+def parse_calls(text: Column) -> Column:
+    """Strict reading of ordered calls: ``struct(error, calls)``. Objects that repeat a key are no valid JSON here."""
+
+    def read(found: Column) -> Column:
+        calls = _items(found["list"])
+        error = F.coalesce(found["error"], F.try_element_at(F.filter(F.transform(calls, _call_error), lambda e: e.isNotNull()), F.lit(1)))
+        typed = F.transform(calls, lambda c: F.struct(
+            F.try_variant_get(c, "$.rest_api", "string").alias("rest_api"), F.transform(_texts(_member(c, "allowed_methods")), F.upper).alias("allowed_methods"),
+            F.upper(F.try_variant_get(c, "$.method", "string")).alias("method"), F.to_json(_member(c, "arguments")).alias("arguments")))
+        return F.struct(error.alias("error"), typed.alias("calls"))
+
+    return _settled(_listed(text, "calls"), read, "calls")
+
+
+def parse_list(text: Column) -> Column:
     """Strict reading of an ordered list: ``struct(error, rest_api_list)``."""
-    rows = []
-    for item in text:
-        value, error = _payload(item, "rest_api_list")
-        if error is None and not all(isinstance(v, str) for v in value):
-            value, error = None, "each y_pred.rest_api_list item must be a string"
-        rows.append((error, value))
-    return pd.DataFrame(rows, columns=["error", "rest_api_list"])
+
+    def read(found: Column) -> Column:
+        error = _first([(found["error"].isNotNull(), found["error"]), (~_all_strings(found["list"]), "each y_pred.rest_api_list item must be a string")])
+        return F.struct(error.alias("error"), _texts(found["list"]).alias("rest_api_list"))
+
+    return _settled(_listed(text, "rest_api_list"), read, "rest_api_list")
+
+
+def _settled(found: Column, read, name: str) -> Column:
+    """``read`` of what was found, each worked out once per row; the value is null where there is an error."""
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    return once(once(found, read), lambda r: F.struct(r["error"].alias("error"), F.when(r["error"].isNull(), r[name]).alias(name)))
 
 
 def align_calls(expected: DataFrame, predicted: DataFrame) -> DataFrame:

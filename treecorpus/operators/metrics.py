@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -233,23 +234,28 @@ def compare_artifacts(long: DataFrame, baseline: str, model: str, by: str = "art
     return rows.withColumn("delta", F.col("model") - F.col("baseline"))
 
 
-def acceptance_checks(observed: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Check ``(metric, value)`` against ``(check_name, metric, operator, threshold, fallback)``.
+def acceptance_checks(observed: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Check ``(by…, metric, value)`` against ``(check_name, metric, operator, threshold, fallback)``, each group on its own.
 
     A null threshold is not checked; a missing or NaN value takes the fallback, and without one
-    fails.
+    fails. Groups are few (artifacts): each is checked against every threshold, measured or not.
     """
-    rows = thresholds.filter(F.col("threshold").isNotNull()).join(observed, "metric", "left")
+    by = list(by)
+    limits = thresholds.filter(F.col("threshold").isNotNull())
+    if by:
+        groups = observed.agg(F.collect_set(F.struct(*by))).scalar()
+        limits = limits.withColumn("group", F.explode(groups)).select("*", *[F.col(f"group.{c}").alias(c) for c in by]).drop("group")
+    rows = limits.join(observed, [*by, "metric"], "left")
     seen = F.coalesce("value", "fallback") if "fallback" in thresholds.columns else F.col("value")
     good = F.when(F.col("operator") == ">=", F.col("observed") >= F.col("threshold")).otherwise(
         F.col("observed") <= F.col("threshold"))
     return rows.withColumn("observed", seen).withColumn(
         "passed", F.coalesce(good & ~F.isnan("observed"), F.lit(False))
-    ).select("check_name", "metric", "operator", "threshold", "observed", "passed")
+    ).select(*by, "check_name", "metric", "operator", "threshold", "observed", "passed")
 
 
-def acceptance_status(checks: DataFrame) -> DataFrame:
-    return checks.agg(
+def acceptance_status(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return checks.groupBy(*by).agg(
         F.count("*").alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"),
         F.when(F.coalesce(F.bool_and("passed"), F.lit(True)), "pass").otherwise("fail").alias("status"))
 

@@ -213,20 +213,20 @@ def _threshold_rows(spark, rows, fallback=False):
 
 
 CHECK_SQL = f"""with {METRIC_SQL},
-o as (unpivot (select {', '.join(f'{c}::double {c}' for c in [*COUNTS, *ROUNDED])} from met join ece using (artifact)
-  where artifact = 'model') on columns(*) into name metric value "value"),
+o as (unpivot (select artifact, {', '.join(f'{c}::double {c}' for c in [*COUNTS, *ROUNDED])} from met join ece using (artifact))
+  on columns(* exclude artifact) into name metric value "value"),
 th as (select * from (values {', '.join(
     f"('{n}', '{m}', '{op}', {'null' if t is None else t}::double)" for n, m, op, t in THRESHOLDS)})
   v(check_name, metric, operator, threshold)),
-checked as (select check_name, metric, operator, threshold, round("value", 6) observed,
+checked as (select artifact, check_name, metric, operator, threshold, round("value", 6) observed,
   coalesce(case operator when '>=' then "value" >= threshold else "value" <= threshold end, false) passed
-  from th left join o using (metric) where threshold is not null)
+  from (select * from th, (select distinct artifact from met)) left join o using (metric, artifact) where threshold is not null)
 """
 
 
 def _checks(spark, sf):
-    long = ops.metrics_long(ops.prediction_metrics(predictions(spark, sf).filter("artifact = 'model'")))
-    return ops.acceptance_checks(long.select("metric", "value"), _threshold_rows(spark, THRESHOLDS))
+    long = ops.metrics_long(ops.prediction_metrics(predictions(spark, sf)))
+    return ops.acceptance_checks(long.select("artifact", "metric", "value"), _threshold_rows(spark, THRESHOLDS), by=["artifact"])
 
 
 @query("c10_acceptance_checks", CHECK_SQL + "select * from checked")
@@ -235,10 +235,10 @@ def c10_acceptance_checks(spark, sf):
 
 
 @query("c10_acceptance_status", CHECK_SQL + """
-select count(*) n_checks, count(*) filter (not passed) n_failed,
-  case when bool_and(passed) then 'pass' else 'fail' end status from checked""")
+select artifact, count(*) n_checks, count(*) filter (not passed) n_failed,
+  case when bool_and(passed) then 'pass' else 'fail' end status from checked group by artifact""")
 def c10_acceptance_status(spark, sf):
-    return ops.acceptance_status(_checks(spark, sf))
+    return ops.acceptance_status(_checks(spark, sf), by=["artifact"])
 
 
 # --- run reports -------------------------------------------------------------------------------

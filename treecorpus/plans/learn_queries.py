@@ -10,7 +10,7 @@ from treecorpus.plans import inputs
 from treecorpus.plans.eval_queries import rounded, rounded_sql
 from treecorpus.plans.inputs import TREE_SQL, h_sql, md5_fraction, obj, table, text_of
 from treecorpus.plans.registry import query
-from treecorpus.plans.tree_queries import CANDIDATE_SQL, REFS_SQL, crawled, tree_candidates
+from treecorpus.plans.tree_queries import CANDIDATE_SQL, REFS_SQL, crawled, full, tree_candidates
 from treecorpus.session import staged
 
 # --- request and call rows ---------------------------------------------------------------------
@@ -79,6 +79,11 @@ def b8_build_list_rows(spark, sf):
 
 
 def expected_calls(spark, sf):
+    """The call rows, staged: scores, alignments and renderings start from them."""
+    return staged(spark, "call-rows", sf, lambda: build_expected_calls(spark, sf))
+
+
+def build_expected_calls(spark, sf):
     labels = request_labels(spark, sf)
     contexts = request_contexts(spark, sf, labels).distinct()
     explicit = labels.filter("l_returnflag = 'A'").groupBy("row_id", "rest_api").agg(
@@ -113,22 +118,53 @@ def b11_inference_handoff(spark, sf):
                       F.array_join(F.transform("ordered_goals", lambda c: c["method"]), ",").alias("methods"))
 
 
-@query("b10_render_contract_rows", f"""with {LABEL_SQL},
-one as (select row_id, min(rest_api) rest_api, any_value(allowed) allowed from labp
-  where row_id not in (select row_id from viol) group by row_id having count(*) = 1),
-txt as (select row_id, rest_api, '### Operator Text'||chr(10)||'order '||row_id||chr(10)||chr(10)||
-  '### Current Redfish JSON'||chr(10)||'['||chr(10)||'  {{'||chr(10)||'    "@odata.id": "'||rest_api||'"'||chr(10)||'  }}'||
-  chr(10)||']'||chr(10)||chr(10)||'### Allowed Methods'||chr(10)||'{{'||chr(10)||'  "'||rest_api||'": ['||chr(10)||'    "'||
-  array_to_string(allowed, '",'||chr(10)||'    "')||'"'||chr(10)||'  ]'||chr(10)||'}}'||chr(10)||chr(10)||
-  '### Ordered REST API List'||chr(10) prompt from one)
-select row_id, prompt, length(prompt)::int target_char_start,
-  '{{'||chr(10)||'  "rest_api_list": ['||chr(10)||'    "'||rest_api||'"'||chr(10)||'  ]'||chr(10)||'}}' target_json from txt""")
-def b10_render_contract_rows(spark, sf):
+def list_rows(spark, sf):
+    """List rows with the bodies of all their contexts."""
     labels = request_labels(spark, sf)
-    rows = contracts.build_list_rows(requests(spark, sf), labels, request_contexts(spark, sf, labels))
-    rows = rows.filter("size(rest_api_list) = 1").withColumn("json", F.to_json(F.transform(
-        "rest_api_list", lambda u: F.struct(u.alias("@odata.id")))))
-    return contracts.render_list_rows(rows).select("row_id", "prompt", "target_json", "target_char_start")
+    contexts = request_contexts(spark, sf, labels)
+    rows = contracts.build_list_rows(requests(spark, sf), labels, contexts)
+    bodies = full(spark, sf).filter("source = 'part'").select(F.col("url").alias("rest_api"), "body")
+    shown = contexts.select("row_id", "rest_api").distinct().join(bodies, "rest_api")
+    return rows.join(contracts.context_json(shown), "row_id")
+
+
+PROMPT_SQL = f"""{CALL_SQL},
+rows as (from labp where row_id not in (select row_id from viol)),
+shown as (select row_id, '['||chr(10)||string_agg(replace('  {{~    "@odata.id": "'||rest_api||'",~    "@odata.type": "#Bios.v1.Bios",~    "Attributes": {{~      "Brand": "'
+    ||p_brand||'",~      "Size": '||p_size||'~    }},~    "Name": "'||p_name||'",~    "SerialNumber": "SN'||pk||'"~  }}', '~', chr(10)), ','||chr(10) order by rest_api)||chr(10)||']' json,
+  '{{'||chr(10)||string_agg(replace('  "'||rest_api||'": [~    "'||array_to_string(allowed, '",~    "')||'"~  ]', '~', chr(10)), ','||chr(10) order by rest_api)||chr(10)||'}}' methods
+  from (select distinct row_id, rest_api, pk, allowed from rows) join part on p_partkey = pk group by row_id),
+lists as (select row_id, string_agg('"'||rest_api||'"', ',' order by pos) items, replace('[~  '||string_agg('"'||rest_api||'"', ',~  ' order by pos)||'~]', '~', chr(10)) list,
+  replace('{{~  "rest_api_list": [~    '||string_agg('"'||rest_api||'"', ',~    ' order by pos)||'~  ]~}}', '~', chr(10)) target from rows group by row_id),
+calls as (select row_id, replace('{{~  "calls": [~'||string_agg('    {{~      "allowed_methods": [~        "'||array_to_string(allowed, '",~        "')||'"~      ],~      "arguments": '
+  ||case when arguments = '{{}}' then arguments else '{{~        "q": '||q||'~      }}' end||',~      "method": "'||"method"||'",~      "rest_api": "'||rest_api||'"~    }}', ',~' order by pos)
+  ||'~  ]~}}', '~', chr(10)) target from call group by row_id having count(error) = 0)
+"""
+
+
+@query("b10_render_contract_rows", f"""with {PROMPT_SQL}
+select row_id, replace('### Operator Text~order '||row_id||'~~### Current Redfish JSON~', '~', chr(10))||json||replace('~~### Allowed Methods~', '~', chr(10))||methods
+  ||replace('~~### Ordered REST API List~', '~', chr(10)) prompt, length(prompt)::int target_char_start, target target_json from lists join shown using (row_id)""")
+def b10_render_contract_rows(spark, sf):
+    return contracts.render_list_rows(list_rows(spark, sf)).select("row_id", "prompt", "target_json", "target_char_start")
+
+
+@query("b10_render_call_rows", f"""with {PROMPT_SQL}
+select row_id, replace('### Operator Text~order '||row_id||'~~### Ordered REST API List~', '~', chr(10))||list||replace('~~### Current Redfish JSON~', '~', chr(10))||json
+  ||replace('~~### Allowed Methods~', '~', chr(10))||methods||replace('~~### Ordered REST Calls~', '~', chr(10)) prompt, length(prompt)::int target_char_start, c.target target_json
+from lists join shown using (row_id) join calls c using (row_id)""")
+def b10_render_call_rows(spark, sf):
+    calls = contracts.collect_calls(expected_calls(spark, sf))
+    return contracts.render_call_rows(list_rows(spark, sf).join(calls, "row_id")).select("row_id", "prompt", "target_json", "target_char_start")
+
+
+@query("b11_minimal_next_phase", f"""with {PROMPT_SQL}
+select row_id, 'order '||row_id "text", replace(items, '"', '') rest_api_list, (select count(distinct rest_api) from rows r where r.row_id = l.row_id)::int n_bodies,
+  (select count(distinct rest_api) from rows r where r.row_id = l.row_id)::int n_methods from lists l""")
+def b11_minimal_next_phase(spark, sf):
+    rows = contracts.minimal_next_phase(list_rows(spark, sf))
+    return rows.select("row_id", "text", F.array_join("rest_api_list", ",").alias("rest_api_list"),
+                       F.json_array_length("json").alias("n_bodies"), F.size("allowed_methods").alias("n_methods"))
 
 
 def predicted_calls(spark, sf):
@@ -772,41 +808,50 @@ def f5_top_k_per_group(spark, sf):
     return rows.select("c_nationkey", "c_custkey", "place")
 
 
-@query("k17_score_candidates", """
-with q as (select vec_id, embedding::double[] e, label from embeddings),
-s as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(a.e, b.e), 9) score from q a, q b
-  where b.label % 2 = 0 and a.label = b.label and a.vec_id // 50 = b.vec_id // 50),
+LEGAL_SQL = "(vec_id * 7 + label) % 3 <> 0"
+
+
+def state_vectors(spark, sf):
+    """Every vector is a state, and a candidate of all states of its label; about two thirds of the candidates are legal."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    states = rows.select("label", F.col("vec_id").alias("query_id"), F.col("e").alias("query"))
+    candidates = rows.select("label", F.col("vec_id").alias("candidate_id"), F.col("e").alias("key"), F.expr(LEGAL_SQL).alias("legal"))
+    return states, candidates
+
+
+@query("k17_score_candidates", f"""
+with q as (select vec_id, embedding::double[] e, label, {LEGAL_SQL} legal from embeddings),
+s as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(a.e, b.e), 9) score from q a join q b
+  on a.label = b.label and a.vec_id <> b.vec_id and b.legal),
 p as (select *, row_number() over (partition by query_id order by score desc, candidate_id) place from s)
 select query_id, candidate_id, round(score, 6) score from p where place = 1""")
 def k17_score_candidates(spark, sf):
-    # A state's candidates are the vectors of its label among fifty ids; those of even labels are legal.
-    rows = table(spark, sf, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("e"), "label", F.floor(F.col("vec_id") / 50).alias("host"))
-    queries = rows.select("label", "host", F.col("vec_id").alias("query_id"), F.col("e").alias("query"))
-    keys = rows.select(
-        "label", "host", F.col("vec_id").alias("candidate_id"), F.col("e").alias("key"), (F.col("label") % 2 == 0).alias("legal"))
-    return ranking.best_candidate(queries, keys, own=["label", "host"]).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+    states, candidates = state_vectors(spark, sf)
+    best = ranking.best_candidate(states, candidates, own=["label"], others_only=True)
+    return best.select("query_id", "candidate_id", F.round("score", 6).alias("score"))
 
 
-@query("k18_bilinear_score", """
+@query("k18_bilinear_score", f"""
 with w as (select l_orderkey % 64 bucket, (l_partkey % 64)::int "out", avg(l_discount) x from lineitem group by all),
-v as (select vec_id, label, unnest(range(len(embedding))) b, unnest(embedding)::double w from embeddings),
-p as (select vec_id, label, "out", sum(v.w * w.x) pw from v join w on w.bucket = v.b group by all)
-select p.vec_id state_id, c.vec_id candidate_id, round(sum(pw * c.w), 6) score
-from p join v c on c.label = p.label and c.vec_id // 50 = p.vec_id // 50 and c.b = p."out" and c.vec_id <> p.vec_id
-group by all""")
+v as (select vec_id, label, {LEGAL_SQL} legal, unnest(range(len(embedding))) b, unnest(embedding)::double w from embeddings),
+p as (select vec_id, label, "out", sum(v.w * w.x) pw from v join w on w.bucket = v.b group by all),
+s as (select p.vec_id state_id, c.vec_id candidate_id, round(sum(pw * c.w), 9) score
+  from p join v c on c.label = p.label and c.legal and c.b = p."out" and c.vec_id <> p.vec_id group by all),
+r as (select *, row_number() over (partition by state_id order by score desc, candidate_id) place from s)
+select state_id, place::int place, candidate_id, round(score, 6) score from r where place <= 5""")
 def k18_bilinear_score(spark, sf):
     weights = table(spark, sf, "lineitem").groupBy(
         (F.col("l_orderkey") % 64).alias("bucket"), (F.col("l_partkey") % 64).cast("int").alias("out")).agg(
         F.avg("l_discount").alias("w"))
-    # A state's candidates are the other vectors of its label among fifty ids.
-    rows = table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.floor(F.col("vec_id") / 50).alias("host"), F.posexplode(F.col("embedding").cast("array<double>")).alias("bucket", "w"))
-    moved = ranking.project(rows.select("vec_id", "bucket", "w"), weights, "vec_id")
-    states = moved.join(rows.select("vec_id", "label", "host").distinct(), "vec_id").withColumnRenamed("vec_id", "state_id")
-    own = rows.withColumnsRenamed({"vec_id": "candidate_id", "w": "own"})
-    return states.join(own, ["label", "host", "bucket"]).filter("state_id <> candidate_id").groupBy(
-        "state_id", "candidate_id").agg(F.round(F.sum(F.col("w") * F.col("own")), 6).alias("score"))
+    states, candidates = state_vectors(spark, sf)
+    sparse = states.select("query_id", F.posexplode("query").alias("bucket", "w"))
+    moved = ranking.project(sparse, weights, "query_id")
+    # As many buckets as the weights have columns: a row per state.
+    dense = moved.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m")).select(
+        "query_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("query"))
+    turned = states.select("label", "query_id").join(dense, "query_id")
+    best = ranking.best_candidate(turned, candidates, k=5, own=["label"], others_only=True)
+    return best.select(F.col("query_id").alias("state_id"), "place", "candidate_id", F.round("score", 6).alias("score"))
 
 
 @query("k14_hash_vector", """
