@@ -1,6 +1,7 @@
 """Sources, mixing, sampling and positions."""
 
 import hashlib
+import itertools
 import json
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from treecorpus.functions import hashing, json_text
-from treecorpus.operators import mix, normalize, positions
+from treecorpus.operators import mix, normalize, positions, vocabulary
 from treecorpus.session import scratch_path
 from treecorpus.sources import captures, corpus_io
 
@@ -171,3 +172,56 @@ def test_load_request_records(spark, tmp_path):
     kept, errors = corpus_io.load_request_records(spark, str(tmp_path / "r.jsonl"))
     assert rows(kept.select("line_number", "rest_api")) == [(1, "/a"), (3, "/b")]
     assert rows(errors) == [(4, "duplicate rest_api /a"), (5, "row must be a JSON object")]
+
+
+def plain_prompts(kind, action, parameters):
+    """The texts of one action, written out with itertools."""
+    rows = []
+
+    def add(ahead, held, given):
+        rows.append((f"Input: {kind} {action} with {ahead}. Goal: {action} Parameter: {json.dumps(held, ensure_ascii=False)}.<|endoftext|>",
+                     f"Goal: {action} Parameter: {json.dumps(held, ensure_ascii=False)}", f"Input: {kind} {action} with {given}."))
+
+    for name, values in parameters:
+        for value in values:
+            add(f"{name} {value}", {name: value}, f"{name} {value}")
+    if len(parameters) > 1:
+        for chosen in itertools.product(*[[(name, v) for v in values] for name, values in parameters]):
+            held = dict(chosen)
+            add(f" {held}", held, ", ".join(f"{k}{v}" for k, v in held.items()))
+    return rows or [(f"Input: {kind} {action}. Goal: {action} Parameter: [].<|endoftext|>", f"Goal: {kind} Parameter: [].", f"Input: {kind} {action}.")]
+
+
+def test_prompt_rows(spark):
+    actions = [("set", "a", [("X", ["1", "2"]), ("Y", ["it's", 'say "x"', "b\\c", "é"]), ("Z", ["p", "q", "r"])]),
+               ("run", "b", [("X", ["1"])]), ("run", "c", []), ("run", "twice", [("X", ["1", "2"]), ("X", ["3"])])]
+    frame = spark.createDataFrame(actions, "action_type string, action string, parameters array<struct<name:string,values:array<string>>>")
+    got = sorted((r.prompt, r.goal, r.input) for r in vocabulary.prompt_rows(frame).collect())
+    assert got == sorted(x for a in actions for x in plain_prompts(*a))
+
+
+def test_a_large_product_is_spread(spark):
+    """A hundred thousand combinations of one action come from many tasks, each decoded from its number."""
+    parameters = [(f"p{i}", [str(v) for v in range(10)]) for i in range(5)]
+    frame = spark.createDataFrame([("a", parameters), ("none", [("x", []), ("y", ["1"])])], "action string, parameters array<struct<name:string,values:array<string>>>")
+    rows = vocabulary.combinations(frame, 1000)
+    counts = [r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 100_000 and len(counts) > 8 and max(counts) < 40_000
+    digits = F.array_join(F.transform("chosen", lambda c: c["value"]), "")
+    assert rows.filter(digits.cast("long") != F.col("number")).isEmpty() and rows.select("number").distinct().count() == 100_000
+
+
+def test_dense_index_on_sparse_orders(spark):
+    """Orders that lie far apart, with most of them close together: every range numbers its share, and no window orders all."""
+    seqs = [0, 1, 2, *range(10**12, 10**12 + 500), *(10**15 * k for k in range(1, 20))]
+    rows = spark.createDataFrame([(f"k{i % 400}", s) for i, s in enumerate(reversed(seqs))], "key string, seq long").repartition(5)
+    index = positions.dense_index(rows, "key", "seq", range_rows=50)
+    first = {}
+    for i, s in enumerate(reversed(seqs)):
+        first[f"k{i % 400}"] = min(s, first.get(f"k{i % 400}", s))
+    assert {r.key: r.id for r in index.collect()} == {k: i for i, k in enumerate(sorted(first, key=lambda k: (first[k], k)))}
+    plan = index._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    hot = index.select("id", positions.one_hot(F.col("id"), 3).alias("h")).collect()
+    assert all(r.h == [int(r.id == i) for i in range(3)] for r in hot)
+    assert positions.dense_index(rows.limit(0), "key", "seq").collect() == []

@@ -385,9 +385,28 @@ def f4_duplicate_keys(spark, sf):
 firsts as (select url, min(seq) first_seq from r group by url)
 select url, (row_number() over (order by first_seq) - 1) pos from firsts""")
 def f6_dense_index(spark, sf):
-    firsts = inputs.records(spark, sf).groupBy("url").agg(F.min("seq").alias("first_seq"))
-    return positions.grouped_position(firsts, [], ["first_seq"], F.floor(F.col("first_seq") / 100_000)).select(
-        "url", "pos")
+    index = positions.dense_index(inputs.records(spark, sf), "url", "seq")
+    return index.select("url", F.col("id").alias("pos"))
+
+
+@query("f6_inverse_index", f"""with {RECORDS_SQL},
+firsts as (select url, row_number() over (order by min(seq)) - 1 pos from r group by url)
+select event_id, event_id % 1000 id, url from events left join firsts on pos = event_id % 1000""")
+def f6_inverse_index(spark, sf):
+    """Events that hold an id find its URL."""
+    index = positions.dense_index(inputs.records(spark, sf), "url", "seq")
+    return table(spark, sf, "events").select("event_id", (F.col("event_id") % 1000).alias("id")).join(index, "id", "left").select("event_id", "id", "url")
+
+
+@query("f6_one_hot", f"""with {RECORDS_SQL},
+kinds as (select source, row_number() over (order by min(seq), source) - 1 pos from r group by source),
+hot as (select a.source, list((a.pos = b.pos)::int order by b.pos) one_hot from kinds a, kinds b group by a.source)
+select seq, array_to_string(one_hot, '') one_hot from r join hot using (source)""")
+def f6_one_hot(spark, sf):
+    rows = inputs.records(spark, sf).select("seq", "source")
+    index = positions.dense_index(rows, "source", "seq")
+    hot = index.select("source", positions.one_hot(F.col("id"), index.count()).alias("one_hot"))
+    return rows.join(hot, "source").select("seq", F.array_join("one_hot", "").alias("one_hot"))
 
 
 @query("g1_hash_split", f"""with {MIX_SQL}

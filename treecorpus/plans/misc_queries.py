@@ -95,6 +95,26 @@ def b14_expand_action_prompts(spark, sf):
     return vocabulary.action_prompts(rows).groupBy("action", "setting").agg(F.count("*").alias("n"))
 
 
+@query("b14_prompt_rows", """
+with p as (select p_partkey::varchar a, p_brand b, p_size z from part),
+one as (select a, 'ResetType' n, unnest(['On', 'Off']) v from p where z % 5 <> 0
+  union all select a, 'Delay', unnest([z::varchar, '0', b]) from p where z % 5 <> 0),
+two as (select a, (i - 1) * 3 + j - 1 number, ['On', 'Off'][i] x, [z::varchar, '0', b][j] y
+  from p, (select unnest([1, 2]) i), (select unnest([1, 2, 3]) j) where z % 5 <> 0),
+said as (select a, null::bigint number, ' with '||n||' '||v ahead, '{"'||n||'": "'||v||'"}' held, ' with '||n||' '||v given from one
+  union all select a, number, replace(' with  {~ResetType~: ~'||x||'~, ~Delay~: ~'||y||'~}', '~', chr(39)), '{"ResetType": "'||x||'", "Delay": "'||y||'"}',
+    ' with ResetType'||x||', Delay'||y from two)
+select a "action", number, 'Input: set '||a||ahead||'. Goal: '||a||' Parameter: '||held||'.<|endoftext|>' prompt, 'Goal: '||a||' Parameter: '||held goal,
+  'Input: set '||a||given||'.' input from said
+union all select a, null, 'Input: set '||a||'. Goal: '||a||' Parameter: [].<|endoftext|>', 'Goal: set Parameter: [].', 'Input: set '||a||'.' from p where z % 5 = 0""")
+def b14_prompt_rows(spark, sf):
+    parameter = lambda name, *values: F.struct(F.lit(name).alias("name"), F.array(*values).alias("values"))
+    two = F.array(parameter("ResetType", F.lit("On"), F.lit("Off")), parameter("Delay", F.col("p_size").cast("string"), F.lit("0"), F.col("p_brand")))
+    rows = table(spark, sf, "part").select(F.lit("set").alias("action_type"), F.col("p_partkey").cast("string").alias("action"),
+                                           F.when(F.col("p_size") % 5 != 0, two).otherwise(F.slice(two, 1, 0)).alias("parameters"))
+    return vocabulary.prompt_rows(rows)
+
+
 @query("b16_paraphrase_prompt", f"""with {SURFACE_SQL},
 goal as (select distinct goal_id, family, rt, case when "mode" = 'state' then path else '' end path, v, t from surf)
 select goal_id, path property_path, v target_value, family <> 'boot' has_rule,
