@@ -232,42 +232,39 @@ def index(rows: DataFrame, keep: int, id: str = "vec_id", vec: str = "embedding"
     nodes = cut(nodes.select("vec", "ids", (F.col("most") * F.sqrt(square)).alias("length"), F.xxhash64("vec").alias("hash")), "vectors")
     n, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     most = max(FIRST, SHARD * WIDE // max(width, WIDE))
-    small_batches(spark, most, "16m")
-
-    def build(batches):
-        def shard(held):
-            vectors = np.concatenate([_matrix(b.column("vec"), width) for b in held])
-            ids = pa.chunked_array([b.column("ids") for b in held]).combine_chunks()
-            hashes = np.concatenate([b.column("hash").to_numpy() for b in held])
+    # Places in the order of lengths: where a row stands in its range, and how many stand in the ranges ahead.
+    ranged = nodes.repartitionByRange(-(-n // most) or 1, "length", "hash").sortWithinPartitions("length", "hash")
+    ranged = cut(ranged.withColumn("m", F.monotonically_increasing_id()), "ordered-vectors")
+    part = F.shiftright("m", 33)
+    sizes = sorted(map(tuple, ranged.groupBy(part.alias("part")).count().collect()))  # one row per range
+    before = np.cumsum([0, *(rows for _, rows in sizes)])
+    ahead = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before)], "part long, ahead long")
+    place = F.col("ahead") + F.col("m").bitwiseAND(2**33 - 1)
+    dealt = ranged.withColumn("part", part).join(F.broadcast(ahead), "part").select("vec", "ids", "length", "hash", F.floor(place / most).alias("group"))
+    schema = pa.schema([("width", pa.int32()), ("kind", pa.string()), ("vectors", pa.binary()), ("ids", pa.binary()), ("offsets", pa.binary()),
+                        ("sizes", pa.list_(pa.int32())), ("links", pa.binary())])
+
+    def build(key, table):
+        table = table.combine_chunks().sort_by([("length", "ascending"), ("hash", "ascending")])
+        length, rows, start = table.column("length").to_numpy(), [], 0
+        while start < len(length):
+            stop = int(np.searchsorted(length, SPREAD * length[start], "right"))
+            own = table.slice(start, stop - start)
+            vectors, ids = _matrix(own.column("vec").combine_chunks(), width), own.column("ids").combine_chunks()
+            hashes = own.column("hash").to_numpy()
             share = ((hashes.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 1) / 2**53
             levels = np.floor(-np.log(share) / math.log(RISE)).astype(np.int64)
             order = np.lexsort((hashes, -levels))
             vectors, ids = vectors[order], ids.take(pa.array(order))
             graph = Graph.build(lifted(vectors.astype(np.float64)), levels[order])
             kind = "<f4" if vectors.dtype == np.float32 else "<f8"
-            return pa.RecordBatch.from_pydict({
-                "width": pa.array([width], pa.int32()), "kind": [kind], "vectors": [vectors.astype(kind).tobytes()],
-                "ids": [ids.flatten().to_numpy().astype("<i8").tobytes()], "offsets": [np.cumsum(np.r_[0, ids.value_lengths().to_numpy()]).astype("<i4").tobytes()],
-                "sizes": pa.array([graph.sizes.tolist()], pa.list_(pa.int32())), "links": [graph.packed()]})
+            rows.append({
+                "width": width, "kind": kind, "vectors": vectors.astype(kind).tobytes(), "ids": ids.flatten().to_numpy().astype("<i8").tobytes(),
+                "offsets": np.cumsum(np.r_[0, ids.value_lengths().to_numpy()]).astype("<i4").tobytes(), "sizes": graph.sizes.tolist(), "links": graph.packed()})
+            start = stop
+        return pa.Table.from_pylist(rows, schema=schema)
 
-        held, there, least = [], 0, 0.0
-        for batch in batches:
-            while batch.num_rows:
-                length = batch.column("length").to_numpy()
-                if not there:
-                    least = length[0]
-                n = min(most - there, int(np.searchsorted(length, SPREAD * least, "right")))
-                held.append(batch.slice(0, n))
-                there += n
-                batch = batch.slice(n)
-                if batch.num_rows or there == most:
-                    yield shard(held)
-                    held, there = [], 0
-        if there:
-            yield shard(held)
-
-    tasks = max(1, -(-4 * n // (3 * most)))
-    made = nodes.repartitionByRange(tasks, "length", "hash").sortWithinPartitions("length", "hash").mapInArrow(
+    made = dealt.groupBy("group").applyInArrow(
         build, "width int, kind string, vectors binary, ids binary, offsets binary, sizes array<int>, links binary")
     named = cut(made, "shards").withColumn("part", F.monotonically_increasing_id())
     # One row per shard.
@@ -299,16 +296,29 @@ def _ask(k: int, beam: int):
         at = np.repeat(offsets[node] - np.r_[0, np.cumsum(copies)[:-1]], copies) + np.arange(copies.sum())
         q, score, vec = np.repeat(q, copies), np.repeat(score, copies), ids[at]
         other = vec != q_ids[q]
-        q, score, vec = q[other], score[other], vec[other]
-        order = np.lexsort((vec, -np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf), q))
-        q, score, vec = q[order], score[order], vec[order]
-        best = np.arange(len(q)) - np.searchsorted(q, q) < k
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[q[best]], q_ids[q[best]], vec[best], score[best])], ["row", "query", "vec", "score"])
+        return q_rows[q[other]], q_ids[q[other]], vec[other], score[other]
 
     def run(batches):
+        held, found = None, []
+
+        def merged():
+            row, query, vec, score = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((vec, -np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf), row))
+            sorted_ = row[order]
+            first = order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_) < k]
+            return row[first], query[first], vec[first], score[first]
+
         for batch in batches:
             for i in range(batch.num_rows):
-                yield answers({name: batch.column(name)[i].as_py() for name in batch.schema.names})
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if found and held != (row["block"], row["group"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["row", "query", "vec", "score"])
+                    found = []
+                held = (row["block"], row["group"])
+                found.append(answers(row))
+                found = [merged()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["row", "query", "vec", "score"])
 
     return run
 
@@ -325,7 +335,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int | None =
     play no part.
 
     Every row is in the graph of one shard, every query is searched in all shards (``beam`` nodes are
-    held in mind in each), and the shards' best are merged. What a search misses are nodes that its
+    held in mind in each), and the shards' best are merged, first in the task, then over all tasks. What a search misses are nodes that its
     walk does not meet: measured recall is in the README.
     """
     spark = rows.sparkSession
@@ -347,11 +357,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int | None =
                 "q_ids": [batch.column("id").to_numpy().astype("<i8").tobytes()], "q_rows": [batch.column("row").to_numpy().astype("<i8").tobytes()]})
 
     blocks = asked.select("id", "vec", "row").mapInArrow(pack, "q_width int, q_kind string, q_vectors binary, q_ids binary, q_rows binary")
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
     n = shards.count()
-    met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"))).join(shards, "shard").drop("shard")
-    # Each pair of a block and a shard is a task's worth of work, however few bytes it has.
-    found = cut(met.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(
-        _ask(k, beam), "row long, query long, vec long, score double"), "found")
+    # A block's shards are searched a group at a time, so that only the best of the group leave the task.
+    groups = min(n, max(1, -(-8 * spark.sparkContext.defaultParallelism // max(blocks.count(), 1))))
+    met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"))).join(shards, "shard")
+    met = met.withColumn("group", F.col("shard") % max(groups, 1)).drop("shard")
+    found = met.repartition("block", "group").sortWithinPartitions("block", "group").mapInArrow(
+        _ask(k, beam), "row long, query long, vec long, score double")
+    found = cut(found, "found")
     order = Window.partitionBy("row").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(id_back("query").alias("query_id"), "rank", id_back("vec").alias("vec_id"), "score")
