@@ -116,3 +116,40 @@ def test_template_count(nodes):
     surfaces = goals.build_surfaces(nodes)
     assert goals.template_text(surfaces, 0).count() == 0
     assert goals.template_text(surfaces, 3).count() == 3 * surfaces.count()
+
+
+def plain_digest(value):
+    """An order-free form of a JSON value."""
+    if isinstance(value, dict):
+        return ("object", tuple(sorted((k, plain_digest(v)) for k, v in value.items())))
+    if isinstance(value, list):
+        return ("array", tuple(plain_digest(v) for v in value))
+    if isinstance(value, bool) or value is None or isinstance(value, str):
+        return (type(value).__name__, value)
+    return ("number", float(value))
+
+
+def test_fingerprints(spark):
+    """Equal digests for equal values whatever the order of keys, different ones for all others."""
+    values = [{"a": 1, "b": {"x": [1, 2], "y": None}}, {"b": {"y": None, "x": [1, 2]}, "a": 1.0}, {"a": True, "b": {"x": [2, 1], "y": None}},
+              {"a": "1"}, {"a": "true"}, {"a": True}, [], {}, [[]], [{}], "", None, 0, False, {"": ""}, {"": None}, {"a,b": "c"}, {"a": "b", "c": "d"},
+              {"a": {"b": 1}, "c": 2}, {"a": {"b": 1, "c": 2}}, ["a", "b"], ["b", "a"], ["ab"], [["a"], "b"], {"k": [[[[1]]]]}, {"deep": {"a": {"b": {"c": {"d": [1, {"e": 2}]}}}}}]
+    records = spark.createDataFrame([(f"/{i}", json.dumps(v)) for i, v in enumerate(values)], "url string, body string")
+    leaves = walk.json_walk(records, carry=("url",), fields=("ord", "parent_ord", "key", "path", "json_type", "value"))
+    got = walk.fingerprints(leaves)
+    assert got.count() == leaves.count()
+    roots = {int(r.url[1:]): r.digest for r in got.filter("ord = 0").collect()}
+    # A body that is null is no value of the walk.
+    assert set(roots) == {i for i, v in enumerate(values) if v is not None}
+    for i in roots:
+        for j in roots:
+            assert (roots[i] == roots[j]) == (plain_digest(values[i]) == plain_digest(values[j])), (values[i], values[j])
+    parts = {r.digest for r in got.filter("path = 'b'").collect()}
+    assert len(parts) == 2
+
+
+def test_fingerprints_need_a_whole_walk(spark):
+    records = spark.createDataFrame([("/a", '{"a": {"b": 1}}')], "url string, body string")
+    leaves = walk.json_walk(records, carry=("url",), fields=("ord", "parent_ord", "key", "path", "json_type", "value")).filter("path <> 'a'")
+    with pytest.raises(ValueError, match="not whole"):
+        walk.fingerprints(leaves)

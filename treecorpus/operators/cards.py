@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treecorpus.operators.goals import variant_kind
+from treecorpus.operators.json_walk import fingerprints, json_walk
 
 KEY = ["tool", "op"]
 
@@ -91,6 +92,52 @@ def stale_cards(claims: DataFrame, spec: DataFrame) -> DataFrame:
     return claims.filter("fingerprint <> ''").join(current, KEY).filter("fingerprint <> now").select(*KEY).distinct()
 
 
+def spec_fingerprints(specs: DataFrame) -> DataFrame:
+    """``(tool, op, fingerprint)`` of ``specs (tool, op, schema)``: the digest of the schema, a JSON text, whatever the order of its keys."""
+    keyed = specs.withColumn("spec", F.to_json(F.struct(*KEY)))
+    leaves = json_walk(keyed, carry=("spec",), body="schema", fields=("ord", "parent_ord", "key", "path", "json_type", "value"))
+    roots = fingerprints(leaves, "spec").filter("ord = 0").select("spec", F.col("digest").alias("fingerprint"))
+    return keyed.join(roots, "spec").select(*KEY, "fingerprint")
+
+
+def ground_claims(cards: DataFrame, claims: DataFrame, citations: DataFrame, observed: DataFrame, spec: DataFrame,
+                  catalog: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(tool, op, kind, name, enum)`` of the claims that hold, and ``(tool, op, status, kept, dropped)`` of the cards.
+
+    ``cards (tool, op, fingerprint, status)``; ``claims (tool, op, kind, name, enum)`` are their error rules
+    (``rule``), signature slots (``slot``) and response fields (``field``). A card whose fingerprint is
+    not that of ``spec (tool, op, fingerprint, slots)`` is stale: all its claims fall and it is
+    contradicted. Else a rule holds if one of its ``citations (tool, op, name, evidence)`` is an
+    ``observed (evidence)``, a slot if the spec declares it, its enum clipped to ``catalog (tool, slot,
+    allowed)`` in the card's order, a field if ``fields (tool, op, name)`` has it. Cards without a spec,
+    tools without a catalog entry, and operations of which no field was ever observed are not
+    checked for that.
+    """
+    current = spec.groupBy(*KEY).agg(F.max("fingerprint").alias("now"), F.max("slots").alias("slots"))
+    known = cards.join(current, KEY, "left")
+    stale = (F.coalesce("fingerprint", F.lit("")) != "") & F.col("now").isNotNull() & (F.col("fingerprint") != F.col("now"))
+    known = known.withColumn("stale", F.coalesce(stale, F.lit(False)))
+    cited = citations.join(observed.select("evidence").distinct(), "evidence", "left_semi").select(*KEY, "name").distinct()
+    live = claims.join(known.filter(~F.col("stale")).select(*KEY, "slots"), KEY)
+    rules = live.filter("kind = 'rule'").drop("slots").join(cited, [*KEY, "name"], "left_semi")
+    slots = live.filter("kind = 'slot'").filter(F.col("slots").isNull() | F.array_contains("slots", F.col("name"))).drop("slots").join(
+        catalog.select("tool", F.col("slot").alias("name"), "allowed"), ["tool", "name"], "left")
+    clipped = F.when(F.col("allowed").isNotNull(), F.filter("enum", lambda v: F.array_contains("allowed", v))).otherwise(F.col("enum"))
+    slots = slots.withColumn("enum", clipped).drop("allowed")
+    seen = fields.select(*KEY).distinct().withColumn("checked", F.lit(True))
+    named = fields.select(*KEY, "name").distinct().withColumn("there", F.lit(True))
+    found = live.filter("kind = 'field'").drop("slots").join(seen, KEY, "left").join(named, [*KEY, "name"], "left")
+    found = found.filter("checked is null or there").drop("checked", "there")
+    order = [*KEY, "kind", "name", "enum"]
+    kept = rules.select(order).unionByName(slots.select(order)).unionByName(found.select(order))
+    counts = claims.groupBy(*KEY).agg(F.count("*").alias("n"))
+    left = kept.groupBy(*KEY).agg(F.count("*").alias("kept"))
+    report = known.join(counts, KEY, "left").join(left, KEY, "left").select(
+        *KEY, F.when(F.col("stale"), "contradicted").otherwise(F.col("status")).alias("status"),
+        F.coalesce("kept", F.lit(0)).alias("kept"), (F.coalesce("n", F.lit(0)) - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    return kept, report
+
+
 def card_clause(slots: Column, rules: Column, fields: Column, max_len: int = 240) -> Column:
     """``card=[sig:…;err:…;exp:…]`` from arrays of structs and names, cut to ``max_len``.
 

@@ -234,3 +234,50 @@ def value_at_path(leaves: DataFrame, paths: DataFrame, on: Sequence[str] = ("url
         *on, "path", F.col("value").alias("found_value"), F.col("json_type").alias("found_type")
     )
     return paths.join(found, [*on, "path"], "left")
+
+
+def fingerprints(leaves: DataFrame, record: str = "url") -> DataFrame:
+    """``record, ord, path, digest`` of every value of the walk: equal digests for equal values, whatever the order of keys.
+
+    ``leaves`` are a whole :func:`json_walk` with ``ord, parent_ord, key, path, json_type, value`` of one body per
+    ``record``. A scalar's digest is made of its type and text (integers and floats are one class, by
+    their value as a double), an object's of its keys and their digests in key order, a list's of its
+    items' in place. Digests go up one level of nesting a round, from values whose members are all
+    known; every round is written, so the plan stays small. Members of one value stand in one row.
+    """
+    from treecorpus.session import scratch_path
+
+    spark = leaves.sparkSession
+
+    def written(frame, name):
+        path = scratch_path(spark, name)
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    number = F.col("json_type").isin("integer", "number")
+    text = F.when(number, F.coalesce(F.expr("cast(try_cast(value as double) as string)"), "value")).otherwise(F.coalesce("value", F.lit("")))
+    nodes = written(leaves.select(record, "ord", "parent_ord", "key", "path", "json_type", text.alias("text")), "nodes")
+    kids = nodes.filter("parent_ord is not null").groupBy(record, F.col("parent_ord").alias("ord")).agg(F.count("*").alias("n"))
+    nodes = nodes.join(kids, [record, "ord"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    container = F.col("json_type").isin("object", "array")
+    kind = F.when(number, "number").otherwise(F.col("json_type"))
+    alone = F.when(container, F.md5(F.concat("json_type", F.lit(":")))).otherwise(F.md5(F.concat(kind, F.lit(":"), "text")))
+    fresh = written(nodes.filter("n = 0").withColumn("digest", alone), "digests")
+    waiting = written(nodes.filter("n > 0"), "waiting")
+    held = known = fresh
+    while not waiting.isEmpty():
+        # An object's members go by key, a list's (without keys) by place.
+        members = held.filter("parent_ord is not null").groupBy(record, F.col("parent_ord").alias("ord")).agg(
+            F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("key", F.col("ord").alias("at"), "digest"))).alias("members"))
+        ready = waiting.join(members, [record, "ord"]).filter("m = n")
+        listed = F.array_join(F.transform("members", lambda x: F.concat(
+            F.coalesce(F.concat(F.length(x["key"]).cast("string"), F.lit(" "), x["key"], F.lit("=")), F.lit("")), x["digest"])), ",")
+        fresh = written(ready.withColumn("digest", F.md5(F.concat("json_type", F.lit(":"), listed))).drop("m", "members"), "digests")
+        if fresh.isEmpty():
+            raise ValueError("the walk is not whole: some values' members are missing")
+        known = known.unionByName(fresh)
+        waiting = written(waiting.join(fresh.select(record, "ord"), [record, "ord"], "left_anti"), "waiting")
+        # What went into a value is not looked at again.
+        used = fresh.select(record, F.col("ord").alias("parent_ord"))
+        held = written(held.join(used, [record, "parent_ord"], "left_anti").unionByName(fresh, allowMissingColumns=True), "held")
+    return known.select(record, "ord", "path", "digest")

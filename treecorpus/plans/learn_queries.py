@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treecorpus.functions import hashing
-from treecorpus.operators import cards, contracts, judge, metrics, mix, ranking, rl, tokens, tree
+from treecorpus.operators import cards, contracts, json_walk, judge, metrics, mix, ranking, rl, tokens, tree
 from treecorpus.plans import inputs
 from treecorpus.plans.eval_queries import rounded, rounded_sql
 from treecorpus.plans.inputs import TREE_SQL, h_sql, md5_fraction, obj, table, text_of
@@ -579,6 +579,73 @@ def d12_ground_cards(spark, sf):
     return rows.select("tool", "op", "slot", "p_partkey", F.array_join("enum", ",").alias("enum"))
 
 
+CLAIM_SQL = """
+c as (select p_brand tool, p_type op, p_partkey k, p_size z from part),
+sp as (select tool, op, list(distinct 's'||(k % 40)) slots from c where k % 3 <> 0 group by all),
+claim as (select distinct tool, op, 'rule' kind, (400 + k % 30)::varchar "name", null::varchar[] enum from c
+  union all select tool, op, 'slot', 's'||(k % 40), ['On', 'Off', 'v'||z] from c
+  union all select distinct tool, op, 'field', 'f'||(k % 11), null from c),
+cited as (select distinct tool, op, (400 + k % 30)::varchar "name" from c where k % 4 <> 0 and k in (select l_partkey from lineitem)),
+cat as (select tool, 's'||(k % 40) "name", list_distinct(['Off', min('v'||z)]) allowed from c where z > 40 group by all),
+fld as (select distinct tool, op, 'f'||((k + 1) % 11) "name" from c where z > 25),
+stale as (select tool, op from sp where tool = 'Brand#3'),
+held as (select tool, op, kind, "name", case when allowed is null then enum else list_filter(enum, lambda v: list_contains(allowed, v)) end enum
+  from claim left join (select *, 'slot' kind from cat) using (tool, kind, "name") left join sp using (tool, op)
+  where (tool, op) not in (from stale) and case kind when 'rule' then (tool, op, "name") in (select tool, op, "name" from cited)
+    when 'slot' then slots is null or list_contains(slots, "name")
+    else (tool, op, "name") in (select tool, op, "name" from fld) or (tool, op) not in (select tool, op from fld) end)
+"""
+
+
+def card_claims(spark, sf):
+    """Cards of brands and types: claims, citations, and what they are checked against; the schemas differ for one brand."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf, "part").withColumns({"tool": F.col("p_brand"), "op": F.col("p_type")})
+    ranges = part.groupBy("tool", "op").agg(F.min("p_size").alias("a"), F.max("p_size").alias("x"))
+    moved = F.col("a") + F.when(F.col("tool") == "Brand#3", 1).otherwise(0)
+    told = ranges.select("tool", "op", F.to_json(obj(("a", F.col("a")), ("b", obj(("x", F.col("x")), ("y", F.col("tool")))))).alias("schema"))
+    learnt = ranges.select("tool", "op", F.to_json(obj(("b", obj(("y", F.col("tool")), ("x", F.col("x")))), ("a", moved))).alias("schema"))
+    own = cards.spec_fingerprints(learnt).withColumn("status", F.lit("provisional"))
+    slot, rule = text_of("s", key % 40), (400 + key % 30).cast("string")
+    slots = part.filter("p_partkey % 3 <> 0").groupBy("tool", "op").agg(F.collect_set(slot).alias("slots"))
+    spec = slots.join(cards.spec_fingerprints(told), ["tool", "op"])
+    none = F.lit(None).cast("array<string>").alias("enum")
+    claims = part.select("tool", "op", F.lit("rule").alias("kind"), rule.alias("name"), none).distinct().unionByName(
+        part.select("tool", "op", F.lit("slot").alias("kind"), slot.alias("name"), F.array(F.lit("On"), F.lit("Off"), text_of("v", size)).alias("enum"))).unionByName(
+        part.select("tool", "op", F.lit("field").alias("kind"), text_of("f", key % 11).alias("name"), none).distinct())
+    citations = part.filter("p_partkey % 4 <> 0").select("tool", "op", rule.alias("name"), key.alias("evidence"))
+    observed = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("evidence"))
+    catalog = part.filter("p_size > 40").groupBy("tool", slot.alias("slot")).agg(F.array(F.lit("Off"), F.min(text_of("v", size))).alias("allowed"))
+    fields = part.filter("p_size > 25").select("tool", "op", text_of("f", (key + 1) % 11).alias("name")).distinct()
+    return cards.ground_claims(own, claims, citations, observed, spec, catalog, fields)
+
+
+@query("d12_ground_claims", f"""with {CLAIM_SQL}
+select tool, op, kind, "name", coalesce(array_to_string(enum, ','), '-') enum, count(*) n from held group by all""")
+def d12_ground_claims(spark, sf):
+    held, _ = card_claims(spark, sf)
+    return held.groupBy("tool", "op", "kind", "name", F.coalesce(F.array_join("enum", ","), F.lit("-")).alias("enum")).agg(F.count("*").alias("n"))
+
+
+@query("d12_grounded_cards", f"""with {CLAIM_SQL}
+select tool, op, case when (tool, op) in (from stale) then 'contradicted' else 'provisional' end status, coalesce(k, 0) kept, n - coalesce(k, 0) dropped
+from (select tool, op, count(*) n from claim group by all) left join (select tool, op, count(*) k from held group by all) using (tool, op)""")
+def d12_grounded_cards(spark, sf):
+    return card_claims(spark, sf)[1]
+
+
+@query("k2_subtree_fingerprints", """
+with s as (select '/v1/suppliers/'||s_suppkey url, s_name, s_suppkey k, s_nationkey n, md5('boolean:'||case when s_acctbal >= 0 then 'True' else 'False' end) on_ from supplier),
+l as (select *, md5('array:'||md5('string:ntp-a'||k)||','||md5('string:ntp-b'||n)) list from s),
+o as (select *, md5('object:10 NTPServers='||list||',15 ProtocolEnabled='||on_) ntp from l)
+select url, 'NTP.NTPServers' path, list digest from o union all select url, 'NTP', ntp from o
+union all select url, '', md5('object:9 @odata.id='||md5('string:'||url)||',11 @odata.type='||md5('string:#ManagerNetworkProtocol.v1.ManagerNetworkProtocol')
+  ||',3 NTP='||ntp||',4 Name='||md5('string:'||s_name)) from o""")
+def k2_subtree_fingerprints(spark, sf):
+    leaves = json_walk.json_walk(full(spark, sf).filter("source = 'supplier'"), carry=("url",), fields=("ord", "parent_ord", "key", "path", "json_type", "value"))
+    return json_walk.fingerprints(leaves).filter(F.col("path").isin("", "NTP", "NTP.NTPServers")).select("url", "path", "digest")
+
+
 @query("b13_render_card_clause", """
 with c as (select p_partkey, 'card=[sig:'||case when p_size % 2 = 0 then 'Boot!:enum' else 'Boot:string' end||',Delay:integer'||
   ';err:404=fatal,429=retriable;exp:'||array_to_string(list_sort([replace(p_name, ' ', '_')||repeat('x', p_size * 6), 'k']),
