@@ -258,6 +258,8 @@ def fingerprints(leaves: DataFrame, record: str = "url") -> DataFrame:
     text = F.when(number, F.coalesce(F.expr("cast(try_cast(value as double) as string)"), "value")).otherwise(F.coalesce("value", F.lit("")))
     nodes = written(leaves.select(record, "ord", "parent_ord", "key", "path", "json_type", text.alias("text")), "nodes")
     kids = nodes.filter("parent_ord is not null").groupBy(record, F.col("parent_ord").alias("ord")).agg(F.count("*").alias("n"))
+    if not kids.join(nodes.select(record, "ord"), [record, "ord"], "left_anti").isEmpty():
+        raise ValueError("the walk is not whole: some values' parents are missing")
     nodes = nodes.join(kids, [record, "ord"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     container = F.col("json_type").isin("object", "array")
     kind = F.when(number, "number").otherwise(F.col("json_type"))
@@ -274,7 +276,7 @@ def fingerprints(leaves: DataFrame, record: str = "url") -> DataFrame:
             F.coalesce(F.concat(F.length(x["key"]).cast("string"), F.lit(" "), x["key"], F.lit("=")), F.lit("")), x["digest"])), ",")
         fresh = written(ready.withColumn("digest", F.md5(F.concat("json_type", F.lit(":"), listed))).drop("m", "members"), "digests")
         if fresh.isEmpty():
-            raise ValueError("the walk is not whole: some values' members are missing")
+            raise ValueError("values that are members of themselves")
         known = known.unionByName(fresh)
         waiting = written(waiting.join(fresh.select(record, "ord"), [record, "ord"], "left_anti"), "waiting")
         # What went into a value is not looked at again.
