@@ -274,3 +274,12 @@ def test_exact_percentiles(spark):
     assert got.keys() == groups.keys()
     for key, values in groups.items():
         assert np.allclose(got[key], np.percentile(values, [0, 50, 95, 100]), rtol=1e-12)
+
+
+def test_hit_rate_tells_hosts_apart(spark):
+    """Two hosts that share a URL are two states."""
+    states = spark.createDataFrame([("h1", "/a"), ("h2", "/a"), ("h2", "/b"), ("h3", "/c")], "host string, url string")
+    truths = spark.createDataFrame([("h1", "/a", "/x"), ("h2", "/a", "/y"), ("h2", "/b", "/z"), ("h9", "/c", "/x")], "host string, url string, truth string")
+    ranked = spark.createDataFrame([("h1", "/a", "/x", 1), ("h2", "/a", "/x", 1), ("h2", "/b", "/z", 3)], "host string, url string, candidate_url string, place int")
+    assert tuple(ranking.hit_rate(ranked, truths, states, 2).head()) == (3, 1, 1 / 3, 2)
+    assert tuple(ranking.hit_rate(ranked, truths, states, 3).head())[:2] == (3, 2)

@@ -153,3 +153,13 @@ def test_fingerprints_need_a_whole_walk(spark):
     leaves = walk.json_walk(records, carry=("url",), fields=("ord", "parent_ord", "key", "path", "json_type", "value")).filter("path <> 'a'")
     with pytest.raises(ValueError, match="not whole"):
         walk.fingerprints(leaves)
+
+
+def test_walk_as_a_table_function(spark):
+    """The lateral function gives the rows of the walk, bodies that cannot be read none."""
+    bodies = [json.dumps(SYSTEM), "{", None, "[1, [2, {\"a\": null}]]", "3", "\"x\"", "null", '{"a.b": {"c": [true, 1.5]}}', json.dumps(SYSTEM)]
+    records = spark.createDataFrame([(f"/{i}", b) for i, b in enumerate(bodies)], "url string, body string")
+    walk.register_sql(spark, "walked")
+    got = spark.sql("SELECT url, w.* FROM {t} t, LATERAL walked(t.body) w", t=records)
+    want = walk.json_walk(records, carry=("url",))
+    assert got.columns == want.columns and rows(got) == rows(want) and got.count() > 30

@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LEAF_COLUMNS = {
     "ord": ("int", pa.int32()), "parent_ord": ("int", pa.int32()),
@@ -283,3 +283,36 @@ def fingerprints(leaves: DataFrame, record: str = "url") -> DataFrame:
         used = fresh.select(record, F.col("ord").alias("parent_ord"))
         held = written(held.join(used, [record, "parent_ord"], "left_anti").unionByName(fresh, allowMissingColumns=True), "held")
     return known.select(record, "ord", "path", "digest")
+
+
+def register_sql(spark: SparkSession, name: str = "json_walk") -> None:
+    """Make the walk a table function of the session: ``SELECT … FROM t, LATERAL json_walk(t.body)``.
+
+    Its rows are those of :func:`json_walk`, with all columns, in document order. A body that cannot be
+    read, or is null, has none. Places that bodies share are worked out once per task.
+    """
+    shape = ", ".join(f"{column} {kind}" for column, (kind, _) in LEAF_COLUMNS.items())
+
+    class Walk:
+        def __init__(self):
+            self.walker = Walker(None)
+
+        def eval(self, body: str):
+            try:
+                value = decode(body) if body is not None else None
+            except ValueError:
+                return
+            if value is None:
+                return
+            walker = self.walker
+            walker.walk(value, 0)
+            places = [walker.places[at] for at in walker.place]
+            own = {"ord": walker.ord, "parent_ord": walker.parent, "json_type": walker.kind, "value": walker.text,
+                   "sibling_value": walker.near, "sibling_type": walker.near_kind}
+            rows = list(zip(*[[getattr(p, c) for p in places] if c in BY_PLACE else own[c] for c in LEAF_COLUMNS]))
+            walker.clear()
+            if len(walker.places) > MAX_PLACES:
+                walker.forget()
+            yield from rows
+
+    spark.udtf.register(name, F.udtf(Walk, returnType=shape, useArrow=False))

@@ -824,6 +824,7 @@ def rank_inputs(spark, sf):
         "host", "url", F.col("url").alias("key"), ranking.candidate_text().alias("text")))
     edges = tree.reference_edges(tree.harvest_refs(nodes), nodes)
     truths = tree.neighbors(parents, edges).select("url", F.col("neighbor").alias("truth"))
+    truths = truths.join(texts.select("host", "url"), "url")
     return texts.drop("key"), texts, truths
 
 

@@ -89,6 +89,16 @@ def j1_json_walk(spark, sf):
     )
 
 
+@query("u2_walk_in_sql", WALK_SQL + """
+select source, path, json_type, count(*) n from leaf group by all""")
+def u2_walk_in_sql(spark, sf):
+    """``j1_json_walk`` stated in SQL, with the walk as a lateral table function."""
+    walk.register_sql(spark)
+    return spark.sql("""
+        SELECT source, path, json_type, count(*) AS n FROM {tree} t, LATERAL json_walk(t.body) w
+        WHERE json_type IN ('string', 'integer', 'number', 'boolean') GROUP BY source, path, json_type""", tree=inputs.tree(spark, sf))
+
+
 @query("j1_walk_order", f"""with {TREE_SQL},
 node as (
   select '/v1' url, 0::bigint seq, 6 n
