@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import rows
-from treecorpus.operators import contracts, judge, metrics, ranking, rl, tokens
+from treecorpus.operators import contracts, encoder, judge, metrics, ranking, rl, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -283,3 +283,19 @@ def test_hit_rate_tells_hosts_apart(spark):
     ranked = spark.createDataFrame([("h1", "/a", "/x", 1), ("h2", "/a", "/x", 1), ("h2", "/b", "/z", 3)], "host string, url string, candidate_url string, place int")
     assert tuple(ranking.hit_rate(ranked, truths, states, 2).head()) == (3, 1, 1 / 3, 2)
     assert tuple(ranking.hit_rate(ranked, truths, states, 3).head())[:2] == (3, 2)
+
+
+def test_encoder_keeps_what_it_knows(spark, tmp_path):
+    """Equal texts are encoded once, a second run encodes nothing, a changed row finds a new entry and the others keep theirs."""
+    folder = str(tmp_path / "vectors")
+    make = lambda: lambda texts: np.array([[len(t), t.count("a")] for t in texts], float)
+    rows = [(i, t) for i, t in enumerate(["a", "bb", "a", "", None, "caa"])]
+    frame = spark.createDataFrame(rows, "id int, said string")
+    want = {0: [1.0, 1.0], 1: [2.0, 0.0], 2: [1.0, 1.0], 3: [0.0, 0.0], 4: None, 5: [3.0, 2.0]}
+    for made in (4, 0):
+        out, n = encoder.encoded(frame, "said", folder, make)
+        assert n == made and {r.id: r.vector for r in out.collect()} == want
+    changed = spark.createDataFrame([(0, "aaaa"), *rows[1:]], "id int, said string")
+    out, n = encoder.encoded(changed, "said", folder, make)
+    assert n == 1 and {r.id: r.vector for r in out.collect()} == {**want, 0: [4.0, 4.0]}
+    assert sorted((r.version, r["count"]) for r in encoder.known_vectors(spark, folder).groupBy("version").count().collect()) == [(1, 4), (2, 1)]

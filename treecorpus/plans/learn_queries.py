@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treecorpus.functions import hashing
-from treecorpus.operators import cards, contracts, json_walk, judge, metrics, mix, ranking, rl, tokens, tree
+from treecorpus.operators import cards, contracts, encoder, json_walk, judge, metrics, mix, ranking, rl, tokens, tree
 from treecorpus.plans import inputs
 from treecorpus.plans.eval_queries import rounded, rounded_sql
 from treecorpus.plans.inputs import TREE_SQL, h_sql, md5_fraction, obj, table, text_of
 from treecorpus.plans.registry import query
 from treecorpus.plans.tree_queries import CANDIDATE_SQL, REFS_SQL, crawled, full, tree_candidates
-from treecorpus.session import staged
+from treecorpus.session import scratch_path, staged
 
 # --- request and call rows ---------------------------------------------------------------------
 
@@ -681,6 +681,29 @@ def b12_action_template(spark, sf):
     return rows.withColumn("template_key", hashing.text_digest(F.col("template"), 16))
 
 
+@query("u3_encoded_templates", """
+with t as (select *, 'tool='||p_brand||' op='||p_type||' args=['||case when p_size % 3 = 0 then '' else 'a:string,b:integer' end||'] card='||(p_size % 4) said,
+    'tool='||p_brand||' op='||p_type||' args=['||case when p_size % 3 = 0 then '' else 'a:string,b:integer' end||'] card='||(p_size % 4 + case when p_partkey % 10 = 0 then 7 else 0 end) later
+  from part),
+n as (select (select count(distinct said) from t) n1, (select count(distinct later) from t where later not in (select said from t)) n2)
+select p_partkey, md5(later) "key", n1, n2, 0::bigint n3, round(1.0, 6)::double norm from t, n""")
+def u3_encoded_templates(spark, sf):
+    """Templates encoded three times: at first, after a tenth of the cards has changed, and with nothing new."""
+    folder = scratch_path(spark, "encoder")
+
+    def templates(changed):
+        card = F.col("p_size") % 4 + (F.when(F.col("p_partkey") % 10 == 0, 7).otherwise(0) if changed else 0)
+        args = F.when(F.col("p_size") % 3 == 0, "").otherwise("a:string,b:integer")
+        return table(spark, sf, "part").select("p_partkey", text_of("tool=", F.col("p_brand"), " op=", F.col("p_type"), " args=[", args, "] card=", card).alias("said"))
+
+    _, first = encoder.encoded(templates(False), "said", folder)
+    _, second = encoder.encoded(templates(True), "said", folder)
+    rows, third = encoder.encoded(templates(True), "said", folder)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("p_partkey", "key", *[F.lit(n).cast("bigint").alias(c) for c, n in (("n1", first), ("n2", second), ("n3", third))],
+                       F.round(length, 6).alias("norm"))
+
+
 @query("c7_safe_candidates", """
 select p_partkey from part where p_size % 5 <> 0 and p_size % 7 <> 0 and p_size % 4 <= 1 and p_brand = 'Brand#5'""")
 def c7_safe_candidates(spark, sf):
