@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,18 @@ def test_top_k(spark, monkeypatch, k, big):
 def test_top_k_of_nothing(spark):
     empty, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(100, [1.0], 0)], SCHEMA)
     assert topk.top_k(empty, empty).collect() == [] and topk.top_k(one, one).collect() == [] and topk.top_k(one, empty).collect() == []
+
+
+def test_top_k_beyond_the_doubles(spark):
+    """Finite components whose floor(1024 x) is no double, and sums in which they cancel out."""
+    rows = [(0, [1e306, 1.0]), (100, [-1e306, 0.5]), (1, [1e-310, 3.0]), (2, [0.0, -2.0]), (3, [1.7e308, 1.0]), (4, [1e306, -1e306]), (200, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    clip = lambda s: max(-2**62, min(2**62, s))
+    cells = {i: [math.floor(Fraction(x) * 1024) if abs(x) > 1e300 else math.floor(x * 1024) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100, 200):
+        scored = sorted((-clip(sum(a * b for a, b in zip(cells[q], cells[i]))), i) for i in cells if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    got = topk.top_k(frame, frame.filter("vec_id % 100 = 0"), 10).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert {s for q, _, i, s in want if i == 4 and q == 200} == {0}

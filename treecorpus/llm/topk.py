@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,41 @@ def _blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
                 width = int(lengths.max(initial=0))
                 values = np.zeros((len(part), width))
                 flat = np.asarray(part.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-                values[np.arange(width)[None, :] < lengths[:, None]] = np.floor(flat * scale)
+                inside = np.arange(width)[None, :] < lengths[:, None]
+                with np.errstate(over="ignore"):
+                    values[inside] = np.floor(flat * scale)
+                if not np.isfinite(values).all():  # beyond the doubles: numbers of any length, written out
+                    whole = np.zeros((len(part), width), object)
+                    whole[inside] = [floor_of(x, scale) for x in flat.tolist()]
+                    values = whole
                 yield pa.RecordBatch.from_pydict({
                     "ids": [ids[start:start + size].to_numpy(zero_copy_only=False).astype("<i8").tobytes()],
-                    "width": pa.array([width], pa.int32()), "cells": [values.astype("<f4" if np.abs(values).max(initial=0) < 2**24 else "<f8").tobytes()]})
+                    "width": pa.array([width], pa.int32()), "cells": [_packed(values)]})
 
     return rows.mapInArrow(pack, "ids binary, width int, cells binary")
 
 
+def floor_of(x: float, scale: float) -> int:
+    """floor(scale * x) for any finite x."""
+    return math.floor(Fraction(x) * Fraction(scale)) if math.isinf(x * scale) else math.floor(x * scale)
+
+
+#: Ahead of cells that are written out.
+WRITTEN = b"written "
+
+
+def _packed(values: np.ndarray) -> bytes:
+    if values.dtype == object:
+        return WRITTEN + " ".join(map(str, values.ravel())).encode()
+    return values.astype("<f4" if np.abs(values).max(initial=0) < 2**24 else "<f8").tobytes()
+
+
 def _matrix(ids: bytes, width: int, cells: bytes, to: int) -> np.ndarray:
     n = len(ids) // 8
+    if cells.startswith(WRITTEN):
+        values = np.zeros((n, to), object)
+        values[:, :width] = np.array([int(x) for x in cells[len(WRITTEN):].split()], object).reshape(n, width)
+        return values
     kind = "<f4" if len(cells) == 4 * n * width else "<f8"
     values = np.zeros((n, to))
     values[:, :width] = np.frombuffer(cells, kind).reshape(n, width)
@@ -54,7 +81,8 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids, and integer scores; a query's own id scores as absent (the least long)."""
     width = max(row["q_width"], row["width"])
     q, c = _matrix(row["q_ids"], row["q_width"], row["q_cells"], width), _matrix(row["ids"], row["width"], row["cells"], width)
-    if width * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < 2**53:
+    written = object in (q.dtype, c.dtype)
+    if not written and width * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < 2**53:
         scores = (q @ c.T).astype(np.int64)
     else:  # beyond what doubles add exactly
         whole = np.array([[int(x) for x in r] for r in q], dtype=object) @ np.array([[int(x) for x in r] for r in c], dtype=object).T
@@ -80,8 +108,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.
     product (a shorter vector is filled up with zeros), ties go to the smaller id, and rows that
     carry the query's own id are no candidates. Rows whose id or vector is null, or whose vector
     holds null or non-finite components, take no part. A repeated query row gets its result again;
-    repeated candidate rows count each. Fewer than ``k`` candidates: all of them. Scores beyond
-    2**62 are cut there.
+    repeated candidate rows count each. Fewer than ``k`` candidates: all of them. Products are added
+    up in whole numbers of any length; the score is a long, and what lies beyond ±2**62 is given as
+    ±2**62, where the smaller id ranks first.
 
     Every pass scores all pairs block by block and counts scores per query in a histogram over the
     range that still holds the k-th score; cells below the block's own k-th score cannot matter and
@@ -98,7 +127,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.
     norm = F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + F.floor(x.cast("double") * scale).cast("double") * F.floor(x.cast("double") * scale).cast("double"))
     most_q, n_q = asked.agg(F.max(norm), F.count("*")).first()
     most_c, n_c = table.agg(F.max(norm), F.count("*")).first()
-    bound = int(min(2.0**62, ((most_q or 0.0) * (most_c or 0.0)) ** 0.5 * (1 + 1e-9) + 1))
+    bound = int(min(2.0**62, math.sqrt(most_q or 0.0) * math.sqrt(most_c or 0.0) * (1 + 1e-9) + 1))
     q_blocks = cut(_blocks(asked.repartition(max(1, -(-n_q // QUERY_BLOCK))), QUERY_BLOCK, scale).withColumn(
         "block", F.monotonically_increasing_id()), "topk-queries")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
