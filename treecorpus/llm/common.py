@@ -33,6 +33,14 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as the frame has a column of that name."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(frame: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it back: lost executors read files again."""
     spark = frame.sparkSession

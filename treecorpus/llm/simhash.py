@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.llm.common import cut, id_back, id_of, small_batches, utf8
+from treecorpus.llm.common import cut, fresh, id_back, id_of, small_batches, utf8
 from treecorpus.llm.components import components, spanning
 
 #: Fingerprints in a block; a block pair compares at most 4 M of them at once.
@@ -138,10 +138,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, seed: in
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; of rows with one id all stay together."""
-    found = near_duplicates(docs, width, distance)
-    gone = found.filter(F.col("doc") != F.col("component")).select(F.col("doc").alias("_doc")).distinct()
-    return docs.join(gone, id_of("doc_id") == F.col("_doc"), "left_anti")
+    """The rows of ``docs`` whose id is the least of its component; of rows with one id all stay together.
+
+    Texts are read as by :func:`near_duplicates`, whatever their length; no rows give no rows. All columns
+    come out as they are, whatever their names.
+    """
+    found, name = near_duplicates(docs, width, distance), fresh(docs, "gone")
+    gone = found.filter(F.col("doc") != F.col("component")).select(F.col("doc").alias(name)).distinct()
+    return docs.join(gone, id_of("doc_id") == F.col(name), "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:
