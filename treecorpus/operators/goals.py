@@ -237,6 +237,10 @@ def _typed_rows(records: DataFrame) -> DataFrame:
         "target_value": text, "target_type": F.col("kind"), "current_value": text}))
 
 
+#: The parts of a type that :func:`typed_surfaces` asks for.
+TYPED = ("ComputerSystem", "ManagerNetworkProtocol", "Bios")
+
+
 def typed_surfaces(records: DataFrame) -> DataFrame:
     """Goals of three known types: systems (power, boot), network protocol (NTP), BIOS attributes."""
     return _label(_typed_rows(with_type(records)))

@@ -29,8 +29,14 @@ def has_action_target(body: Column) -> Column:
     )
 
 
-def last_wins(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per trimmed URL: the last body, at the position of the first."""
+def last_wins(records: DataFrame, by: Sequence[str] = (), body_where: Column | None = None) -> DataFrame:
+    """One row per trimmed URL: the last body, at the position of the first.
+
+    With ``body_where`` a last body that does not pass is null. Such captures still win over earlier ones,
+    but their bodies are neither sorted nor shuffled.
+    """
+    if body_where is not None:
+        records = records.withColumn("body", F.when(body_where, F.col("body")))
     cols = [c for c in records.columns if c != "url" and c not in by]
     return (
         records.withColumn("url", trim_url(F.col("url")))

@@ -10,7 +10,7 @@ from treecorpus.plans import inputs
 from treecorpus.plans.eval_queries import rounded, rounded_sql
 from treecorpus.plans.inputs import TREE_SQL, h_sql, md5_fraction, obj, table, text_of
 from treecorpus.plans.registry import query
-from treecorpus.plans.tree_queries import CANDIDATE_SQL, REFS_SQL, crawled, full, tree_candidates
+from treecorpus.plans.tree_queries import CANDIDATE_SQL, REFS_SQL, crawled, full_where, tree_candidates
 from treecorpus.session import scratch_path, staged
 
 # --- request and call rows ---------------------------------------------------------------------
@@ -118,12 +118,17 @@ def b11_inference_handoff(spark, sf):
                       F.array_join(F.transform("ordered_goals", lambda c: c["method"]), ",").alias("methods"))
 
 
+def of_source(spark, sf, source):
+    """The last captures that come from one source."""
+    return full_where(spark, sf, f"source-{source}", F.col("source") == source).filter(F.col("source") == source)
+
+
 def list_rows(spark, sf):
     """List rows with the bodies of all their contexts."""
     labels = request_labels(spark, sf)
     contexts = request_contexts(spark, sf, labels)
     rows = contracts.build_list_rows(requests(spark, sf), labels, contexts)
-    bodies = full(spark, sf).filter("source = 'part'").select(F.col("url").alias("rest_api"), "body")
+    bodies = of_source(spark, sf, "part").select(F.col("url").alias("rest_api"), "body")
     shown = contexts.select("row_id", "rest_api").distinct().join(bodies, "rest_api")
     return rows.join(contracts.context_json(shown), "row_id")
 
@@ -642,7 +647,7 @@ select url, 'NTP.NTPServers' path, list digest from o union all select url, 'NTP
 union all select url, '', md5('object:9 @odata.id='||md5('string:'||url)||',11 @odata.type='||md5('string:#ManagerNetworkProtocol.v1.ManagerNetworkProtocol')
   ||',3 NTP='||ntp||',4 Name='||md5('string:'||s_name)) from o""")
 def k2_subtree_fingerprints(spark, sf):
-    leaves = json_walk.json_walk(full(spark, sf).filter("source = 'supplier'"), carry=("url",), fields=("ord", "parent_ord", "key", "path", "json_type", "value"))
+    leaves = json_walk.json_walk(of_source(spark, sf, "supplier"), carry=("url",), fields=("ord", "parent_ord", "key", "path", "json_type", "value"))
     return json_walk.fingerprints(leaves).filter(F.col("path").isin("", "NTP", "NTP.NTPServers")).select("url", "path", "digest")
 
 

@@ -13,7 +13,7 @@ from treecorpus.plans import corpus_queries, inputs, learn_queries as learn
 from treecorpus.plans.goal_queries import FACT_SQL, surfaces, SURFACE_SQL
 from treecorpus.plans.inputs import TREE_SQL, obj, table, text_of
 from treecorpus.plans.registry import query
-from treecorpus.plans.tree_queries import full
+from treecorpus.plans.tree_queries import full, full_where
 from treecorpus.session import scratch_path
 from treecorpus.sources import capture_stream, captures
 from treecorpus.streaming import enum_index, folds
@@ -231,7 +231,7 @@ def m1_class_health(spark, sf):
 select url, host, coalesce((c_acctbal >= 0)::int + (c_mktsegment = 'BUILDING')::int, 0)::bigint n_held,
   coalesce(c_acctbal >= 0 and c_mktsegment = 'BUILDING', false) done from (select distinct url, host from rec) left join cus using (url)""")
 def m2_fleet_predicate(spark, sf):
-    nodes = full(spark, sf)
+    nodes = full_where(spark, sf, "power", walk.mentions("PowerState", "BootSourceOverrideTarget"), all_urls=True)
     wanted = spark.createDataFrame(
         [("PowerState", "On"), ("Boot.BootSourceOverrideTarget", "BUILDING")], "path string, value string")
     leaves = walk.json_walk(nodes, carry=("host", "url"), keys=("PowerState", "BootSourceOverrideTarget"), fields=("path", "value"))
