@@ -29,3 +29,26 @@ def test_selective_readers_stage_neither_the_tree_nor_all_bodies(spark, tmp_path
     urls = tree_queries.crawled_urls(spark, sf)
     assert urls.columns == ["url"] and urls.exceptAll(tree_queries.crawled(spark, sf).select("url")).isEmpty()
     assert inputs.captures(spark, sf).count() == inputs.tree(spark, sf).count()
+
+
+def test_folders_are_cut_off_without_lists_of_prefixes(spark):
+    """Parents as by all prefixes, for any slashes; the prefixes are listed per folder, not per URL."""
+    import io
+    from contextlib import redirect_stdout
+    from itertools import product
+
+    urls = sorted({"".join(t) for n in range(1, 6) for t in product("/ab", repeat=n)})
+    nodes = spark.createDataFrame([(u,) for u in urls if len(u) % 2 or u.endswith("a")], "url string")
+    known = {r.url for r in nodes.collect()}
+
+    def plain(url):
+        parts = url.split("/")
+        return max((p for p in ("/".join(parts[:i]) for i in range(1, len(parts))) if p and p != url and p in known), default=None)
+
+    parents = tree.containment_parent(nodes)
+    assert {r.url: r.parent for r in parents.collect()} == {u: plain(u) for u in known}
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        parents.explain("extended")
+    # The lambda that lists prefixes stands once in the optimized plan, behind the distinct folders.
+    assert shown.getvalue().split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].count("array_join") <= 1

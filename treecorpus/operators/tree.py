@@ -73,9 +73,11 @@ def containment_parent(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     equality. Prefixes of one URL extend each other, so the nearest one is also the greatest string
     and the reduction is a plain max.
     """
-    placed = nodes.select(*by, "url", proper_prefixes(F.col("url")).alias("prefixes")).withColumn("folder", F.array_max("prefixes"))
-    folders = placed.filter(F.col("folder").isNotNull()).groupBy(*by, "folder").agg(F.any_value("prefixes").alias("prefixes"))
-    steps = folders.select(*by, "folder", F.explode("prefixes").alias("prefix"))
+    # The longest proper prefix is what stands before the last slash; the shorter ones are listed once per folder.
+    cut = F.col("url").substr(F.lit(1), F.length("url") - F.length(F.substring_index("url", "/", -1)) - 1)
+    placed = nodes.select(*by, "url", F.when(F.col("url").contains("/") & (cut != ""), cut).alias("folder"))
+    folders = placed.filter(F.col("folder").isNotNull()).select(*by, "folder").distinct()
+    steps = folders.select(*by, "folder", F.explode(proper_prefixes(F.concat("folder", F.lit("/")))).alias("prefix"))
     known = nodes.select(*by, F.col("url").alias("prefix"))
     nearest = steps.join(known, [*by, "prefix"], "left_semi").groupBy(*by, "folder").agg(F.max("prefix").alias("parent"))
     return placed.select(*by, "url", "folder").join(nearest, [*by, "folder"], "left").select(*by, "url", "parent")
