@@ -137,3 +137,32 @@ def test_files_wait_until_they_settle(spark, tmp_path):
     write(root, LOTS[0])
     assert capture_stream.ingest_folder(spark, str(root), str(at), "lab", settle=600)[0].count() == 0
     assert capture_stream.ingest_folder(spark, str(root), str(at), "lab", settle=-1)[0].count() == 3
+
+
+def test_only_annotated_bodies_go_to_python(spark):
+    """What the walk is given of a body without annotations is nothing; the body itself stays in the plan below it."""
+    plan = slots.record_slots(spark.createDataFrame(CAPTURES, RECORDS))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("MapInArrow", 1)
+    assert "CASE WHEN (Contains(body" in below and "body" not in above
+
+
+def test_a_name_that_very_many_urls_have_is_merged_by_its_first_fragment(spark):
+    """Changes that leave a name's first fragment alone don't look at what its other URLs said; withdrawals do."""
+    said = "schema string, name string, url string, trust int, seq long, there boolean, tier int, ord int, type string, required boolean, choices array<string>, extracted_from string"
+    row = lambda name, url, seq, there=True: ("PATCH", name, url, 5, seq, there, *((1, 0, url, False, None, "inline") if there else (None,) * 6))
+    index = spark.createDataFrame([row("Hot", "/1", 1), row("Gone", "/2", 2), row("Back", "/3", 3)], said)
+    told = [row("Hot", "/0", 4), row("Hot", "/9", 0), row("Gone", "/2", 1, False), row("Back", "/3", 9), row("New", "/7", 1), row("Nil", "/7", 1, False)]
+    # The log is what was told of all URLs; only Gone and Back are to be read from it, so Hot is left out of it here.
+    log = [(*row("Gone", "/2", 2), 0), (*row("Gone", "/4", 6), 0), (*row("Gone", "/5", 5), 0), (*row("Gone", "/5", 5, False), 1),
+           (*row("Back", "/3", 3), 0), (*row("Back", "/6", 7), 0), *[(*r, 2) for r in told if r[1] != "Hot"]]
+    got = enum_index.merged(index, spark.createDataFrame(told, said), spark.createDataFrame(log, said + ", epoch long"))
+    assert {(r.name, r.type) for r in got.collect()} == {("Hot", "/9"), ("Gone", "/4"), ("Back", "/6"), ("New", "/7")}
+
+
+def test_the_index_needs_no_state_store_with_python(spark, tmp_path):
+    """No captures, and a session whose settings are as before."""
+    spark.createDataFrame([], RECORDS).write.parquet(str(tmp_path / "in"))
+    before = {key: spark.conf.get(key, None) for key in enum_index.ROCKS}
+    got = enum_index.enum_index(spark, spark.readStream.schema(RECORDS).parquet(str(tmp_path / "in")))
+    assert got.columns == ["schema", "name", "type", "required", "choices", "extracted_from"] and got.isEmpty()
+    assert {key: spark.conf.get(key, None) for key in enum_index.ROCKS} == before
