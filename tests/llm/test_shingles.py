@@ -127,3 +127,23 @@ def test_a_cluster_gives_edges_not_pairs(spark, monkeypatch):
         got = sorted((r.doc, r.component) for r in shingles.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
         assert got == sorted(wanted(rows))
     assert made["edges"][1] <= 3 * made["edges"][0] + 50 and made["asked"][1] <= 3 * made["asked"][0] + 100, made
+
+
+def test_simhashes_make_candidates(spark, monkeypatch):
+    """Nodes whose SimHashes differ in three or fewer bits are brought together, and the links come by way of them."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, DOCS)
+    nodes = shingles._rows(docs, 5, "doc_id", "text").dropDuplicates(["node"])
+    prints = {r.node: r.print % 2**64 for r in nodes.select("node", "print").collect()}
+    for text in (rows[0][1], "a b c d e f g", ""):
+        found = shingles.shingles((text or "").encode())
+        votes = [sum(int(h) >> bit & 1 for h in found) for bit in range(64)]
+        assert shingles.simhash(found) % 2**64 == sum(1 << bit for bit in range(64) if 2 * votes[bit] > len(found))
+    edges = [(r.a, r.b) for r in shingles._alike(nodes).collect()]
+    close = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= shingles.DISTANCE
+    want = plain_components(list(prints), close)
+    given = set(edges) | {(b, a) for a, b in edges}
+    assert plain_components(list(prints), lambda a, b: (a, b) in given) == want and len(set(want.values())) < len(prints)
+    used, real = [], shingles._alike
+    monkeypatch.setattr(shingles, "_alike", lambda frame: used.append(real(frame)) or used[-1])
+    assert sorted((r.doc, r.component) for r in shingles.near_duplicates(docs).collect()) == sorted(wanted(rows)) and len(used) == 1

@@ -1,4 +1,4 @@
-"""Near copies by the exact similarity of their word shingles: prefix lists, parity fingerprints, verification."""
+"""Near copies by the exact similarity of their word shingles: SimHash and its deletion variants, prefix lists, verification."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from treecorpus.llm.common import cut, fresh, id_of, release, small_batches, utf8
 from treecorpus.llm.components import components, spanning
+from treecorpus.llm.simhash import AT_ONCE as HASHES, links as print_links
 
 #: The least similarity is LEAST / OUT_OF; whole numbers, so that no rounding decides.
 LEAST, OUT_OF = 4, 5
+#: Bits in which two SimHashes may differ to make a candidate.
+DISTANCE = 3
 #: Bits of a parity fingerprint, and of the one that candidates are held against before their sets are joined.
 BITS, WIDE = 2048, 8192
 #: Nodes in a block, and shingles of all nodes whose sets meet; of a block pair at most AT_ONCE pairs of
@@ -49,6 +52,15 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).view(np.int64))
 
 
+def simhash(found: np.ndarray) -> int:
+    """A signed long: each of 64 bits is set if it is set in over half the set's hashes; zero for no shingles."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(found), HASHES):
+        part = np.ascontiguousarray(found[a:a + HASHES], "<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
+
+
 def parity(found: np.ndarray, bits: int = BITS) -> bytes:
     """A bit is set if an odd number of shingles fall on it.
 
@@ -104,7 +116,7 @@ def _common(docs: DataFrame, width: int, id: str, text: str) -> tuple[np.ndarray
 
 
 def _rows(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
-    """``doc, node, n, prefix, parity`` of every row."""
+    """``doc, node, n, prefix, parity, print`` of every row."""
     common, ranks = _common(docs, width, id, text)
     small_batches(docs.sparkSession)
 
@@ -114,10 +126,25 @@ def _rows(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc"), pa.array([name_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
                 pa.array([prefix(s, common, ranks).view(np.int64) for s in found], pa.list_(pa.int64())),
-                pa.array([parity(s) for s in found], pa.binary())], ["doc", "node", "n", "prefix", "parity"])
+                pa.array([parity(s) for s in found], pa.binary()), pa.array([simhash(s) for s in found], pa.int64())],
+                ["doc", "node", "n", "prefix", "parity", "print"])
 
     return docs.select(id_of(id).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        run, "doc long, node long, n long, prefix array<long>, parity binary")
+        run, "doc long, node long, n long, prefix array<long>, parity binary, print long")
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """``a, b``: candidates by SimHash. Nodes of one print meet its least node, and least nodes meet along the links of prints.
+
+    Prints link at ``DISTANCE`` or fewer bits by their deletion variants, which give spanning edges (:func:`simhash.links`),
+    so there are fewer candidates than nodes and prints with edges together.
+    """
+    least = cut(nodes.groupBy("print").agg(F.min("node").alias("a")), "near-prints")
+    same = nodes.select("node", "print").join(least, "print").filter("node <> a").select("a", F.col("node").alias("b"))
+    near = print_links(least.select("print"), DISTANCE)
+    near = near.join(least.select(F.col("print").alias("src"), "a"), "src").join(
+        least.select(F.col("print").alias("dst"), F.col("a").alias("b")), "dst").select("a", "b")
+    return cut(same.union(near), "near-alike")
 
 
 def _sizes_allow(a: str, b: str) -> Column:
@@ -319,8 +346,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, id: str = "doc_id", text: s
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space. Two texts link if the sets
     of their shingles of ``width`` words have at least 0.8 of their union in common; a shorter text is
-    one shingle, texts without words (null, empty) are equal. Every linked pair is found: it shares a
-    shingle of its prefixes. First every node meets the least node of each of its lists; then what
+    one shingle, texts without words (null, empty) are equal. Candidates come from SimHashes of the
+    shingles whose deletion variants meet. What differs in more bits is found too: a linked pair shares
+    a shingle of its prefixes. First every node meets the least node of each of its lists; then what
     lists still bring together from two components is compared in blocks, which give spanning edges
     and no pairs. Candidates pass the parity fingerprints, which lose no link, and are verified by
     their shingles. Copies are one node; texts of any length are hashed whole; other columns play no
@@ -328,14 +356,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, id: str = "doc_id", text: s
     """
     release(docs.sparkSession)
     rows = cut(_rows(docs, width, id, text), "near-rows")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity")]), "near-nodes")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity", "print")]), "near-nodes")
+    alike = _alike(nodes)
+    release(docs.sparkSession)
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
     keys = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("m")).filter("m > 1")
     keys = cut(keys.select("key", F.col("least.node").alias("a"), F.col("least.n").alias("n_a")), "near-keys")
     hits = cut(entries.join(keys, "key"), "near-hits")
     release(docs.sparkSession)
     stars = hits.filter((F.col("node") != F.col("a")) & _sizes_allow("n", "n_a")).select("a", F.col("node").alias("b")).distinct()
-    stars = cut(_close(stars, nodes), "near-stars")
+    stars = cut(_close(stars.union(alike).distinct(), nodes), "near-stars")
     links = cut(_verified(stars, nodes, docs, width, id, text), "near-links")
     found = cut(components(links), "near-first")
     release(docs.sparkSession)
