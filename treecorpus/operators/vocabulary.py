@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.operators.json_walk import ALLOWABLE
+from treecorpus.operators.json_walk import ALLOWABLE, Place
 
 SETTINGS = "@Redfish.Settings"
+#: The columns of the walk that :func:`vocabulary` reads.
+FIELDS = ("key", "parent_key", "seg", "json_type", "value")
 
 
 def drop_volatile(text: Column) -> Column:
@@ -14,9 +16,20 @@ def drop_volatile(text: Column) -> Column:
     return ~text.rlike(r"\.\d+$") & ~text.contains("JID_")
 
 
+def may_speak(place: Place) -> bool:
+    """Whether a value at this place may give a token of :func:`vocabulary`: a walk may leave out the others."""
+    key = place.key
+    if key is None and place.parent_key is not None and ALLOWABLE in place.parent_key:
+        return True
+    if key is not None and (key.startswith("#") or any(n in key for n in ("@odata.id", "@odata.type", "@odata.context", "target", ALLOWABLE))):
+        return True
+    return any(SETTINGS in s or "Attributes" in s for s in place.seg)
+
+
 def vocabulary(leaves: DataFrame) -> DataFrame:
     """``(kind, token)``: targets, actions, types, contexts, allowable keys and values, flattened
     settings and attributes, each once. Values that are not strings appear as text, null not at all.
+    ``leaves`` need the columns :data:`FIELDS` of the places that pass :func:`may_speak`.
     """
     key, value = F.col("key"), F.col("value")
     last = F.substring_index(value, "/", -1)

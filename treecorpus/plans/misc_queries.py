@@ -14,7 +14,7 @@ from treecorpus.plans.goal_queries import FACT_SQL, surfaces, SURFACE_SQL
 from treecorpus.plans.inputs import TREE_SQL, obj, table, text_of
 from treecorpus.plans.registry import query
 from treecorpus.plans.tree_queries import full, full_where
-from treecorpus.session import scratch_path
+from treecorpus.session import scratch_path, staged
 from treecorpus.sources import capture_stream, captures
 from treecorpus.streaming import enum_index, folds
 
@@ -43,8 +43,12 @@ v as (
     'Enumeration', case when p_size % 2 = 0 then 'True' else 'False' end, 'Other']) from part)
 select kind, token from v""")
 def e18_vocabulary(spark, sf):
-    leaves = walk.json_walk(full(spark, sf), carry=("url",))
-    return vocabulary.vocabulary(leaves)
+    """The tokens, staged: most are as many as the URLs, so they are made distinct in parts that grow with the input."""
+    def tokens():
+        leaves = walk.json_walk(full(spark, sf), carry=(), keep=vocabulary.may_speak, fields=vocabulary.FIELDS)
+        return vocabulary.vocabulary(leaves)
+
+    return staged(spark, "vocabulary", sf, tokens)
 
 
 @query("c8_drop_volatile_names", """
