@@ -124,7 +124,11 @@ def of_source(spark, sf, source):
 
 
 def list_rows(spark, sf):
-    """List rows with the bodies of all their contexts."""
+    """List rows with the bodies of all their contexts, staged: bodies are joined and grouped in parts that grow with the input."""
+    return staged(spark, "list-rows", sf, lambda: build_full_list_rows(spark, sf))
+
+
+def build_full_list_rows(spark, sf):
     labels = request_labels(spark, sf)
     contexts = request_contexts(spark, sf, labels)
     rows = contracts.build_list_rows(requests(spark, sf), labels, contexts)
