@@ -12,7 +12,7 @@ from treecorpus.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["e18_vocabulary", "b11_minimal_next_phase"])
+@pytest.mark.parametrize("name", ["e18_vocabulary", "b11_minimal_next_phase", "b10_render_contract_rows", "b10_render_call_rows"])
 def test_no_shuffle_is_left_to_the_session(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if any(step in line for step in ("Exchange", "Aggregate", "Sort", "Join"))]

@@ -163,8 +163,8 @@ select row_id, replace('### Operator Text~order '||row_id||'~~### Ordered REST A
   ||replace('~~### Allowed Methods~', '~', chr(10))||methods||replace('~~### Ordered REST Calls~', '~', chr(10)) prompt, length(prompt)::int target_char_start, c.target target_json
 from lists join shown using (row_id) join calls c using (row_id)""")
 def b10_render_call_rows(spark, sf):
-    calls = contracts.collect_calls(expected_calls(spark, sf))
-    return contracts.render_call_rows(list_rows(spark, sf).join(calls, "row_id")).select("row_id", "prompt", "target_json", "target_char_start")
+    rows = staged(spark, "list-call-rows", sf, lambda: list_rows(spark, sf).join(contracts.collect_calls(expected_calls(spark, sf)), "row_id"))
+    return contracts.render_call_rows(rows).select("row_id", "prompt", "target_json", "target_char_start")
 
 
 @query("b11_minimal_next_phase", f"""with {PROMPT_SQL}
