@@ -8,6 +8,7 @@ import numpy as np
 
 from llm_docs import make_docs
 from treecorpus.llm import components, simhash
+from treecorpus.llm.common import BROADCAST, cut, small_broadcasts
 
 
 def plain_fingerprint(text):
@@ -109,3 +110,26 @@ def test_one_of_each_group_stays(spark):
     docs = make_docs(spark, ["a b c d", "a b c d", "", None, "q r s t u"], [4, 2, 9, None, 5])
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [2, 5, 9]
     assert simhash.report(make_docs(spark, [])).collect() == []
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """A table of some kilobytes has 64 times the rows after the explode; Spark, which sizes it without them, must not broadcast it."""
+    plans, key = {}, "spark.sql.autoBroadcastJoinThreshold"
+
+    def recorded(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return cut(frame, name)
+
+    monkeypatch.setattr(simhash, "cut", recorded)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10m")
+    try:
+        prints = spark.createDataFrame([(random.Random(5).getrandbits(63) ^ 1 << i,) for i in range(40)], "print long")
+        assert simhash.links(prints, 3).count() > 0
+        assert "BroadcastHashJoin" not in plans["segment-pairs"] and "SortMergeJoin" in plans["segment-pairs"]
+        assert int(spark.conf.get(key)) == BROADCAST
+        spark.conf.set(key, "1000")
+        small_broadcasts(spark)
+        assert spark.conf.get(key) == "1000"  # a lower limit stays
+    finally:
+        spark.conf.set(key, before)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from treecorpus.llm.common import cut
+from treecorpus.llm.common import cut, small_broadcasts
 
 
 def spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     def print_of(frame):
         return frame.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
+    small_broadcasts(edges.sparkSession)
     pairs = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "edges")
     seen = print_of(pairs)
     while seen[0]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.llm.common import cut, fresh, id_back, id_of, small_batches, utf8
+from treecorpus.llm.common import cut, fresh, id_back, id_of, small_batches, small_broadcasts, utf8
 from treecorpus.llm.components import components, spanning
 
 #: Fingerprints in a block; a block pair compares at most 4 M of them at once.
@@ -69,6 +69,7 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     block only spanning edges go on; nothing is written per pair.
     """
     small_batches(prints.sparkSession, 256)
+    small_broadcasts(prints.sparkSession)
     cuts = segments(distance)
     parts = prints.select("print", F.explode(F.array(*[
         F.struct(F.lit(i).alias("segment"), _segment("print", *c).alias("value")) for i, c in enumerate(cuts)])).alias("part")).select(
@@ -80,7 +81,8 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     spots = spots.withColumn("on", F.col("value").bitwiseAND(bit) != 0).withColumn("rest", F.col("value").bitwiseAND(F.bitwise_not(bit)))
     off = spots.filter(~F.col("on")).select("segment", "spot", "rest", F.col("value").alias("a"), F.col("n").alias("n_a"))
     on = spots.filter("on").select("segment", "spot", "rest", F.col("value").alias("b"), F.col("n").alias("n_b"))
-    near = off.join(on, ["segment", "spot", "rest"]).select("segment", "a", "n_a", "b", "n_b")
+    # Both sides have a row per bit of a value, which Spark does not count when it sizes them.
+    near = off.hint("merge").join(on.hint("merge"), ["segment", "spot", "rest"]).select("segment", "a", "n_a", "b", "n_b")
     same = values.filter("n > 1").select("segment", F.col("value").alias("a"), F.col("n").alias("n_a"),
                                          F.col("value").alias("b"), F.col("n").alias("n_b"))
     pairs = cut(near.union(same), "segment-pairs")
@@ -98,7 +100,8 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
         F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(F.lit(0).cast("long")), blocks("n_b") - 1)).alias("j"))
     left = filled.select("segment", F.col("value").alias("a"), F.col("block").alias("i"), F.col("prints").alias("x"))
     right = filled.select("segment", F.col("value").alias("b"), F.col("block").alias("j"), F.col("prints").alias("y"))
-    met = todo.join(left, ["segment", "a", "i"]).join(right, ["segment", "b", "j"]).select("x", "y")
+    # Blocks are lists, which Spark sizes as if they held one number each.
+    met = todo.join(left.hint("merge"), ["segment", "a", "i"]).join(right.hint("merge"), ["segment", "b", "j"]).select("x", "y")
 
     def verify(batches):
         for batch in batches:
@@ -127,6 +130,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, seed: in
     differing bits; equal ones are one node, so copies cost nothing. Rows without an id come last
     (``common.NO_ID``); repeated rows get a row each; other columns play no part.
     """
+    small_broadcasts(docs.sparkSession)
     rows = cut(fingerprints(docs, width, seed, id, text), "fingerprints")
     nodes = cut(rows.groupBy("print").agg(F.min("doc").alias("first")), "distinct-fingerprints")
     found = components(links(nodes.select("print"), distance))
