@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from llm_docs import DOCS
+from llm_docs import DOCS, make_docs
 from test_simhash import plain_components
 from treecorpus.llm import shingles
 
@@ -147,3 +147,23 @@ def test_simhashes_make_candidates(spark, monkeypatch):
     used, real = [], shingles._alike
     monkeypatch.setattr(shingles, "_alike", lambda frame: used.append(real(frame)) or used[-1])
     assert sorted((r.doc, r.component) for r in shingles.near_duplicates(docs).collect()) == sorted(wanted(rows)) and len(used) == 1
+
+
+def test_prefix_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the table of nodes without the rows that its prefixes explode into."""
+    plans, key, cut = {}, "spark.sql.autoBroadcastJoinThreshold", shingles.cut
+
+    def recorded(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return cut(frame, name)
+
+    monkeypatch.setattr(shingles, "cut", recorded)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10m")
+    try:
+        docs = make_docs(spark, ["a b c d e f g h i j", "b c d e f g h i j", "x y z"])
+        assert {r.doc: r.component for r in shingles.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 2}
+        assert "BroadcastHashJoin" not in plans["near-hits"] and "SortMergeJoin" in plans["near-hits"]
+        assert int(spark.conf.get(key)) == 256 << 10
+    finally:
+        spark.conf.set(key, before)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.llm.common import SPACES, ascii_lower, cut, id_of
+from treecorpus.llm.common import SPACES, ascii_lower, cut, id_of, small_broadcasts
 
 
 def line_key(line: Column) -> Column:
@@ -25,6 +25,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10, id: st
     combined before the shuffle; the join of its places is one that Spark splits when skewed. Lines
     are taken out of a text by position inside its own row.
     """
+    small_broadcasts(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from treecorpus.llm.common import cut, id_back, id_of, slices, small_batches
+from treecorpus.llm.common import cut, id_back, id_of, slices, small_batches, small_broadcasts
 from treecorpus.llm.tokens import PieceEncoder
 
 #: Buckets of the hashed document vector, axes of its projection, and bits of each axis.
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int | None = 0, id:
     """
     spark = docs.sparkSession
     small_batches(spark)
+    small_broadcasts(spark)
     named = docs.select(id_of(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = id_type(path, end)
     tokens = cut(named.mapInArrow(_tokenise(path, end, kind), "doc long, key long, n long, ids binary").withColumn(

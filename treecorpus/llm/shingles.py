@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.llm.common import cut, fresh, id_of, release, small_batches, utf8
+from treecorpus.llm.common import cut, fresh, id_of, release, small_batches, small_broadcasts, utf8
 from treecorpus.llm.components import components, spanning
 from treecorpus.llm.simhash import AT_ONCE as HASHES, links as print_links
 
@@ -354,6 +354,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, id: str = "doc_id", text: s
     their shingles. Copies are one node; texts of any length are hashed whole; other columns play no
     part.
     """
+    small_broadcasts(docs.sparkSession)
     release(docs.sparkSession)
     rows = cut(_rows(docs, width, id, text), "near-rows")
     nodes = cut(rows.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity", "print")]), "near-nodes")
@@ -362,7 +363,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, id: str = "doc_id", text: s
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
     keys = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("m")).filter("m > 1")
     keys = cut(keys.select("key", F.col("least.node").alias("a"), F.col("least.n").alias("n_a")), "near-keys")
-    hits = cut(entries.join(keys, "key"), "near-hits")
+    # Entries have a row per shingle of a prefix, which Spark does not count when it sizes them.
+    hits = cut(entries.hint("merge").join(keys, "key"), "near-hits")
     release(docs.sparkSession)
     stars = hits.filter((F.col("node") != F.col("a")) & _sizes_allow("n", "n_a")).select("a", F.col("node").alias("b")).distinct()
     stars = cut(_close(stars.union(alike).distinct(), nodes), "near-stars")

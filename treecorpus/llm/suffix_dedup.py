@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from treecorpus.llm.common import cut, id_of, release, slices, small_batches, utf8
+from treecorpus.llm.common import cut, id_of, release, slices, small_batches, small_broadcasts, utf8
 from treecorpus.llm.repeats import covered_by_earlier
 
 #: Bytes of a repeated string, of a gram, and how far before an anchor a window can start.
@@ -314,6 +314,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, id: str = "doc_id", text
     """
     spark = docs.sparkSession
     small_batches(spark, 20_000, "8m")
+    small_broadcasts(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     along = [F.struct(*carry).alias("carry")] if carry else []
     base = docs.select(id_of(id).alias("doc"), digest_of(body).alias("digest"), body.alias("text"), *along)
