@@ -149,6 +149,36 @@ def test_simhashes_make_candidates(spark, monkeypatch):
     assert sorted((r.doc, r.component) for r in shingles.near_duplicates(docs).collect()) == sorted(wanted(rows)) and len(used) == 1
 
 
+def test_wide_fingerprints_lose_no_link():
+    rng = np.random.default_rng(3)
+    found = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    wide = shingles.wide_parity(found)
+    assert len(wide) * 8 == 16384 and shingles.wide_parity(found[:1000]) is None and shingles.wide_parity(found[:0]) is None
+    for bits in (2048, 8192):
+        assert shingles.folded(np.frombuffer(wide, np.uint64)[None, :], bits // 64)[0].tobytes() == shingles.parity(found, bits)
+    for n in (1, 9, 900, 1000, 1100, 4000):  # of sets of every width some link, and are kept
+        a = found[:n]
+        b = np.unique(np.r_[a[: n - n // 12], rng.integers(0, 2**63, n // 12).astype(np.uint64)])
+        assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        prints = [shingles.wide_parity(x) or shingles.parity(x) for x in (a, b)]
+        assert shingles._links_possible(np.array([1, 2]), np.array([len(a), len(b)]), prints).all()
+        assert not shingles._links_possible(np.array([1, 1]), np.array([len(a), len(b)]), prints).any()
+
+
+def test_long_texts_go_before_their_sets_travel(spark):
+    """The short fingerprints let any two long texts pass; the sets of texts that cannot link must not meet."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 5000))) for _ in range(4)]
+    texts.append(texts[0] + " and one word more")
+    nodes = shingles._rows(make_docs(spark, texts), 5, "doc_id", "text")
+    kept = {r.doc: r for r in nodes.collect()}
+    short = [np.frombuffer(kept[d].parity, np.uint64) for d in (1, 2)]
+    assert shingles._may_link(np.bitwise_count(short[0] ^ short[1]).sum(dtype=np.int64), kept[1].n, kept[2].n)
+    asked = nodes.selectExpr("7L as key", "0L as i", "0L as j", "node", "node as component")
+    left = {r.node for r in shingles._still_possible(asked, nodes).collect()}
+    assert left == {kept[d].node for d in (min(kept), max(kept))}
+
+
 def test_prefix_rows_are_not_broadcast(spark, monkeypatch):
     """Spark sizes the table of nodes without the rows that its prefixes explode into."""
     plans, key, cut = {}, "spark.sql.autoBroadcastJoinThreshold", shingles.cut

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treecorpus.llm.common import cut, fresh, id_of, release, small_batches, small_broadcasts, utf8
+from treecorpus.llm.common import cut, discard, fresh, id_of, release, small_batches, small_broadcasts, utf8
 from treecorpus.llm.components import components, spanning
 from treecorpus.llm.simhash import AT_ONCE as HASHES, links as print_links
 
@@ -17,6 +17,8 @@ LEAST, OUT_OF = 4, 5
 DISTANCE = 3
 #: Bits of a parity fingerprint, and of the one that candidates are held against before their sets are joined.
 BITS, WIDE = 2048, 8192
+#: Most bits of a long text's own fingerprint, and bytes of fingerprints that are compared at once.
+WIDEST, COMPARED = 1 << 17, 1 << 21
 #: Nodes in a block, and shingles of all nodes whose sets meet; of a block pair at most AT_ONCE pairs of
 #: fingerprints are compared at once, and WORDS different shingles.
 BLOCK, FULL, AT_ONCE, WORDS = 1024, 1 << 20, 1 << 15, 4096
@@ -71,6 +73,17 @@ def parity(found: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits((hits & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def wide_parity(found: np.ndarray) -> bytes | None:
+    """The parity fingerprint of a text with so many shingles that ``BITS`` tell nothing apart: two to four bits for each."""
+    bits = min(1 << (2 * len(found) - 1).bit_length(), WIDEST) if len(found) else 0
+    return parity(found, bits) if bits > BITS else None
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of fingerprints as the narrower ones of ``width`` 64-bit words that :func:`parity` would give."""
+    return np.bitwise_xor.reduce(words.reshape(len(words), -1, width), axis=1)
+
+
 def prefix(found: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles by (rank, hash): two sets that are 0.8 alike share one of them."""
     n = len(found)
@@ -116,7 +129,7 @@ def _common(docs: DataFrame, width: int, id: str, text: str) -> tuple[np.ndarray
 
 
 def _rows(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
-    """``doc, node, n, prefix, parity, print`` of every row."""
+    """``doc, node, n, prefix, parity, wide, print`` of every row."""
     common, ranks = _common(docs, width, id, text)
     small_batches(docs.sparkSession)
 
@@ -126,11 +139,11 @@ def _rows(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc"), pa.array([name_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
                 pa.array([prefix(s, common, ranks).view(np.int64) for s in found], pa.list_(pa.int64())),
-                pa.array([parity(s) for s in found], pa.binary()), pa.array([simhash(s) for s in found], pa.int64())],
-                ["doc", "node", "n", "prefix", "parity", "print"])
+                pa.array([parity(s) for s in found], pa.binary()), pa.array([wide_parity(s) for s in found], pa.binary()),
+                pa.array([simhash(s) for s in found], pa.int64())], ["doc", "node", "n", "prefix", "parity", "wide", "print"])
 
     return docs.select(id_of(id).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        run, "doc long, node long, n long, prefix array<long>, parity binary, print long")
+        run, "doc long, node long, n long, prefix array<long>, parity binary, wide binary, print long")
 
 
 def _alike(nodes: DataFrame) -> DataFrame:
@@ -183,9 +196,8 @@ def _sets_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, id
     return cut(sets, "near-sets")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are 0.8 alike, as edges ``src, dst``."""
-    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs, width, id, text)
     pairs = cut(_close(pairs, sets, WIDE), "near-pairs")  # long texts that the short fingerprint cannot tell apart go here
     small_batches(pairs.sparkSession, 256)
 
@@ -296,6 +308,47 @@ def _items(value):
     return items.field("node").to_numpy(), items.field("component").to_numpy(), [a.values.to_numpy() for a in items.field("held")]
 
 
+def _links_possible(component: np.ndarray, n: np.ndarray, prints: list[bytes]) -> np.ndarray:
+    """Which nodes have one of another component next to them whose fingerprint, each as wide as its text is long, allows a link."""
+    widths, out = np.array([len(p) // 8 for p in prints]), np.zeros(len(n), bool)
+    for width in np.unique(widths):  # pairs whose narrower fingerprint has so many words; the other is folded
+        held = np.flatnonzero(widths >= width)
+        words = np.stack([folded(np.frombuffer(prints[i], np.uint64)[None, :], width)[0] for i in held])
+        own_n, own, narrow = n[held], component[held], widths[held] == width
+        for r in np.flatnonzero(narrow):
+            c = np.flatnonzero((own != own[r]) & (OUT_OF * np.minimum(own_n, own_n[r]) >= LEAST * np.maximum(own_n, own_n[r])))
+            step = max(1, COMPARED // (8 * int(width)))
+            for at in (c[s:s + step] for s in range(0, len(c), step)):
+                at = at[_may_link(np.bitwise_count(words[at] ^ words[r]).sum(axis=1, dtype=np.int64), own_n[at], own_n[r])]
+                out[held[at]] = True
+                out[held[r]] |= len(at) > 0
+    return out
+
+
+def _still_possible(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``asked`` that may link to another of their block pair by the wide fingerprints.
+
+    Long texts pass the short fingerprints whatever they say; here they go before their prefixes and
+    shingle sets travel, which take many times as much.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for key, i, j, value in zip(batch.column("key").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("of")):
+                items = value.values
+                node, component, held = (items.field(c) for c in ("node", "component", "held"))
+                node, component = node.to_numpy(), component.to_numpy()
+                good = _links_possible(component, held.field("n").to_numpy(), held.field("print").to_pylist())
+                if good.any():
+                    n = int(good.sum())
+                    yield pa.RecordBatch.from_arrays([*[pa.array([v] * n, pa.int64()) for v in (key, i, j)], pa.array(node[good]), pa.array(component[good])],
+                                                     ["key", "i", "j", "node", "component"])
+
+    held = nodes.select("node", F.struct("n", F.coalesce("wide", "parity").alias("print")).alias("wide"))
+    met = _met(_paired(asked, nodes.select("node", "n")), held, "wide").select("key", "i", "j", "of")
+    return met.mapInArrow(run, "key long, i long, j long, node long, component long").distinct()
+
+
 def _first_lists(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ``asked`` that have a node of another component next to them with which they share no list of a smaller key.
 
@@ -356,25 +409,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, id: str = "doc_id", text: s
     """
     small_broadcasts(docs.sparkSession)
     release(docs.sparkSession)
-    rows = cut(_rows(docs, width, id, text), "near-rows")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity", "print")]), "near-nodes")
+    whole = cut(_rows(docs, width, id, text), "near-rows")
+    nodes = cut(whole.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity", "wide", "print")]), "near-nodes")
+    rows = cut(whole.select("doc", "node"), "near-names")
+    discard(whole)
     alike = _alike(nodes)
     release(docs.sparkSession)
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
     keys = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("m")).filter("m > 1")
     keys = cut(keys.select("key", F.col("least.node").alias("a"), F.col("least.n").alias("n_a")), "near-keys")
     # Entries have a row per shingle of a prefix, which Spark does not count when it sizes them.
+    release(docs.sparkSession)
     hits = cut(entries.hint("merge").join(keys, "key"), "near-hits")
     release(docs.sparkSession)
     stars = hits.filter((F.col("node") != F.col("a")) & _sizes_allow("n", "n_a")).select("a", F.col("node").alias("b")).distinct()
     stars = cut(_close(stars.union(alike).distinct(), nodes), "near-stars")
-    links = cut(_verified(stars, nodes, docs, width, id, text), "near-links")
+    sets = _sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")), nodes, docs, width, id, text)
+    links = cut(_verified(stars, sets), "near-links")
+    discard(sets)
     found = cut(components(links), "near-first")
     release(docs.sparkSession)
-    hits = cut(hits.select("key", "node").join(found, "node", "left").select(
+    labelled = cut(hits.select("key", "node").join(found, "node", "left").select(
         "key", "node", F.coalesce("root", "node").alias("component")), "near-labelled")
+    discard(hits)
+    release(docs.sparkSession)
+    maybe = cut(_across(labelled, nodes), "near-maybe")
+    release(docs.sparkSession)
+    more = cut(_first_lists(cut(_still_possible(maybe, nodes), "near-possible"), nodes), "near-more")
     release(docs.sparkSession)
-    more = cut(_first_lists(cut(_across(hits, nodes), "near-maybe"), nodes), "near-more")
     links = links.union(_spanned(more, _sets_of(more.select("node"), nodes, docs, width, id, text)))
     found = cut(components(links), "near-all")
     rooted = nodes.join(found, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
