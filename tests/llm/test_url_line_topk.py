@@ -125,3 +125,20 @@ def test_top_k_beyond_the_doubles(spark):
     got = topk.top_k(frame, frame.filter("vec_id % 100 = 0"), 10).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert {s for q, _, i, s in want if i == 4 and q == 200} == {0}
+
+
+def test_top_k_asks_in_turns(spark, monkeypatch):
+    """Queries are broadcast so many at a time; however they are dealt, the result is the same."""
+    rnd = random.Random(8)
+    frame = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)], "vec_id long, embedding array<float>")
+    queries = frame.filter("vec_id % 10 = 0")
+    want = sorted(map(tuple, topk.top_k(frame, queries, 5).collect()))
+    assert len(want) == 150
+    turns = []
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(topk, "ASKED", 1)
+    monkeypatch.setattr(topk, "ranges", lambda *args, whole=topk.ranges: turns.append(whole(*args)) or turns[-1])
+    assert sorted(map(tuple, topk.top_k(frame, queries, 5).collect())) == want
+    assert len(turns[0]) > 1
+    sizes = spark.createDataFrame([(7, 4), (1, 5), (9, 20), (3, 5)], "block long, n int")
+    assert topk.ranges(sizes, 10) == [(1, 3), (7, 7), (9, 9)] and topk.ranges(sizes.limit(0), 10) == [(0, 0)]

@@ -5,17 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from treecorpus.llm.common import cut, small_batches
+from treecorpus.llm.common import cut, release, small_batches, small_broadcasts
 
 #: Rows of a block; a block pair of 64 dimensions takes about 1.5 MB with its scores.
 QUERY_BLOCK, ROW_BLOCK = 256, 1024
 #: Cells of a score histogram.
 CELLS = 2048
+#: Row blocks in a file, and bytes of query blocks that are broadcast at once.
+TOGETHER, ASKED = 8, 16 << 20
 
 
 def finite(vec: Column) -> Column:
@@ -92,13 +95,22 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q_ids, c_ids, scores
 
 
-def _pairs(queries: DataFrame, state: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
-    """Every query block next to every row block; query blocks are copied once per group of row blocks."""
+def _pairs(queries: DataFrame, state: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every query block, at most ``ASKED`` bytes in all, next to every row block, which stays where it is read."""
     bounds = state.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "low", "high", "need"))).alias("bounds"))
     ready = queries.join(bounds, "block").select(
-        "block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"), "bounds",
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    return blocks.join(ready, "part").drop("part")
+        "block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"), "bounds")
+    return blocks.crossJoin(F.broadcast(ready))
+
+
+def ranges(sizes: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of blocks that take at most ``most`` bytes, or hold one block; ``sizes`` has number and bytes of each, which come to the driver."""
+    out, held = [], 0
+    for block, size in sorted(map(tuple, sizes.collect())):
+        if not out or held + size > most:
+            out, held = [*out, (block, block)], 0
+        out[-1], held = (out[-1][0], block), held + size
+    return out or [(0, 0)]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -114,9 +126,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.
 
     Every pass scores all pairs block by block and counts scores per query in a histogram over the
     range that still holds the k-th score; cells below the block's own k-th score cannot matter and
-    are not sent. When each range is one value wide, a last pass takes what reaches it.
+    are not sent. When each range is one value wide, a last pass takes what reaches it. Row blocks are
+    never shuffled again: queries come to them, so many at a time that a broadcast of them stays small
+    however many there are.
     """
     spark = rows.sparkSession
+    small_broadcasts(spark)
     small_batches(spark, 1024, "32m")
 
     def valid(frame):
@@ -130,9 +145,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.
     bound = int(min(2.0**62, math.sqrt(most_q or 0.0) * math.sqrt(most_c or 0.0) * (1 + 1e-9) + 1))
     q_blocks = cut(_blocks(asked.repartition(max(1, -(-n_q // QUERY_BLOCK))), QUERY_BLOCK, scale).withColumn(
         "block", F.monotonically_increasing_id()), "topk-queries")
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, min(-(-n_c // ROW_BLOCK), 4 * shuffles))
-    blocks = cut(_blocks(table, ROW_BLOCK, scale).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "topk-rows")
+    blocks = cut(_blocks(table.repartition(max(1, -(-n_c // (TOGETHER * ROW_BLOCK)))), ROW_BLOCK, scale), "topk-rows")
+    turns = ranges(q_blocks.select("block", F.octet_length("cells") + F.octet_length("ids")), ASKED)
+    if len(turns) == 1:
+        return _found(q_blocks, blocks, k, bound)
+    found = []
+    for first, last in turns:
+        found.append(cut(_found(q_blocks.filter(F.col("block").between(first, last)), blocks, k, bound), "topk-found"))
+        release(spark)  # else the broadcasts stay on the driver
+    return reduce(DataFrame.union, found)
+
+
+def _found(q_blocks: DataFrame, blocks: DataFrame, k: int, bound: int) -> DataFrame:
+    """:func:`top_k` of the query blocks, whose scores lie within ±``bound``."""
 
     def first_state(batches):
         for batch in batches:
@@ -163,7 +188,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.
 
     width = 2 * bound + 1
     while width > 1:
-        counted = _pairs(q_blocks, state, blocks, groups).mapInArrow(count, "block long, place int, cell long, n long")
+        counted = _pairs(q_blocks, state, blocks).mapInArrow(count, "block long, place int, cell long, n long")
         cells = counted.groupBy("block", "place", "cell").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("block", "place").orderBy(F.desc("cell"))
         reached = cells.withColumn("upto", F.sum("n").over(down)).join(state, ["block", "place"])
@@ -194,7 +219,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.
                     [pa.array(columns[j], pa.int32() if j == 1 else pa.int64()) for j in range(5)],
                     ["block", "place", "query_id", "vec_id", "score"])
 
-    found = _pairs(q_blocks, state, blocks, groups).mapInArrow(
+    found = _pairs(q_blocks, state, blocks).mapInArrow(
         take, "block long, place int, query_id long, vec_id long, score long")
     order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
