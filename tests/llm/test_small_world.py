@@ -116,3 +116,22 @@ def test_lifted_keeps_the_order_of_products():
     assert np.allclose(np.linalg.norm(lifted(vectors), axis=1), 1, atol=1e-5)
     exact = inner(np.tile(query, (200, 1)), vectors)
     assert np.allclose(products / products.max(), exact / exact.max(), atol=1e-4)
+
+
+def test_shards_stay_and_queries_come_in_turns(spark, monkeypatch):
+    """However many queries are broadcast at a time and shards are in a task, the result is the same."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(900, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    queries = frame.filter("vec_id % 30 = 0")
+    monkeypatch.setattr(small_world, "SHARD", 128)
+    monkeypatch.setattr(small_world, "FIRST", 32)
+    want = sorted(map(tuple, small_world.nearest(frame, queries, 5).collect()))
+    assert len(want) == 150
+    written = []
+    monkeypatch.setattr(small_world, "cut", lambda frame, name, whole=small_world.cut: written.append(name) or whole(frame, name))
+    monkeypatch.setattr(small_world, "QUERIES", 4)
+    monkeypatch.setattr(small_world, "ASKED", 1)
+    monkeypatch.setattr(small_world, "MOST", 2)
+    assert sorted(map(tuple, small_world.nearest(frame, queries, 5).collect())) == want
+    assert written.count("found") > 1

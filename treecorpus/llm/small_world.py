@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from treecorpus.llm.common import cut, id_back, id_of, small_batches
-from treecorpus.llm.topk import finite
+from treecorpus.llm.common import cut, discard, id_back, id_of, release, small_batches, small_broadcasts
+from treecorpus.llm.topk import ASKED, finite, ranges
 
 #: Different vectors of a shard (fewer where they have over WIDE components), and queries of a block.
 SHARD, WIDE, QUERIES = 8192, 256, 1024
@@ -23,6 +24,8 @@ OPENED, INSERTED = 4, 1024
 FIRST = 256
 #: The longest vector of a shard is at most so many times as long as its shortest.
 SPREAD = 8
+#: Shards that a task searches at most.
+MOST = 64
 
 _LEAST = -np.inf
 
@@ -230,11 +233,14 @@ def index(rows: DataFrame, keep: int, id: str = "vec_id", vec: str = "embedding"
         "most", F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))))
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))  # no overflow
     nodes = cut(nodes.select("vec", "ids", (F.col("most") * F.sqrt(square)).alias("length"), F.xxhash64("vec").alias("hash")), "vectors")
+    release(spark)
     n, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     most = max(FIRST, SHARD * WIDE // max(width, WIDE))
     # Places in the order of lengths: where a row stands in its range, and how many stand in the ranges ahead.
     ranged = nodes.repartitionByRange(-(-n // most) or 1, "length", "hash").sortWithinPartitions("length", "hash")
     ranged = cut(ranged.withColumn("m", F.monotonically_increasing_id()), "ordered-vectors")
+    discard(nodes)
+    release(spark)
     part = F.shiftright("m", 33)
     sizes = sorted(map(tuple, ranged.groupBy(part.alias("part")).count().collect()))  # one row per range
     before = np.cumsum([0, *(rows for _, rows in sizes)])
@@ -266,13 +272,21 @@ def index(rows: DataFrame, keep: int, id: str = "vec_id", vec: str = "embedding"
 
     made = dealt.groupBy("group").applyInArrow(
         build, "width int, kind string, vectors binary, ids binary, offsets binary, sizes array<int>, links binary")
-    named = cut(made, "shards").withColumn("part", F.monotonically_increasing_id())
+    made = cut(made, "shards")
+    discard(ranged)
+    release(spark)
+    named = made.withColumn("part", F.monotonically_increasing_id())
     # One row per shard.
     numbers = {part: i for i, part in enumerate(sorted(r[0] for r in named.select("part").collect()))}
     of = spark.createDataFrame(list(numbers.items()), "part long, shard int")
     return named.join(F.broadcast(of), "part").drop("part")
 
 
+def _turns(blocks: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``block`` whose queries take at most ``most`` bytes, or one block. One row per block comes to the driver."""
+    return ranges(blocks.select("block", F.octet_length("q_vectors") + 2 * F.octet_length("q_ids")), most)
+
+
 def _ask(k: int, beam: int):
     def answers(row):
         width = max(row["width"], row["q_width"])
@@ -298,27 +312,21 @@ def _ask(k: int, beam: int):
         other = vec != q_ids[q]
         return q_rows[q[other]], q_ids[q[other]], vec[other], score[other]
 
-    def run(batches):
-        held, found = None, []
-
-        def merged():
-            row, query, vec, score = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((vec, -np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf), row))
-            sorted_ = row[order]
-            first = order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_) < k]
-            return row[first], query[first], vec[first], score[first]
+    def merged(*parts):
+        row, query, vec, score = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((vec, -np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf), row))
+        sorted_ = row[order]
+        first = order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_) < k]
+        return row[first], query[first], vec[first], score[first]
 
+    def run(batches):
+        best = {}  # of each query block what the task's shards have given so far
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if found and held != (row["block"], row["group"]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["row", "query", "vec", "score"])
-                    found = []
-                held = (row["block"], row["group"])
-                found.append(answers(row))
-                found = [merged()]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["row", "query", "vec", "score"])
+                best[row["block"]] = merged(*(best[row["block"]],) if row["block"] in best else (), answers(row))
+        for found in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["row", "query", "vec", "score"])
 
     return run
 
@@ -335,12 +343,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int | None =
     play no part.
 
     Every row is in the graph of one shard, every query is searched in all shards (``beam`` nodes are
-    held in mind in each), and the shards' best are merged, first in the task, then over all tasks. What a search misses are nodes that its
-    walk does not meet: measured recall is in the README.
+    held in mind in each), and the shards' best are merged, first in the task, then over all tasks. Shards stay where they are read;
+    queries come to them, so many at a time that a broadcast of them, and what a task holds of their results, stay small however many there are.
+    What a search misses are nodes that its walk does not meet: measured recall is in the README.
     """
     spark = rows.sparkSession
+    small_broadcasts(spark)
     beam = max(beam or QUERY_BEAM, k + 1)
-    shards = cut(index(rows, k + 1, id, vec), "small-worlds")
+    shards = index(rows, k + 1, id, vec)
     asked = queries.select(id_of(id).alias("id"), F.col(vec).alias("vec")).filter(usable(F.col("vec"))).distinct()
     asked = cut(asked.withColumn("row", F.monotonically_increasing_id()), "queries")
     small_batches(spark, QUERIES, "16m")
@@ -359,13 +369,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int | None =
     blocks = asked.select("id", "vec", "row").mapInArrow(pack, "q_width int, q_kind string, q_vectors binary, q_ids binary, q_rows binary")
     blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
     n = shards.count()
-    # A block's shards are searched a group at a time, so that only the best of the group leave the task.
-    groups = min(n, max(1, -(-8 * spark.sparkContext.defaultParallelism // max(blocks.count(), 1))))
-    met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"))).join(shards, "shard")
-    met = met.withColumn("group", F.col("shard") % max(groups, 1)).drop("shard")
-    found = met.repartition("block", "group").sortWithinPartitions("block", "group").mapInArrow(
-        _ask(k, beam), "row long, query long, vec long, score double")
-    found = cut(found, "found")
+    # So many shards a task that all cores have two tasks, and at most MOST of them: only the best of a task's shards leave it.
+    tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-n // MOST))))
+    shards = cut(shards.repartitionByRange(tasks, "shard").drop("shard"), "small-worlds") if tasks > 1 else shards.drop("shard")
+    release(spark)
+    found = []
+    for first, last in _turns(blocks, min(ASKED, ASKED * 64 // max(k, 1))):
+        asked_now = F.broadcast(blocks.filter(F.col("block").between(first, last)))
+        found.append(cut(shards.crossJoin(asked_now).mapInArrow(_ask(k, beam), "row long, query long, vec long, score double"), "found"))
+        release(spark)  # else the broadcasts stay on the driver
+    found = reduce(DataFrame.union, found)
     order = Window.partitionBy("row").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(id_back("query").alias("query_id"), "rank", id_back("vec").alias("vec_id"), "score")
