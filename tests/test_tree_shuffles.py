@@ -48,3 +48,17 @@ def test_the_census_joins_no_bodies(nodes):
     plan = plan_of(census, "optimizedPlan")
     assert "body" not in plan[plan.index("Join"):plan.index("Join") + plan[plan.index("Join"):].index("Project")]
     assert "json_object_keys" not in plan[:plan.index("Join")]
+
+
+def test_neither_folders_nor_prefixes_travel_next_to_urls(spark):
+    urls = ["/", "//", "a", "a/b", "/a", "/a/b", "/a//b", "/a//b/c", "/a/b/c/d", "é/ü", "é/ü/x/y", "/v/w/x", ""]
+    found = tree.containment_parent(spark.createDataFrame([(u,) for u in urls], "url string"))
+
+    def nearest(url):
+        parts = url.split("/")
+        return next((p for p in ("/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1)) if p and p != url and p in urls), None)
+
+    assert dict(found.collect()) == {u: nearest(u) for u in urls}
+    plan = plan_of(found, "optimizedPlan").splitlines()
+    assert not [line for line in plan if "Project [url" in line and "AS folder" in line]
+    assert not [line for line in plan if "Generate" in line and "prefix" in line]
